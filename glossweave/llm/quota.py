@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 #: Target tables are collected to plan the quotas; more strata than this are refused.
 MAX_STRATA = 20_000
 _BUCKETS = 4096
-_FLOOR, _EXCESS, _MARGIN, _SLACK = -1000, 10, 20, 100
+_FLOOR, _EXCESS, _MARGIN, _SLACK, _STEPS = -1000, 10, 20, 100, 20
 
 
 class MinCostFlow:
@@ -112,7 +112,12 @@ def plan_quotas(cells: list[Cell], n: int) -> list[dict]:
         a, b = at["r", c.row], at["c", c.col]
         low = min(c.floor, c.available)
         mid = max(0, min(x, c.available) - low)
-        arcs.append([g.arc(a, b, low, _FLOOR), g.arc(a, b, mid, 0), g.arc(a, b, max(0, c.available - low - mid), _EXCESS)])
+        ks, left, step = [g.arc(a, b, low, _FLOOR), g.arc(a, b, mid, 0)], max(0, c.available - low - mid), max(1, x // 10)
+        for i in range(_STEPS):  # dearer with every tenth of the need, so that excess spreads over the cells
+            take = min(step, left) if i < _STEPS - 1 else left
+            ks.append(g.arc(a, b, take, _EXCESS + i))
+            left -= take
+        arcs.append(ks)
     g.arc(0, sink, n, _SLACK)
     g.send(0, sink, n)
     return [

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict = {}
 
-for _name in ("split_queries", "quota_queries"):
+for _name in ("split_queries", "quota_queries", "chunk_queries", "packing_queries"):
     _m = importlib.import_module(f"glossweave.llm.{_name}")
     if clash := QUERIES.keys() & _m.QUERIES.keys():
         raise ValueError(f"registered twice: {sorted(clash)}")
