@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here, to = Path(__file__).resolve().parent, tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, to, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/{here.name}", "zip", here.parent, here.name))
+    _shipped.add(app)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
