@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ NEARLY = 0.015
 PIVOT_SAMPLE = 2
 _TILE = 1024
 _BLOB_BYTES = 8_000_000
+_FLUSH_BYTES = 16_000_000
 
 
 def n_pivots(n: int) -> int:
@@ -123,7 +123,7 @@ class _Blobs:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             r = np.concatenate(self.held)
-            to = (r["key"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.buckets)
+            to = r["key"].astype(np.int64) % self.buckets
             r, to = r[order := np.argsort(to, kind="stable")], to[order]
             at = np.searchsorted(to, np.arange(self.buckets + 1))
             on = [k for k in range(self.buckets) if at[k + 1] > at[k]]
@@ -132,7 +132,7 @@ class _Blobs:
 
 
 def _record(dim: int) -> np.dtype:
-    return np.dtype([("key", np.int32), ("h", np.int64), ("perm", np.int16, PREFIX), ("vec", np.uint8, dim * 3 // 2)])
+    return np.dtype([("key", np.int16), ("posted", np.int8), ("h", np.int64), ("perm", np.int16, PREFIX), ("vec", np.uint8, dim * 3 // 2)])
 
 
 def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: float) -> DataFrame:
@@ -142,7 +142,7 @@ def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: flo
     if len(pivots) < 2:
         count = len(pivots)
     length = min(PREFIX, len(pivots))
-    buckets = max(8, -(-n * 4 * _record(dim).itemsize // _BLOB_BYTES))
+    buckets = min(max(1, len(pivots)), max(8, -(-n * 3 * _record(dim).itemsize // _BLOB_BYTES)))
     dtype = _record(dim)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +162,18 @@ def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: flo
             perm, cos = permutations(u, pivots, length)
             full = np.full((len(u), PREFIX), -1, np.int16)
             full[:, :length] = perm
-            for i, j in combinations(range(min(4, max(2, length))), 2):
-                on = np.ones(len(u), bool) if j < 3 or length < 2 else cos[:, 2] - cos[:, 3] < NEARLY
+            # pairs of the posted pivots are kept with their smaller pivot: one record serves all files it owns
+            posted = np.full(len(u), min(3, length), np.int8)
+            if length > 3:
+                posted[cos[:, 2] - cos[:, 3] < NEARLY] = 4
+            inside = np.where(np.arange(PREFIX)[None, :] < posted[:, None], full, -1)
+            largest = inside.max(axis=1)
+            for i in range(min(4, length)):
+                on = (inside[:, i] >= 0) & ((inside[:, i] < largest) | (length == 1))
                 r = np.empty(on.sum(), dtype)
-                lo, hi = (np.minimum(full[on, i], full[on, j]), np.maximum(full[on, i], full[on, j])) if length > 1 else (full[on, 0], full[on, 0])
-                r["key"], r["h"], r["perm"], r["vec"] = lo.astype(np.int32) * 4096 + hi, h[on], full[on], packed[on]
+                r["key"], r["posted"], r["h"], r["perm"], r["vec"] = full[on, i], posted[on], h[on], full[on], packed[on]
                 blobs.add(r)
-            if blobs.size > 64_000_000:
+            if blobs.size > _FLUSH_BYTES:
                 yield from blobs.flush()
         yield from blobs.flush()
 
@@ -176,11 +181,18 @@ def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: flo
         r = np.frombuffer(b"".join(x.as_py() for x in t.column("blob")), dtype=dtype)
         r = r[np.lexsort((r["h"], r["key"]))]
         r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["h"][1:] != r["h"][:-1])]]
-        cuts = np.r_[np.nonzero(np.r_[True, r["key"][1:] != r["key"][:-1]])[0], len(r)]
+        # the files each record is in: its key with every larger posted pivot (or alone, if there is but one pivot)
+        col = np.arange(PREFIX)[None, :]
+        larger = (col < r["posted"][:, None]) & ((r["perm"] > r["key"][:, None]) | (count < 2))
+        row, at = np.nonzero(larger)
+        file = r["key"][row].astype(np.int64) * 4096 + r["perm"][row, at]
+        order = np.argsort(file, kind="stable")
+        row, file = row[order], file[order]
+        cuts = np.r_[np.nonzero(np.r_[True, file[1:] != file[:-1]])[0], len(file)]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(cuts, cuts[1:]):
             if b - a > 1:
-                out += _nearest_in_file(r[a:b], k, min_cosine, max(1, count))
+                out += _nearest_in_file(r[row[a:b]], k, min_cosine, max(1, count))
         ha, hb, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         return pa.table({"ha": pa.array(ha), "hb": pa.array(hb), "cosine": pa.array(c.astype(np.float64))})
 
@@ -280,7 +292,7 @@ def nearest_of_queries(
                     r = np.empty(on.sum(), dtype)
                     r["key"], r["h"], r["query"], r["perm"], r["vec"] = perm[on, p], ids[on], query, perm[on], packed[on]
                     blobs.add(r)
-            if blobs.size > 64_000_000:
+            if blobs.size > _FLUSH_BYTES:
                 yield from blobs.flush()
         yield from blobs.flush()
 
