@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict = {}
 
-for _name in ("cluster_queries", "split_queries", "quota_queries", "chunk_queries", "neighbour_queries", "packing_queries", "leak_queries"):
+for _name in ("cluster_queries", "split_queries", "quota_queries", "chunk_queries", "neighbour_queries", "packing_queries", "leak_queries", "pii_queries"):
     _m = importlib.import_module(f"glossweave.llm.{_name}")
     if clash := QUERIES.keys() & _m.QUERIES.keys():
         raise ValueError(f"registered twice: {sorted(clash)}")
