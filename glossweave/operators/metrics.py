@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossweave.functions.vectors import dot, norm
+from glossweave.functions.vectors import norm
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,20 +28,49 @@ def cosine_spread(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame
     return total.select(group, "n", F.try_divide(F.col("ss") - F.col("n"), F.col("n") * (F.col("n") - 1)).alias("mean_cosine"))
 
 
-def cosine_deviation(df: DataFrame, group: str, vector: str, row_id: str, most_pairs: int = 200_000, seed: int = 0) -> DataFrame:
-    """(group, n_pairs, std): sample deviation of pairwise cosines.
+#: Rows of a group that one task takes in.
+_GROUP_ROWS = 20_000
 
-    Exact while a group has at most ``most_pairs`` pairs; above that each row meets the rows a few seeded
-    hash steps ahead of it, which gives about ``most_pairs`` pairs without joining a group with itself.
+
+def cosine_deviation(df: DataFrame, group: str, vector: str, row_id: str, dim: int) -> DataFrame:
+    """(group, n_pairs, std): exact sample deviation of the cosines of all pairs of a group.
+
+    With unit rows u, the cosines of all pairs sum to (|sum u|^2 - n) / 2 and their squares to
+    (|sum u u'|^2 - n) / 2, so no pair is formed and no cap is needed. Groups of more than
+    ``_GROUP_ROWS`` rows are split over tasks by a hash of the row id and their moments are added.
+    Vectors must be usable; a group of one row has no row in the result, one of two a null deviation.
     """
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), row_id), row_id))
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    rows = df.select(F.col(group).alias("g"), F.col(vector).alias("v"), rank.alias("r"), n.alias("n"))
-    steps = F.when(F.col("n") * (F.col("n") - 1) / 2 <= most_pairs, F.col("n") - 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(most_pairs) / F.col("n"))))
-    left = rows.where("n > 1").withColumn("t", F.explode(F.sequence(F.lit(1), steps.cast("int")))).withColumn("r2", F.col("r") + F.col("t")).where("r2 <= n")
-    pairs = left.join(rows.select("g", F.col("r").alias("r2"), F.col("v").alias("v2")), ["g", "r2"])
-    c = F.try_divide(dot("v", "v2"), norm("v") * norm("v2"))
-    return pairs.groupBy(F.col("g").alias(group)).agg(F.count(F.lit(1)).alias("n_pairs"), F.stddev_samp(c).alias("std"))
+    import numpy as np
+    import pyarrow as pa
+
+    from glossweave.functions.vectors import unit_rows
+
+    kind = df.schema[group].dataType.simpleString()
+    counts = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / _GROUP_ROWS).cast("int"))
+    rows = df.select(F.col(group).alias("g"), F.col(vector).alias("v"), F.xxhash64(row_id).alias("h")).join(counts, "g")
+    rows = rows.select("g", "v", "parts", F.pmod("h", F.col("parts")).cast("int").alias("part"))
+
+    def moments(key: tuple, t: pa.Table) -> pa.Table:
+        u = unit_rows(t.column("v").combine_chunks(), dim)[1]
+        single = t.column("parts")[0].as_py() == 1
+        m = u.T @ u if len(u) >= dim or not single else u @ u.T
+        s1, s2 = (float((u.sum(axis=0) ** 2).sum()), float((m * m).sum())) if single else (None, None)
+        blob = None if single else np.concatenate([u.sum(axis=0), m.ravel()]).tobytes()
+        return pa.table({"g": [key[0].as_py()], "n": pa.array([len(u)], pa.int64()), "s1": pa.array([s1], pa.float64()), "s2": pa.array([s2], pa.float64()), "blob": pa.array([blob], pa.binary())})
+
+    def added(key: tuple, t: pa.Table) -> pa.Table:
+        n = sum(t.column("n").to_pylist())
+        x = sum(np.frombuffer(v.as_py(), dtype=np.float64) for v in t.column("blob"))
+        return pa.table({"g": [key[0].as_py()], "n": pa.array([n], pa.int64()), "s1": [float((x[:dim] ** 2).sum())], "s2": [float((x[dim:] ** 2).sum())]})
+
+    parts = rows.groupBy("g", "part").applyInArrow(moments, f"g {kind}, n long, s1 double, s2 double, blob binary")
+    whole = parts.where("blob IS NULL").select("g", "n", "s1", "s2").unionByName(
+        parts.where("blob IS NOT NULL").groupBy("g").applyInArrow(added, f"g {kind}, n long, s1 double, s2 double")
+    )
+    n, pairs = F.col("n").cast("double"), F.col("n") * (F.col("n") - 1) / 2
+    c1, c2 = (F.col("s1") - n) / 2, (F.col("s2") - n) / 2
+    var = F.try_divide(c2 - c1 * c1 / pairs, pairs - 1)
+    return whole.select(F.col("g").alias(group), pairs.cast("long").alias("n_pairs"), F.when(pairs > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"))
 
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:

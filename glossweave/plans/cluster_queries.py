@@ -81,7 +81,7 @@ QUERIES = {
     "a16_adjusted_rand": lambda s, d: mx.adjusted_rand(comp.emergent(quality(s, d)), "entity", "cluster").select(_r("ari")),
     "a17_fit_metrics": lambda s, d: comp.mass_summary(_q(s, d)).join(mx.adjusted_rand(comp.emergent(_q(s, d)), "entity", "cluster"), F.lit(True)).select("n_clusters", _r("noise_fraction"), _r("ari")),
     "a18_mean_cosine": lambda s, d: mx.cosine_spread(usable_mentions(s, d).where("entity IS NOT NULL"), "entity", "embed", 64).where("n > 1").select("entity", "n", _r("mean_cosine")),
-    "a18_cosine_deviation": lambda s, d: mx.cosine_deviation(usable_mentions(s, d).where("entity IS NOT NULL"), "entity", "embed", "row_id").where("n_pairs BETWEEN 3 AND 2000").select("entity", "n_pairs", _r("std")),
+    "a18_cosine_deviation": lambda s, d: mx.cosine_deviation(usable_mentions(s, d).where("entity IS NOT NULL"), "entity", "embed", "row_id", 64).select("entity", "n_pairs", _r("std")),
     "a24_metric_quantiles": lambda s, d: mx.quantile_table(quality(s, d), list(METRICS), [0.5, 0.9, 0.95, 0.99]).select("metric", "q", _r("value")),
     "a25_medians_by_class": lambda s, d: _lab(s, d).groupBy("oov_label").agg(*[F.median(m).alias(m) for m in METRICS]).select("oov_label", *[_r(m) for m in METRICS]),
     "a26_spearman": lambda s, d: mx.spearman(quality(s, d), "pca_residual", "pca_mahalanobis").select(_r("rho")),
@@ -203,7 +203,7 @@ SQL = {
     "a16_adjusted_rand": f"WITH {Q}, e AS (SELECT * FROM q WHERE cluster <> -1 AND entity IS NOT NULL), {_ARI} SELECT {_rs('ari')} FROM ar",
     "a17_fit_metrics": f"WITH {_QC}, {_ARI} SELECT count(DISTINCT cluster) FILTER (cluster <> -1) AS n_clusters, round(count(*) FILTER (cluster = -1) / count(*) + 3e-11, 6) + 0.0 AS noise_fraction, (SELECT round(ari + 3e-11, 6) + 0.0 FROM ar) AS ari FROM c",
     "a18_mean_cosine": f"WITH {_UNIT}, s AS (SELECT entity, pos, sum(x) AS s, count(*) AS n FROM (SELECT entity, unnest(v) AS x, unnest(range(64)) AS pos FROM n) GROUP BY ALL) SELECT entity, max(n) AS n, round((sum(s*s) - max(n)) / (max(n) * (max(n) - 1)) + 3e-11, 6) + 0.0 AS mean_cosine FROM s GROUP BY 1 HAVING max(n) > 1",
-    "a18_cosine_deviation": f"WITH {_UNIT}, k AS (SELECT entity FROM n GROUP BY 1 HAVING count(*) * (count(*) - 1) / 2 BETWEEN 3 AND 2000), x AS (SELECT * FROM n WHERE entity IN (FROM k)) SELECT a.entity, count(*) AS n_pairs, round(stddev_samp(list_inner_product(a.v, b.v)) + 3e-11, 6) + 0.0 AS std FROM x a JOIN x b ON a.entity = b.entity AND a.row_id < b.row_id GROUP BY 1",
+    "a18_cosine_deviation": f"WITH {_UNIT}, x AS (FROM n) SELECT a.entity, count(*) AS n_pairs, round(stddev_samp(list_inner_product(a.v, b.v)) + 3e-11, 6) + 0.0 AS std FROM x a JOIN x b ON a.entity = b.entity AND a.row_id < b.row_id GROUP BY 1",
     "a24_metric_quantiles": f"WITH {Q} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {p}::DOUBLE AS q, round(quantile_cont({m}, {p}) + 3e-11, 6) + 0.0 AS value FROM q" for m in METRICS for p in (0.5, 0.9, 0.95, 0.99)),
     "a25_medians_by_class": f"WITH {Q} SELECT oov_label, {', '.join(f'round(median({m}) + 3e-11, 6) + 0.0 AS {m}' for m in METRICS)} FROM q WHERE oov_label IS NOT NULL GROUP BY 1",
     "a26_spearman": f"WITH {Q}, b AS (SELECT pca_residual AS x, pca_mahalanobis AS y FROM q WHERE pca_residual IS NOT NULL AND pca_mahalanobis IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM b) SELECT round(corr(rx, ry) + 3e-11, 6) + 0.0 AS rho FROM r",
