@@ -45,7 +45,7 @@ QUERIES = {
     "s5_word_boundaries": lambda s, d: _docs(s, d).select("doc", F.inline(tx.word_boundaries("text"))).groupBy("doc").agg(_n("n"), F.sum(F.col("b") - F.col("a")).alias("chars")),
     "s1_phrase_matches": lambda s, d: _docs(s, d).select("doc", F.explode(tx.phrase_matches("text", _PHRASE)).alias("found")),
     "s12_combination_keys": lambda s, d: table(s, d, "grid_export").groupBy("model").agg(F.collect_set(F.concat_ws("/", "model", "layer")).alias("m")).select("model", tx.combination_key(F.col("m")).alias("key")),
-    "s14_word_spans": lambda s, d: _docs(s, d).select("doc", F.inline(tx.word_spans("text"))).groupBy("doc").agg(_n("n"), F.max("b").cast("long").alias("end"), F.sum(F.col("b") - F.col("a")).alias("chars")),
+    "s14_word_spans": lambda s, d: _docs(s, d).select("doc", F.inline(tx.word_spans("text"))).groupBy("doc").agg(_n("n"), F.max("b").cast("long").alias("last"), F.sum(F.col("b") - F.col("a")).alias("chars")),
     "s15_clean_phrases": lambda s, d: table(s, d, "kb_extension").select(F.trim("label").alias("phrase")).where("phrase <> ''").distinct(),
     "s18_simplicity": lambda s, d: _simplicity(s, d),
     "s19_word_frequencies": lambda s, d: _frequencies(s, d),
@@ -126,7 +126,7 @@ _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) ||
 SQL = {
     "s7_word_groupings": r"SELECT entity_id, CASE WHEN trim(label) <> '' AND len(regexp_split_to_array(trim(label), '\s+')) BETWEEN 1 AND 4 THEN len(regexp_split_to_array(trim(label), '\s+')) END AS wg FROM kb",
     "s6_tokens": f"WITH {_DOCS}, {_TOK} SELECT doc, ix, ix_end, text, lemma, is_stop FROM tk",
-    "s14_word_spans": rf"WITH {_DOCS} SELECT doc, len(r) AS n, length(rtrim(text, {_WS})) AS \"end\", list_sum([length(x) for x in r])::BIGINT AS chars FROM (SELECT doc, text, regexp_extract_all(text, '[^\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+') AS r FROM docs) WHERE len(r) > 0",
+    "s14_word_spans": rf"WITH {_DOCS} SELECT doc, len(r) AS n, length(rtrim(text, {_WS})) AS last, list_sum([length(x) for x in r])::BIGINT AS chars FROM (SELECT doc, text, regexp_extract_all(text, '[^\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+') AS r FROM docs) WHERE len(r) > 0",
     "s5_word_boundaries": rf"WITH {_DOCS} SELECT doc, len(r) AS n, list_sum([length(x) for x in r])::BIGINT AS chars FROM (SELECT doc, regexp_extract_all(text, '[^\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}!-/:-@\[-`{{-~]+') AS r FROM docs) WHERE len(r) > 0",
     "s21_corpus_mentions": f"""WITH {_DOCS}, {_TOK}, {_WIN}, {_INDEX}, ps AS (SELECT win.*, label FROM win JOIN ki USING (wg, lemma)), want AS (SELECT doc, round_even(1.0 * count(*), 0) AS k FROM ps GROUP BY 1),
        ng AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY (doc * 31 + a * 7919 + wg * 104729) % 10007, a, wg) AS r FROM win ANTI JOIN ps USING (doc, wg, a, b)), al AS (SELECT doc, label AS entity, a, b, wg FROM ps UNION ALL SELECT ng.doc, '{NEG}', a, b, wg FROM ng JOIN want USING (doc) WHERE r <= k)
