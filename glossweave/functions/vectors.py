@@ -28,7 +28,8 @@ def norm(a: Column | str) -> Column:
 def l2_normalise(a: Column | str) -> Column:
     """The array divided by its length; a zero array stays as it is."""
     a = F.col(a) if isinstance(a, str) else a
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(a)
+    # the outer transform binds the length, which is then computed once for each array
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)), F.lit(0))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossweave.functions.vectors import norm
+from glossweave.functions.vectors import l2_normalise
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,7 +22,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def cosine_spread(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
     """(group, n, mean_cosine): exact mean pairwise cosine per group from the sum of unit vectors, without pairs (A18's mean term)."""
-    unit = df.select(group, F.posexplode(F.transform(vector, lambda x: x / norm(vector))).alias("pos", "val"))
+    unit = df.select(group, F.posexplode(l2_normalise(vector)).alias("pos", "val"))
     sums = unit.groupBy(group, "pos").agg(F.sum("val").alias("s"), F.count(F.lit(1)).alias("n"))
     total = sums.groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n"))
     return total.select(group, "n", F.try_divide(F.col("ss") - F.col("n"), F.col("n") * (F.col("n") - 1)).alias("mean_cosine"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from glossweave.functions.keys import entity_key
+from glossweave.functions.text import lemma_key, tokens
 from glossweave.operators.frames import keep_last
 from glossweave.operators.grid import PK, aggregate_grid
 from glossweave.operators.vectors import HashingEncoder
@@ -49,9 +50,13 @@ def _streamed(s, d):
     return ingest.run_totals(stream, f"totals_{uuid.uuid4().hex}", _path(s, "stream"))
 
 
-def _linker(s, d):
+def _linker(s, d, encoder=None):
+    """A linker over the recorded vectors, or over the encoder's vectors of the mentions' lemmas."""
     kb = table(s, d, "kb").select("entity_id", entity_key("entity_id").alias("entity"))
-    return pl.Linker.fit(usable_mentions(s, d), kb, pl.LinkerConfig(threshold=0.6))
+    rows = usable_mentions(s, d)
+    if encoder:
+        rows = rows.withColumn("embed", encoder.column(lemma_key(tokens("mention"))))
+    return pl.Linker.fit(rows, kb, pl.LinkerConfig(threshold=0.6))
 
 
 def _selected(s, d):
@@ -70,7 +75,7 @@ QUERIES = {
     "q18_vocabulary_info": lambda s, d: table(s, d, "kb").agg(F.count(F.lit(1)).alias("vocabulary"), F.count_distinct("label").alias("n_labels")),
     "st_entity_totals": _streamed,
     "q10_fit_and_predict": lambda s, d: _linker(s, d).predict(usable_mentions(s, d)).select("row_id", "itext", "mention", "entity_id", F.round("score", 6).alias("score")),
-    "q16_link_texts": lambda s, d: pl.link_texts(_linker(s, d), table(s, d, "link").where("text IS NOT NULL").select(F.col("link_id").alias("itext"), "text"), HashingEncoder()),
+    "q16_link_texts": lambda s, d: pl.link_texts(_linker(s, d, HashingEncoder()), table(s, d, "link").where("text IS NOT NULL").select(F.col("link_id").alias("itext"), "text"), HashingEncoder()),
     "q6_model_selection": _selected,
 }
 _LASTG = "g AS (SELECT * FROM grid_export QUALIFY row_number() OVER (PARTITION BY model, layer, sample_idx, min_cluster_size ORDER BY ingested_at DESC, icm DESC NULLS LAST) = 1)"
