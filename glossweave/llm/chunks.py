@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.tables import spread
+
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 #: From the outermost level inwards: where a node of the level before may be cut (after the match).
 _LEVELS = (
@@ -108,5 +110,5 @@ def split_texts(docs: DataFrame, doc_id: str, text: str, limit: int = 1000, over
                     before = piece
             yield pd.DataFrame(rows, columns=["id", "piece_no", "a", "b", "piece", "boundary", "cut_kind"])
 
-    out = long.mapInPandas(cut, f"id {id_type}, piece_no long, a long, b long, piece string, boundary string, cut_kind string")
+    out = spread(long, "id").mapInPandas(cut, f"id {id_type}, piece_no long, a long, b long, piece string, boundary string, cut_kind string")
     return out.withColumnRenamed("id", doc_id)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.tables import spread
+
 #: Word positions that count; the others may hold any word.
 MASKS = ("1111", "11011", "110101", "1010011")
 #: Held-out words in one index. A larger set is searched in several passes over the corpus.
@@ -206,6 +208,7 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, i
     doc_type, item_type = corpus.schema[doc_id].dataType.simpleString(), held_out.schema[item_id].dataType.simpleString()
     schema = f"item {item_type}, doc {doc_type}, matched_words long, n_words long, first_word long, end_word long"
     docs = corpus.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND length(text) > 0")
+    docs = spread(docs, "doc")
     out = None
     for ids, texts in blocks:
         shared = corpus.sparkSession.sparkContext.broadcast(SeedIndex.build(ids, texts))

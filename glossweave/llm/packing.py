@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.tables import materialise
+
 #: One token: a longest run of letters, digits and underscores, or of other characters that are not white space.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -184,7 +186,7 @@ def pack_texts(docs: DataFrame, doc_id: str, text: str, capacity: int = 1024) ->
     among the items of their size, from counts per (size, hash bucket), so that a frequent size is spread
     over many tasks. Null and empty texts give no row; repeated rows are packed each on their own.
     """
-    items = token_pieces(docs, doc_id, text, capacity)
+    items = materialise(token_pieces(docs, doc_id, text, capacity), "items")
     spark = docs.sparkSession
     histogram = {r["n_tokens"]: r["k"] for r in items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("k")).collect()}
     plan, _ = plan_packing(histogram, capacity)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.tables import spread
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: No span is longer than so many characters.
 MAX_CHARS = 160
@@ -284,7 +286,7 @@ def _per_text(docs: DataFrame, doc_id: str, text: str, schema: str, rows) -> Dat
             yield pd.DataFrame(out, columns=["id", *(c.split()[0] for c in schema.split(", "))])
 
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    return source.mapInPandas(run, f"id {doc_type}, {schema}").withColumnRenamed("id", doc_id)
+    return spread(source, "id").mapInPandas(run, f"id {doc_type}, {schema}").withColumnRenamed("id", doc_id)
 
 
 def pii_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
