@@ -25,11 +25,23 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _unit_lists(v: pa.Array) -> pa.Array:
+    """Lists of any length divided by their Euclidean lengths; zero lists as they are, nulls stay."""
+    flat = v.flatten()
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    sizes = np.array(v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    length = np.sqrt(np.add.reduceat(np.append(x * x, 0.0), ends - sizes)) * (sizes > 0) if len(sizes) else np.zeros(0)
+    out = x / np.repeat(np.where(length == 0, 1.0, length), sizes)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out, pa.float64(), mask=flat.is_null().to_numpy(zero_copy_only=False)), mask=v.is_null())
+
+
 def l2_normalise(a: Column | str) -> Column:
-    """The array divided by its length; a zero array stays as it is."""
-    a = F.col(a) if isinstance(a, str) else a
-    # the outer transform binds the length, which is then computed once for each array
-    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)), F.lit(0))
+    """The array divided by its length; a zero array stays as it is.
+
+    An Arrow function: a higher-order expression would work out the length again for every element.
+    """
+    return F.arrow_udf(_unit_lists, "array<double>")(a)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
