@@ -244,15 +244,16 @@ def nearest_above(vectors: DataFrame, vector_id: str, vector: str, dim: int = 64
     Equal cosines are ordered by the smaller id. Vectors of one direction (copies, or multiples of each
     other) are one entry of the index, with cosine 1 among themselves, and are taken apart again at the
     end: a group of copies adds at most k + 1 ids to any list, so nothing is emitted for all pairs of a
-    group. Unusable vectors (null, other length, not finite, zero) have no neighbours and are no one's;
+    group. A repeated id counts once for others. Unusable vectors (null, other length, not finite, zero) have no neighbours and are no one's;
     an empty table gives no row; extra columns are ignored.
     """
     source = _select(vectors, vector_id, vector, dim)
     ids = materialise(_directions(source, dim), "directions")
     near = near_directions(source, dim, ids.count(), k + 1, min_cosine)
-    first = F.row_number().over(Window.partitionBy("h").orderBy("id"))
+    # rows of one id have one rank, so that repeated rows don't displace other ids
+    first = F.dense_rank().over(Window.partitionBy("h").orderBy("id"))
     heads = ids.withColumn("r", first).where(F.col("r") <= k + 1)
-    members = materialise(heads.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids")), "members")
+    members = materialise(heads.groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("ids")), "members")
     others = near.join(members.select(F.col("h").alias("hb"), "ids"), "hb").select(F.col("ha").alias("h"), "cosine", F.explode("ids").alias("other"))
     own = members.where(F.size("ids") > 1).select("h", F.lit(1.0).alias("cosine"), F.explode("ids").alias("other"))
     ranked = others.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k + 1)
