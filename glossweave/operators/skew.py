@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.tables import materialise
+
 #: A key is heavy when it holds at least 1/HEAVY_PARTS of the rows, so there are at most that many.
 HEAVY_PARTS = 256
 
@@ -71,6 +73,7 @@ def key_profile(
     stacked = df.select(F.col(key).alias("__k"), F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
     freq = stacked.groupBy("__k", "m", "v", "s").agg(F.count(F.lit(1)).alias("w"))
     freq = freq.withColumn("bin", F.when(F.col("s").isNotNull(), F.pmod(F.xxhash64("s"), F.lit(256)).cast("int")).otherwise(_order_bin(F.col("v"))))
+    freq = materialise(freq, "frequencies")  # read three times below, and far smaller than the rows
 
     bins = freq.groupBy("__k", "m", "bin").agg(
         F.sum("w").alias("w"),
