@@ -53,7 +53,7 @@ QUERIES = {
     "t1_top_clusters": lambda s, d: comp.top_clusters(comp.entity_mass(_q(s, d)), 10).select(_l("cluster"), _r("total")),
     "t2_limit_flow": lambda s, d: comp.limit_flow(comp.composition_table(_q(s, d), 4), 12, 9).select(_l("cluster"), "entity", _r("mass")),
     "w2_top_n_and_other": lambda s, d: comp.top_n_and_other(comp.entity_mass(_q(s, d), weighted=False), 5).select(_l("cluster"), "entity", _r("mass")),
-    "p8_emergent_rows": lambda s, d: comp.emergent(quality(s, d)).select("row_id", _l("cluster")),
+    "proj8_emergent_rows": lambda s, d: comp.emergent(quality(s, d)).select("row_id", _l("cluster")),
     "s16_consensus_names": lambda s, d: comp.consensus_names(comp.composition(_q(s, d).where(f"entity <> '{NEG}'"))).select(_l("cluster"), "name"),
     "s17_derived_labels": lambda s, d: comp.derived_labels(comp.provisional_assignments(_labels(s, d), _q(s, d)), comp.composition(_q(s, d))),
     "a14_aggregate_grid": lambda s, d: gr.aggregate_grid(_g(s, d)).select(_l(gr.SIZE), *[_r(f"{m}_{k}") for m in ("dbcv", "ari") for k in ("mean", "std")], "dbcv_count", "ari_count", _r("icm_mean"), _r("n_clusters_mean")),
@@ -93,7 +93,7 @@ QUERIES = {
     "w19_best_f1": lambda s, d: mx.best_f1(mx.curve(_lab(s, d), "oov_label", "pca_residual")).select("threshold", _r("f1")),
     "e12_binary_metrics": lambda s, d: mx.binary_metrics(_lab(s, d), "oov_label", "pca_residual", ["model", "layer"], 0.8).select("model", "layer", _r("precision"), _r("recall"), _r("f1")),
     "m24_operating_points": lambda s, d: mx.operating_points(_lab(s, d), "oov_label", "pca_residual", "pca_mahalanobis", 2.0, 3.0).select("point", _r("intercept"), _r("precision"), _r("recall"), _r("f1")),
-    "p20_signed_distance": lambda s, d: quality(s, d).select("row_id", mx.signed_distance(F.col("pca_residual"), F.col("pca_mahalanobis"), *mx.boundary(0.0, 1.0, 2.0, 7.0)).alias("x")).select("row_id", _r("x")),
+    "proj20_signed_distance": lambda s, d: quality(s, d).select("row_id", mx.signed_distance(F.col("pca_residual"), F.col("pca_mahalanobis"), *mx.boundary(0.0, 1.0, 2.0, 7.0)).alias("x")).select("row_id", _r("x")),
 }
 
 
@@ -168,7 +168,7 @@ SQL = {
     "t2_limit_flow": f"""WITH {_MASS}, tb AS {_top('mass', 4)}, tc AS (SELECT cluster FROM tb GROUP BY 1 ORDER BY round(sum(mass), 9) DESC, cluster LIMIT 12), kp AS (SELECT * FROM tb WHERE cluster IN (FROM tc)),
        te AS (SELECT entity FROM kp WHERE entity NOT LIKE 'Other (%' GROUP BY 1 ORDER BY round(sum(mass), 9) DESC, entity LIMIT 9) SELECT cluster::BIGINT AS cluster, entity, {_rs('mass')} FROM kp WHERE entity LIKE 'Other (%' OR entity IN (FROM te)""",
     "w2_top_n_and_other": f"WITH {_QC}, mass AS (SELECT cluster, entity, count(*)::DOUBLE AS mass FROM e GROUP BY ALL) SELECT cluster::BIGINT AS cluster, entity, {_rs('mass')} FROM {_top('mass', 5)}",
-    "p8_emergent_rows": "SELECT quality_id AS row_id, cluster::BIGINT AS cluster FROM mention_quality_frame WHERE cluster <> -1",
+    "proj8_emergent_rows": "SELECT quality_id AS row_id, cluster::BIGINT AS cluster FROM mention_quality_frame WHERE cluster <> -1",
     "s16_consensus_names": f"""WITH {_QC}, z AS (SELECT * FROM c WHERE entity <> '{NEG}'), {_COMP.format('z')}, a AS (SELECT cluster, count(*) AS k, max(within) AS mx, min(within) AS mn, string_agg(entity, '-' ORDER BY entity) AS j,
        arg_min(entity, (-within, entity)) AS first, list(within ORDER BY within DESC) AS f FROM comp GROUP BY 1), b AS (SELECT cluster, CASE WHEN cluster = -1 THEN 'noise' WHEN k = 1 THEN first WHEN mx - mn <= least(0.15, 0.5 / k) THEN j WHEN mx >= 0.52 AND mx - coalesce(f[2], 0) >= 0.12 THEN first ELSE j END AS name FROM a)
        SELECT cluster::BIGINT AS cluster, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '_' || chr((64 + row_number() OVER (PARTITION BY name ORDER BY cluster))::INT) ELSE name END AS name FROM b""",
@@ -217,5 +217,5 @@ SQL = {
        SELECT model, layer, round(coalesce(tp / nullif(tp + fp, 0), 0) + 3e-11, 6) + 0.0 AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0) + 3e-11, 6) + 0.0 AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + 3e-11, 6) + 0.0 AS f1 FROM k""",
     "m24_operating_points": f"""WITH {Q}, i AS (SELECT unnest(range(120)) AS point), t AS (SELECT point, -7 + point * (16.0::DOUBLE / 119) AS intercept FROM i), x AS (SELECT point, intercept, count(*) FILTER (2 * pca_residual + intercept - pca_mahalanobis > 0) AS said, count(*) FILTER (2 * pca_residual + intercept - pca_mahalanobis > 0 AND oov_label = 1) AS tp, count(*) FILTER (oov_label = 1) AS np
        FROM t CROSS JOIN (SELECT * FROM q WHERE oov_label IS NOT NULL AND pca_residual IS NOT NULL AND pca_mahalanobis IS NOT NULL) GROUP BY ALL) SELECT point, {_rs('intercept')}, round(coalesce(tp / nullif(said, 0), 0) + 3e-11, 6) + 0.0 AS precision, round(coalesce(tp / nullif(np, 0), 0) + 3e-11, 6) + 0.0 AS recall, round(coalesce(2 * tp / nullif(said + np, 0), 0) + 3e-11, 6) + 0.0 AS f1 FROM x""",
-    "p20_signed_distance": f"WITH {Q} SELECT row_id, round(3.0 * pca_residual + 1.0 - pca_mahalanobis + 3e-11, 6) + 0.0 AS x FROM q",
+    "proj20_signed_distance": f"WITH {Q} SELECT row_id, round(3.0 * pca_residual + 1.0 - pca_mahalanobis + 3e-11, 6) + 0.0 AS x FROM q",
 }

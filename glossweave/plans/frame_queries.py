@@ -77,8 +77,8 @@ QUERIES = {
     "q1_selection_frame": lambda s, d: op.selection_frame(_sources(s, d), NEG, _kb_keys(s, d), least=5).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embed")).cast("long").alias("dim")),
     "a29_distinct_properties": lambda s, d: quality(s, d).agg(F.count_distinct("entity").alias("n_entities"), F.count_distinct("pmid").alias("n_articles")),
     "a28_class_counts": lambda s, d: quality(s, d).groupBy("oov_label").agg(F.count(F.lit(1)).alias("n")),
-    "p6_split_negative": lambda s, d: quality(s, d).groupBy(F.coalesce(F.col("entity") == NEG, F.lit(False)).alias("is_negative")).agg(F.count(F.lit(1)).alias("n")),
-    "p7_negative_mask": lambda s, d: quality(s, d).select("row_id", F.coalesce((F.col("entity") == NEG).cast("long"), F.lit(0)).alias("y")),
+    "proj6_split_negative": lambda s, d: quality(s, d).groupBy(F.coalesce(F.col("entity") == NEG, F.lit(False)).alias("is_negative")).agg(F.count(F.lit(1)).alias("n")),
+    "proj7_negative_mask": lambda s, d: quality(s, d).select("row_id", F.coalesce((F.col("entity") == NEG).cast("long"), F.lit(0)).alias("y")),
     "r1_table_sizes": lambda s, d: _sizes(s, d),
 }
 _PK = ["model", "layer", "sample_idx", "min_cluster_size"]
@@ -142,7 +142,7 @@ SQL = {
     "q1_selection_frame": f"WITH {_SRC}, {_KBK}, ks AS (SELECT DISTINCT {_KEYS} FROM v WHERE pmid IS NOT NULL AND entity IS NOT NULL AND mention IS NOT NULL) SELECT entity, count(*) AS n, 128::BIGINT AS dim FROM ks WHERE entity IN (SELECT entity FROM kk) GROUP BY entity HAVING count(*) >= 5",
     "a29_distinct_properties": f"WITH {Q} SELECT count(DISTINCT entity) AS n_entities, count(DISTINCT pmid) AS n_articles FROM q",
     "a28_class_counts": "SELECT oov_label, count(*) AS n FROM mention_quality_frame GROUP BY 1",
-    "p6_split_negative": f"WITH {Q} SELECT coalesce(entity = '{NEG}', false) AS is_negative, count(*) AS n FROM q GROUP BY 1",
-    "p7_negative_mask": f"WITH {Q} SELECT row_id, coalesce((entity = '{NEG}')::BIGINT, 0) AS y FROM q",
+    "proj6_split_negative": f"WITH {Q} SELECT coalesce(entity = '{NEG}', false) AS is_negative, count(*) AS n FROM q GROUP BY 1",
+    "proj7_negative_mask": f"WITH {Q} SELECT row_id, coalesce((entity = '{NEG}')::BIGINT, 0) AS y FROM q",
     "r1_table_sizes": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("mention_frame", "mention_quality_frame", "documents", "link", "kb")),
 }

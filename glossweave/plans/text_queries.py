@@ -50,7 +50,7 @@ QUERIES = {
     "s18_simplicity": lambda s, d: _simplicity(s, d),
     "s19_word_frequencies": lambda s, d: _frequencies(s, d),
     "w12_windows": lambda s, d: lk.mention_windows(_docs(s, d), "doc", "text").groupBy("doc", "wg").agg(_n("n")).select("doc", F.col("wg").cast("long").alias("wg"), "n"),
-    "p14_groupings": lambda s, d: lk.mention_windows(_links(s, d), "doc", "text").select(F.col("wg").cast("long").alias("wg")).distinct(),
+    "proj14_groupings": lambda s, d: lk.mention_windows(_links(s, d), "doc", "text").select(F.col("wg").cast("long").alias("wg")).distinct(),
     "j9_lemma_matches": lambda s, d: lk.lemma_matches(lk.mention_windows(_docs(s, d), "doc", "text"), lk.lemma_index(_kb(s, d))).select("doc", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "mention", "label"),
     "j10_lemma_index": lambda s, d: lk.lemma_index(_kb(s, d)).select(F.col("wg").cast("long").alias("wg"), "lemma", "label"),
     "s21_corpus_mentions": lambda s, d: lk.corpus_mentions(_docs(s, d), "doc", "text", _kb(s, d), NEG).select("doc", "entity", "mention", "a", "b", "wg"),
@@ -61,17 +61,17 @@ QUERIES = {
     "w10_overlap_islands": lambda s, d: lk.overlap_islands(_pred(s, d), "itext", "score", "row_id").select("row_id", "itext", "mention"),
     "w20_context_windows": lambda s, d: lk.with_context(lk.lemma_matches(lk.mention_windows(_docs(s, d), "doc", "text"), lk.lemma_index(_kb(s, d))), _docs(s, d)).select("doc", "a", "b", "context"),
     "j12_cluster_entities": lambda s, d: lk.cluster_entities(_assign(s, d)).select(F.col("cluster").cast("long").alias("cluster"), "entity_id"),
-    "p13_prediction_gate": lambda s, d: lk.gate(_pred(s, d), _assign(s, d), 0.3, F.col("score") < 0.1).select("row_id", "entity_id", "score"),
-    "p9_score_filter": lambda s, d: _pred(s, d).where(F.coalesce("score", F.lit(0.0)) >= 0.5).select("row_id", "score"),
+    "proj13_prediction_gate": lambda s, d: lk.gate(_pred(s, d), _assign(s, d), 0.3, F.col("score") < 0.1).select("row_id", "entity_id", "score"),
+    "proj9_score_filter": lambda s, d: _pred(s, d).where(F.coalesce("score", F.lit(0.0)) >= 0.5).select("row_id", "score"),
     "j13_override_labels": lambda s, d: lk.override_labels(_pred(s, d).select("row_id", "cluster"), _pred(s, d).where("row_id % 3 = 0").select("row_id", (F.col("cluster") + 100).alias("cluster")), "row_id").select("row_id", F.col("cluster").cast("long").alias("cluster")),
     "j11_kb_validation": lambda s, d: lk.validate(
         lk.lemma_matches(lk.mention_windows(_docs(s, d), "doc", "text"), lk.lemma_index(_kb(s, d))).drop("label").join(F.broadcast(lk.cluster_entities(_assign(s, d))), F.pmod("a", F.lit(40)) == F.col("cluster")),
         lk.lemma_index(_kb(s, d)), _kb(s, d)).groupBy("is_kb_match").agg(_n("n")),
-    "p15_public_view": lambda s, d: lk.public_view(lk.gate(_pred(s, d), _assign(s, d), 0.3, F.lit(False))),
+    "proj15_public_view": lambda s, d: lk.public_view(lk.gate(_pred(s, d), _assign(s, d), 0.3, F.lit(False))),
     "r29_document_index": lambda s, d: table(s, d, "link").select("link_id", (F.row_number().over(_by_link()) - 1).cast("long").alias("itext")),
     "r14_model_filenames": lambda s, d: table(s, d, "grid_export").select(F.concat(F.lit("res_"), "model", F.lit("_"), F.regexp_replace("layer", ",", ""), F.lit(".parquet")).alias("name")).distinct()
     .select("name", F.regexp_extract("name", r"^res_([^_]+)_(\d+)\.parquet", 1).alias("model"), F.regexp_extract("name", r"^res_([^_]+)_(\d+)\.parquet", 2).alias("layer")),
-    "p12_clean_kb": lambda s, d: table(s, d, "kb_extension").where(F.col("label").isNotNull() & ~F.col("label").contains(" low ") & ~F.coalesce(F.col("description"), F.lit("")).contains("inverse")).select("entity_id", "label"),
+    "proj12_clean_kb": lambda s, d: table(s, d, "kb_extension").where(F.col("label").isNotNull() & ~F.col("label").contains(" low ") & ~F.coalesce(F.col("description"), F.lit("")).contains("inverse")).select("entity_id", "label"),
     "t9_natural_order": lambda s, d: quality(s, d).select(F.coalesce(F.col("layer"), F.lit("")).alias("label")).distinct().select("label", F.try_to_number("label", F.lit("999")).isNull().alias("is_text")),
     "r33_triples_join": lambda s, d: _triples(s, d),
 }
@@ -139,7 +139,7 @@ SQL = {
        SELECT entity_id, round(CASE WHEN k = 0 THEN 1e-8 ELSE k / inv * CASE WHEN nw > 1 THEN greatest(0, 1 - 0.2 * (nw - 1)) * CASE WHEN nw > k THEN greatest(0, 1 - 0.3 * (nw - k)) ELSE 1 END ELSE 1 END END + 3e-14, 12) AS simplicity FROM c""",
     "s19_word_frequencies": f"WITH {_DOCS} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM docs) GROUP BY 1",
     "w12_windows": f"WITH {_DOCS}, {_TOK}, {_WIN} SELECT doc, wg::BIGINT AS wg, count(*) AS n FROM win GROUP BY ALL",
-    "p14_groupings": f"WITH docs AS (SELECT link_id AS doc, text FROM link WHERE text IS NOT NULL), {_TOK}, {_WIN} SELECT DISTINCT wg::BIGINT AS wg FROM win",
+    "proj14_groupings": f"WITH docs AS (SELECT link_id AS doc, text FROM link WHERE text IS NOT NULL), {_TOK}, {_WIN} SELECT DISTINCT wg::BIGINT AS wg FROM win",
     "j9_lemma_matches": f"WITH {_DOCS}, {_TOK}, {_WIN}, {_INDEX} SELECT win.doc, a, b, substring(docs.text, (a + 1)::INT, (b - a)::INT) AS mention, label FROM win JOIN ki USING (wg, lemma) JOIN docs ON docs.doc = win.doc",
     "j10_lemma_index": f"WITH {_INDEX} SELECT wg::BIGINT AS wg, lemma, label FROM ki",
     "j16_span_join": f"WITH {M}, n AS (SELECT * FROM m WHERE itext IS NOT NULL AND a_abs IS NOT NULL) SELECT x.itext, x.row_id, y.row_id AS other FROM n x JOIN n y ON x.itext = y.itext AND x.row_id < y.row_id AND x.a_abs < y.b_abs AND x.b_abs > y.a_abs AND y.b_abs > y.a_abs AND x.b_abs > x.a_abs",
@@ -148,14 +148,14 @@ SQL = {
        isl AS (SELECT *, sum(nw) OVER (PARTITION BY itext ORDER BY x, y, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM mk)
        SELECT row_id, itext, mention FROM isl QUALIFY row_number() OVER (PARTITION BY itext, island ORDER BY score DESC, greatest(y - x, 0), mention, row_id) = 1 UNION ALL SELECT row_id, itext, mention FROM iv WHERE x IS NULL OR itext IS NULL""",
     "j12_cluster_entities": f"WITH {_AS} SELECT cluster::BIGINT AS cluster, entity_id FROM ce",
-    "p13_prediction_gate": f"WITH {_PRED}, {_AS} SELECT row_id, entity_id, score FROM pr JOIN ce USING (cluster) WHERE NOT score < 0.1 AND cluster <> -1 AND score >= 0.3",
-    "p9_score_filter": f"WITH {_PRED} SELECT row_id, score FROM pr WHERE score >= 0.5",
+    "proj13_prediction_gate": f"WITH {_PRED}, {_AS} SELECT row_id, entity_id, score FROM pr JOIN ce USING (cluster) WHERE NOT score < 0.1 AND cluster <> -1 AND score >= 0.3",
+    "proj9_score_filter": f"WITH {_PRED} SELECT row_id, score FROM pr WHERE score >= 0.5",
     "j13_override_labels": f"WITH {_PRED} SELECT row_id, (CASE WHEN row_id % 3 = 0 THEN cluster + 100 ELSE cluster END)::BIGINT AS cluster FROM pr",
     "j11_kb_validation": f"WITH {_DOCS}, {_TOK}, {_WIN}, {_INDEX}, {_AS} SELECT coalesce(ki.label = kb.label, false) AS is_kb_match, count(*) AS n FROM win JOIN ki USING (wg, lemma) JOIN ce ON ce.cluster = a % 40 LEFT JOIN kb USING (entity_id) GROUP BY 1",
-    "p15_public_view": f"WITH {_PRED}, {_AS} SELECT itext, mention, coalesce(a_abs, a) AS a, coalesce(b_abs, b) AS b, entity_id, score FROM pr JOIN ce USING (cluster) WHERE cluster <> -1 AND score >= 0.3",
+    "proj15_public_view": f"WITH {_PRED}, {_AS} SELECT itext, mention, coalesce(a_abs, a) AS a, coalesce(b_abs, b) AS b, entity_id, score FROM pr JOIN ce USING (cluster) WHERE cluster <> -1 AND score >= 0.3",
     "r29_document_index": "SELECT link_id, row_number() OVER (ORDER BY link_id) - 1 AS itext FROM link",
     "r14_model_filenames": r"SELECT name, regexp_extract(name, '^res_([^_]+)_(\d+)\.parquet', 1) AS model, regexp_extract(name, '^res_([^_]+)_(\d+)\.parquet', 2) AS layer FROM (SELECT DISTINCT 'res_' || model || '_' || replace(layer, ',', '') || '.parquet' AS name FROM grid_export)",
-    "p12_clean_kb": "SELECT entity_id, label FROM kb_extension WHERE label IS NOT NULL AND NOT contains(label, ' low ') AND NOT contains(coalesce(description, ''), 'inverse')",
+    "proj12_clean_kb": "SELECT entity_id, label FROM kb_extension WHERE label IS NOT NULL AND NOT contains(label, ' low ') AND NOT contains(coalesce(description, ''), 'inverse')",
     "t9_natural_order": "SELECT DISTINCT coalesce(layer, '') AS label, TRY_CAST(layer AS BIGINT) IS NULL AS is_text FROM mention_quality_frame",
     "r33_triples_join": "SELECT entity_id, label, description AS definition FROM kb",
 }
