@@ -27,4 +27,9 @@ def p4_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_boundaries": p4_boundaries}
-SQL: dict[str, str] = {}
+_WS = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
+SQL = {
+    "p4_found": rf"""WITH t AS (SELECT link_id, text, regexp_split_to_array(regexp_replace(text, '([.!?])([{_WS}])', '\1' || chr(1) || '\2', 'g'), '\x01|\r\n|[\n\r\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]') AS s,
+        regexp_split_to_array(text, '[{_WS}]+') AS w FROM link WHERE length(text) > 1000)
+      SELECT link_id, CASE WHEN list_max([length(x) for x in s]) <= 1000 THEN 'sentence' WHEN list_max([length(x) for x in w]) <= 1000 THEN 'word' ELSE 'inside' END AS cut_kind FROM t""",
+}
