@@ -264,7 +264,7 @@ def nearest_above(vectors: DataFrame, vector_id: str, vector: str, dim: int = 64
 
 
 def nearest_of_queries(
-    vectors: DataFrame, vector_id: str, vector: str, is_query: str, dim: int = 64, k: int = 5, pivots: int = 256, posts: int = 4, probes: int = 16, candidates: int = 2048
+    vectors: DataFrame, vector_id: str, vector: str, is_query: str, dim: int = 64, k: int = 5, pivots: int = 256, posts: int = 4, probes: int = 24, candidates: int = 3072
 ) -> DataFrame:
     """(id, other, cosine): the ``k`` most similar vectors of those for which the SQL condition ``is_query`` on ``id`` holds.
 
