@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.functions.vectors import l2_normalise
+from glossweave.operators.skew import order_bin
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,32 +74,47 @@ def cosine_deviation(df: DataFrame, group: str, vector: str, row_id: str, dim: i
     return whole.select(F.col("g").alias(group), pairs.cast("long").alias("n_pairs"), F.when(pairs > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"))
 
 
+def sums_below(df: DataFrame, value: str, columns: list[str]) -> DataFrame:
+    """The frame with ``below_<column>``: the column's sum over all rows of a smaller value. Values must be distinct.
+
+    Order-preserving bins (some ten thousand at most) are summed and cumulated first; only inside a bin are
+    rows ordered, each bin in its own window, so no task holds all values.
+    """
+    binned = df.withColumn("__bin", order_bin(F.col(value).cast("double")))
+    totals = binned.groupBy("__bin").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__bin", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__t_{c}") for c in columns])
+    inside = Window.partitionBy("__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = binned.join(totals, "__bin")
+    sums = {f"below_{c}": F.col(f"__t_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}
+    return rows.withColumns(sums).drop("__bin", *[f"__t_{c}" for c in columns])
+
+
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row ``auc`` by average ranks, 0.5 with one class only (W18). Scores are grouped before they are ranked."""
     by = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(score).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = sums_below(by, score, ["n"]).withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     return s.select(F.coalesce(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))), F.lit(0.5)).alias("auc"))
 
 
 def curve(df: DataFrame, y: str, score: str) -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr, precision, recall, f1) for every score, ties together, highest first."""
-    by = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(y).cast("long").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(F.lit(0))
-    c = by.select("threshold", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"), F.sum("p").over(tot).alias("np"), F.sum(F.col("n") - F.col("p")).over(tot).alias("nn"))
+    """(threshold, pos, tp, fp, tpr, fpr, precision, recall, f1) for every score, ties together (W17); ``pos`` are the positives at the score."""
+    by = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(y).cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
+    by = by.withColumn("neg", F.col("n") - F.col("pos"))
+    totals = by.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    c = sums_below(by, "threshold", ["pos", "neg"]).join(F.broadcast(totals), F.lit(True))
+    c = c.withColumns({"tp": F.col("np") - F.col("below_pos"), "fp": F.col("nn") - F.col("below_neg")})
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     return c.select(
-        "threshold", "tp", "fp", F.try_divide(tp, "np").alias("tpr"), F.try_divide(fp, "nn").alias("fpr"),
+        "threshold", "pos", "tp", "fp", F.try_divide(tp, "np").alias("tpr"), F.try_divide(fp, "nn").alias("fpr"),
         F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, "np").alias("recall"), F.try_divide(2 * tp, tp + fp + F.col("np")).alias("f1"),
     )
 
 
 def average_precision(points: DataFrame) -> DataFrame:
-    """One row: the step-wise area below a precision-recall curve."""
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return points.withColumn("step", F.col("recall") - before).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    """One row: the step-wise area below a precision-recall curve (W17); a step's width is its share of the positives."""
+    return points.agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("average_precision"))
 
 
 def best_f1(points: DataFrame) -> DataFrame:
@@ -138,13 +154,12 @@ def z_scores(df: DataFrame, columns: list[str], batch: list[str]) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``rho``: correlation of average ranks (A26). Ranks come from the grouped values."""
 
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+
     def ranks(c: str) -> DataFrame:
-        g = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return g.select(c, (before + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
+        g = both.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        return sums_below(g, c, ["n"]).select(c, (F.col("below_n") + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
 
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    df = both
     return both.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rho"))
 
 

@@ -33,7 +33,7 @@ def heavy_light_lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str =
     return light.unionByName(facts.where(is_heavy).join(F.broadcast(lookup.where(F.col(key).isin(heavy))), key, how))
 
 
-def _order_bin(v: Column) -> Column:
+def order_bin(v: Column) -> Column:
     """An integer that never falls as ``v`` rises: 32 bins in each power of two, 0 for zero."""
     mag = F.floor(F.log2(F.abs(v)) * 32).cast("int")
     return F.when(v > 0, mag + 100_000).when(v < 0, -mag - 100_000).otherwise(F.lit(0)).cast("int")
@@ -72,7 +72,7 @@ def key_profile(
         cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("m"), F.lit(0.0).alias("v"), c.cast("string").alias("s"))))
     stacked = df.select(F.col(key).alias("__k"), F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
     freq = stacked.groupBy("__k", "m", "v", "s").agg(F.count(F.lit(1)).alias("w"))
-    freq = freq.withColumn("bin", F.when(F.col("s").isNotNull(), F.pmod(F.xxhash64("s"), F.lit(256)).cast("int")).otherwise(_order_bin(F.col("v"))))
+    freq = freq.withColumn("bin", F.when(F.col("s").isNotNull(), F.pmod(F.xxhash64("s"), F.lit(256)).cast("int")).otherwise(order_bin(F.col("v"))))
     freq = materialise(freq, "frequencies")  # read three times below, and far smaller than the rows
 
     bins = freq.groupBy("__k", "m", "bin").agg(
