@@ -37,7 +37,7 @@ Signs of {T} syndrome were scored.|Signs of the {T} test were scored.|Samples we
 Die {T} binden {T}, weshalb {T} und {T} abnahmen.|Dass {T} auch {T} spalten, erklärt {T} durch {L3}{d2}.|Ohne {T} und {L3}{d2} fiel die {T} aus.|Bei {d2} Proben ging {T} mit {T} einher.|Les {t} relient {T} et {L3}{d2}.|Sin {T} cesó toda {t}.|¿Cómo {T} y {T} frenan la {t}?
 How {T} meets the {L3}-{d1} {t} in {t} depends on {t} and on {T}.|Both {T} and {L3}{d2} compete for {t} before {t} begins.|The {T} {t} clamps through {t}; {L3}{d2} does not.|Time-Lapse {T} Revealed An {T} {T} After {d3} Min Of {T} With {T}.|Flow {T} Showed {T} {T} In {T} {T}.|By Mass {T}, {T} {T} Drops.
 RESULTS IN {U} {U} WERE {U}.|{U} {U} AND {U} DID NOT DIFFER|Background: {T} {t} {t} at {d3} h.|Methods: {T} {T} was scored.|Turnover of {L3}{d2} ({d2}.{d1} µM; n = {d2}) tracked {t}.|version {d1}.{d1}.{d2} of the tool, seed {d6}.|The yield was {d3} {d3} cells at {d2} °C.|isotopes ({T} and {T}) {t} {d3} h
-We used {L2}{d6} from {T} Biotech.|Freezer {d2}, shelf {d1}, box {d4}.|in {y}, {d5} patients and {d4} controls|ISBN 978-{d1}-{d4}-{d4}-{d1}|doi 10.{d4}/{t}.{y}.{d6}|Invoice {d6} of {d2}.{d2}.{y}|see Suppl. Table {d1}|{T}, {T} and {L3}{d2} form a {t} {t} that {t}.|{T}, {L3}-{d1} and {T} form a {t} {t}.|{T}, {T} und {T} bilden {T}.|{L3}{d2}, {T} and {T} form a {t} {t}.|{U} TIE {U} TO {U} {U} AND {U} THAT {U}|{T} And {T} {T} Contributed To {T}.|{T} and {T} {t} equally.|{T} {T} {T} At {d3} H, As {T} By {T} {T}. Notably, {T} {T}|AS {U} BY {U} {U}. NO {U} {U}|The {T} {T} Was {T} By {T} {T} And {T} {T}.|the {T} centrosome and the {T} {t} responded|room temperature for {d3} to {d3} min
+We used {L2}{d6} from {T} Biotech.|Freezer {d2}, shelf {d1}, box {d4}.|in {y}, {d5} patients and {d4} controls|ISBN 978-{d1}-{d4}-{d4}-{d1}|doi 10.{d4}/{t}.{y}.{d6}|Invoice {d6} of {d2}.{d2}.{y}|see Suppl. Table {d1}|{T}, {T} and {L3}{d2} form a {t} {t} that {t}.|{T}, {L3}-{d1} and {T} form a {t} {t}.|{T}, {T} und {T} bilden {T}.|{L3}{d2}, {T} and {T} form a {t} {t}.|{U} TIE {U} TO {U} {U} AND {U} THAT {U}|{T} And {T} {T} Contributed To {T}.|{T} and {T} {t} equally.|{T} {T} {T} At {d3} H, As {T} By {T} {T}. Notably, {T} {T}|AS {U} BY {U} {U}. NO {U} {U}|The {T} {T} Was {T} By {T} {T} And {T} {T}.|{T} Lacking {T} Kept {T}-{T} {T} For {d2} % And {T}.|{d2} % Of Exposure To {T}-{T} {T}. Across {T} {T}, The {L2}{d1} {T}|Results Tie {T} To {T}-{T} {T} And Hint That {T}|the {T} centrosome and the {T} {t} responded|room temperature for {d3} to {d3} min
 """.strip().split("\n")
 
 
