@@ -58,6 +58,13 @@ class SeedIndex:
     seed_mask: np.ndarray
     rare: list[np.ndarray]
 
+    def __post_init__(self):
+        self.keys, self.firsts, self.counts = np.unique(self.hashes, return_index=True, return_counts=True)
+        self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.rare_flat = np.concatenate([np.zeros(0, bool), *self.rare]).astype(float)
+        self.n_rare = np.array([r.sum() for r in self.rare], dtype=np.int64)
+
     @staticmethod
     def build(item_ids: list, texts: list[str]) -> SeedIndex:
         """Index texts; those without a word are in no seed."""
@@ -86,16 +93,21 @@ class SeedIndex:
         out = []
         for m, off in enumerate(_OFFSETS):
             h, at = _mix(ids, off, m)
-            a, b = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            n = b - a
-            if not n.sum():
+            if not len(h) or not len(self.keys):
+                continue
+            k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = self.keys[k] == h
+            if not hit.any():
                 continue
+            at, k = at[hit], k[hit]
+            a, n = self.firsts[k], self.counts[k]
             seed = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             out.append((self.seed_item[seed], self.seed_pos[seed], np.repeat(at, n), np.full(len(seed), m)))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
 _OFFSETS = tuple(tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS)
+_OFFSET_TABLE = np.array(_OFFSETS)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[int], int, int, int, int]:
@@ -124,10 +136,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[int], int, in
     return best, matched, int(i), i1, int(j), j1
 
 
-def overlap(item: np.ndarray, text: np.ndarray, reach: int) -> tuple[list[int], int, int]:
-    """Item positions found in order in one or two passages at most ``reach`` words apart; the text range."""
+def overlap(item: np.ndarray, text: np.ndarray, reach: int, need: float) -> tuple[list[int], int, int]:
+    """Item positions found in order in one or two passages at most ``reach`` words apart; the text range.
+
+    Nothing when the larger passage has less than half of the ``need`` words, as two can't make them up then.
+    """
     score, matched, i0, i1, j0, j1 = align(item, text)
-    if score < _LEAST_SCORE:
+    if score < _LEAST_SCORE or 2 * len(matched) < need:
         return [], 0, 0
     best = (matched, j0, j1)
     lo = max(0, j0 - reach - 2 * i0)
@@ -146,41 +161,57 @@ def text_leaks(index: SeedIndex, text: str, least_share: float, reach: int) -> l
     item, pos, at, mask = index.hits(ids)
     if not len(item):
         return []
-    order = np.lexsort((at, item))
-    item, pos, at, mask = item[order], pos[order], at[order], mask[order]
-    cuts = np.r_[np.nonzero(np.r_[True, item[1:] != item[:-1]])[0], len(item)]
+    cover = _Cover(index, item, pos, mask)
     out = []
-    for a, b in zip(cuts, cuts[1:]):
-        words_of = index.items[item[a]]
-        n, need = len(words_of), least_share * len(words_of)
-        cover = np.zeros(n, bool)
-        for o in range(4):
-            cover[pos[a:b] + np.array([f[o] for f in _OFFSETS])[mask[a:b]]] = True
-        if cover.sum() < need / 2:
-            continue
-        # text windows as wide as a passage pair may be, in which enough of the item is seeded
-        width = 2 * n + reach
-        best, x = (0, 0, 0), a
-        lo_at = at[a]
-        end = at[b - 1] + 8
-        start = lo_at
-        while start < end:
-            inside = (at[a:b] >= start) & (at[a:b] < start + width)
-            if inside.any():
-                part = np.zeros(n, bool)
-                for o in range(4):
-                    part[pos[a:b][inside] + np.array([f[o] for f in _OFFSETS])[mask[a:b][inside]]] = True
-                if part.sum() >= need / 2:
-                    lo = max(0, start - 8)
-                    m, j0, j1 = overlap(words_of, ids[lo : start + width + 8], reach)
-                    if len(m) > best[0] and index.rare[item[a]][m].sum() >= _RARE_SHARE * least_share * index.rare[item[a]].sum():
-                        best = (len(m), lo + j0, lo + j1)
-            start += width // 2
+    for i in cover.worth(least_share):
+        own = item == i
+        words_of, need = index.items[i], least_share * len(index.items[i])
+        # text windows as wide as a passage pair may be, those with most of the item seeded first
+        step = (2 * len(words_of) + reach) // 2
+        slot = at[own] // step
+        tried = []
+        for s in np.unique(np.concatenate([slot, slot - 1])):
+            inside = (slot == s) | (slot == s + 1)
+            c, c_rare = cover.size(i, pos[own][inside], mask[own][inside])
+            if c >= need / 2 and c_rare >= _RARE_SHARE * least_share * index.n_rare[i] / 2:
+                tried.append((-c, int(s)))
+        best = (0, 0, 0)
+        for _, s in sorted(tried):
+            lo = max(0, s * step - 8)
+            m, j0, j1 = overlap(words_of, ids[lo : (s + 2) * step + 8], reach, need)
+            if len(m) > best[0] and index.rare[i][m].sum() >= _RARE_SHARE * least_share * index.rare[i].sum():
+                best = (len(m), lo + j0, lo + j1)
+            if best[0] >= need:
+                break
         if best[0] >= need:
-            out.append((int(item[a]), *map(int, best)))
+            out.append((int(i), *map(int, best)))
     return out
 
 
+class _Cover:
+    """Which positions of which items the seeds shared with one text cover."""
+
+    def __init__(self, index: SeedIndex, item: np.ndarray, pos: np.ndarray, mask: np.ndarray):
+        self.index = index
+        self.wide = max(len(x) for x in index.items) + 8
+        cells = np.unique((item[:, None] * self.wide + pos[:, None] + _OFFSET_TABLE[mask]).ravel())
+        self.of, self.at = cells // self.wide, cells % self.wide
+
+    def worth(self, least_share: float) -> list[int]:
+        """Items with half of the words, and of the rare words, that a leak needs inside shared seeds."""
+        n_items = len(self.index.items)
+        covered = np.bincount(self.of, minlength=n_items)
+        rare = np.bincount(self.of, weights=self.index.rare_flat[self.index.starts[self.of] + self.at], minlength=n_items)
+        on = (covered >= least_share * self.index.lengths / 2) & (rare >= _RARE_SHARE * least_share * self.index.n_rare / 2) & (covered > 0)
+        return np.nonzero(on)[0].tolist()
+
+    def size(self, i: int, pos: np.ndarray, mask: np.ndarray) -> tuple[int, int]:
+        """Positions of item ``i`` that the given seeds cover, and how many of them hold rare words."""
+        flags = np.zeros(self.wide, bool)
+        flags[(pos[:, None] + _OFFSET_TABLE[mask]).ravel()] = True
+        return int(flags.sum()), int(flags[: len(self.index.rare[i])][self.index.rare[i]].sum())
+
+
 def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, item_id: str, item_text: str, least_share: float = 0.5, reach: int = 80) -> DataFrame:
     """(item_id, doc_id, matched_words, n_words, first_word, end_word): the held-out items each document leaks.
 
