@@ -30,10 +30,9 @@ _T = rf"[{_UP}][{_LO}'’]+"
 _AT = rf"(?:[ \t]{{0,3}}@[ \t]{{0,3}}|[ \t]{{0,3}}[\[({{<][ ]?(?:at|AT)[ ]?[\])}}>][ \t]{{0,3}})"
 _DOT = r"(?:\.|[ \t]{0,3}[\[({<][ ]?(?:dot|DOT)[ ]?[\])}>][ \t]{0,3})"
 _LABEL = r"[^\W_](?:[\w\-]*[^\W_])?"
-_EMAIL = re.compile(
-    rf"(?<![\w.+\-@])[^\W_][\w.+\-]{{0,63}}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+"
-    rf"|(?<![\w.+\-@])[^\W_][\w.+\-]{{0,63}}{_SP}(?:at|AT){_SP}{_LABEL}(?:{_SP}(?:dot|DOT){_SP}{_LABEL})+"
-)
+_EMAIL = re.compile(rf"(?<![\w.+\-@])[^\W_][\w.+\-]{{0,63}}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
+_SPELLED = re.compile(rf"(?<![\w.+\-@])[^\W_][\w.+\-]{{0,63}}{_SP}(?:at|AT){_SP}{_LABEL}(?:{_SP}(?:dot|DOT){_SP}{_LABEL})+")
+_AT_SIGN, _BARE = re.compile(r"@|[\[({<][ ]?(?:at|AT)[ ]?[\])}>]"), re.compile(r"[ \t\u00a0](?:dot|DOT)[ \t\u00a0]")
 _NUMBER = re.compile(r"(?<![\w@])(?<![\d][.\-/])(?:\+[ ]?|\()?\d(?:[ \t ]{0,3}[().\-/]?[ \t ]{0,3}\(?\d){5,17}(?![\d@])")
 _GROUP = re.compile(r"[ \t ]+")
 _ID = re.compile(r"(?<![\w\-@.])(?:[A-Z]{2,4}[- ]{0,2}\d{5,10}|[A-Z]\d{6,9}|[A-Z]{2}(?:[ ]{0,3}\d{2}){3}[ ]{0,3}[A-Z]|\d{7,8}[- ]?[A-Z]|[A-Z]\d{4,7}[A-Z]\d{0,3})(?![\w@])")
@@ -60,7 +59,6 @@ _NAMES = [
     ("first middle last", re.compile(rf"(?<![\w\-@.])(?=({_T}{_SP}{_T}{_SP}{_SUR})(?![\w@]))")),
     ("initial last", re.compile(rf"(?<![\w\-@.])(?=({_INI}[ \t]{{0,3}}(?:{_INI}[ \t]{{0,3}}){{0,2}}{_SUR})(?![\w@]))")),
     ("last, first", re.compile(rf"(?<![\w\-@.])(?=({_SUR},{_SP}(?:{_FIRST}(?:{_SP}{_INI})?|{_INI}))(?![\w@]))")),
-    ("single", re.compile(rf"(?<![\w\-@.])(?=({_T})(?![\w\-@]))")),
 ]
 _CUE_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 
@@ -124,8 +122,8 @@ def _features(text: str, a: int, b: int, kind: str, form: str) -> list[str]:
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     """(a, b, type, features) of every candidate span."""
     spans: dict[tuple[int, int, str], str] = {}
-    if "@" in text or re.search(r"(?i)\bat\b", text):
-        for m in _EMAIL.finditer(text):
+    for rx, sign in ((_EMAIL, _AT_SIGN), (_SPELLED, _BARE)):
+        for m in rx.finditer(text) if sign.search(text) else ():
             form = "plain" if re.search(r"\S@\S", m[0]) else "spaced" if "@" in m[0] else "spelled"
             spans.setdefault((m.start(), m.end(), "email"), form)
     if any(c.isdigit() for c in text):
