@@ -61,6 +61,7 @@ class SeedIndex:
     def __post_init__(self):
         self.keys, self.firsts, self.counts = np.unique(self.hashes, return_index=True, return_counts=True)
         self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.wide = int(self.lengths.max(initial=0)) + 8
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.rare_flat = np.concatenate([np.zeros(0, bool), *self.rare]).astype(float)
         self.n_rare = np.array([r.sum() for r in self.rare], dtype=np.int64)
@@ -115,12 +116,21 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[int], int, in
     n, m = len(item), len(text)
     if not n or not m:
         return 0.0, [], 0, 0, 0, 0
-    s = np.zeros((n + 1, m + 1), np.float32)
-    ramp = np.arange(m, dtype=np.float32) * np.float32(-_GAP)
+    # rows are kept with the text gaps' cost added back, which makes the best gap a running maximum
+    ramp = np.arange(m + 1, dtype=np.float32) * np.float32(-_GAP)
+    sub = np.where(item[:, None] == text[None, :], np.float32(_MATCH - _GAP), np.float32(_MISMATCH - _GAP))
+    s = np.empty((n + 1, m + 1), np.float32)
+    s[0] = ramp
+    t = np.empty(m, np.float32)
     for i in range(n):
-        sub = np.where(text == item[i], np.float32(_MATCH), np.float32(_MISMATCH))
-        t = np.maximum(np.maximum(s[i, :-1] + sub, s[i, 1:] + np.float32(_GAP)), 0)
-        s[i + 1, 1:] = np.maximum.accumulate(t + ramp) - ramp
+        row = s[i + 1]
+        row[0] = 0
+        np.add(s[i, :-1], sub[i], out=row[1:])
+        np.add(s[i, 1:], np.float32(_GAP), out=t)
+        np.maximum(row[1:], t, out=row[1:])
+        np.maximum(row, ramp, out=row)
+        np.maximum.accumulate(row, out=row)
+    s -= ramp
     i, j = np.unravel_index(int(s.argmax()), s.shape)
     best, i1, j1, matched = float(s[i, j]), int(i), int(j), []
     while i > 0 and j > 0 and s[i, j] > 1e-3:
@@ -146,7 +156,10 @@ def overlap(item: np.ndarray, text: np.ndarray, reach: int, need: float) -> tupl
         return [], 0, 0
     best = (matched, j0, j1)
     lo = max(0, j0 - reach - 2 * i0)
-    for side, x, y, at, shift in (("before", item[:i0], text[lo:j0], lo, 0), ("after", item[i1:], text[j1 : j1 + reach + 2 * (len(item) - i1)], j1, i1)):
+    sides = (("before", item[:i0], text[lo:j0], lo, 0), ("after", item[i1:], text[j1 : j1 + reach + 2 * (len(item) - i1)], j1, i1))
+    for side, x, y, at, shift in sides:
+        if len(x) < _LEAST_SCORE or len(y) < _LEAST_SCORE:
+            continue
         s2, m2, _, _, a, b = align(x, y)
         near = (j0 - (at + b)) if side == "before" else a
         if s2 >= _LEAST_SCORE and near <= reach and len(matched) + len(m2) > len(best[0]):
@@ -157,7 +170,8 @@ def overlap(item: np.ndarray, text: np.ndarray, reach: int, need: float) -> tupl
 def text_leaks(index: SeedIndex, text: str, least_share: float, reach: int) -> list[tuple[int, int, int, int]]:
     """(item number, matched words, first word, end word) of every item that ``text`` holds to at least ``least_share``."""
     ws = words(text)
-    ids = np.fromiter((index.vocabulary.get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
+    known = index.vocabulary.get
+    ids = np.array([known(w, -1) for w in ws], dtype=np.int64)
     item, pos, at, mask = index.hits(ids)
     if not len(item):
         return []
@@ -193,7 +207,7 @@ class _Cover:
 
     def __init__(self, index: SeedIndex, item: np.ndarray, pos: np.ndarray, mask: np.ndarray):
         self.index = index
-        self.wide = max(len(x) for x in index.items) + 8
+        self.wide = index.wide
         cells = np.unique((item[:, None] * self.wide + pos[:, None] + _OFFSET_TABLE[mask]).ravel())
         self.of, self.at = cells // self.wide, cells % self.wide
 
