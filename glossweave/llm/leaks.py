@@ -31,17 +31,26 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
 
 
-def _mix(ids: np.ndarray, offsets: tuple[int, ...], mask_no: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of one mask at every position of ``ids`` where all its words are known (not negative), and those positions."""
-    n = len(ids) - offsets[-1]
+def _codes(n: int) -> np.ndarray:
+    """For each of ``n`` words four 64-bit numbers, one for each place in a mask, spread by a fixed bit mixer; a last row of zeros."""
+    x = np.arange(1, 4 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.vstack([(x ^ (x >> np.uint64(31))).reshape(n, 4), np.zeros((1, 4), np.uint64)])
+
+
+def _mix(codes: np.ndarray, known: np.ndarray, offsets: tuple[int, ...], mask_no: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of one mask at every position where all its words are known, and those positions."""
+    n = len(known) - offsets[-1]
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    cols = np.stack([ids[o : o + n] for o in offsets])
-    at = np.nonzero((cols >= 0).all(axis=0))[0]
+    on = known[:n].copy()
+    for o in offsets[1:]:
+        on &= known[o : o + n]
+    at = np.nonzero(on)[0]
     h = np.full(len(at), (mask_no + 1) * 0xD1B54A32D192ED03 % 2**64, np.uint64)
-    for c in cols[:, at].astype(np.uint64):
-        h = (h ^ (c + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    for j, o in enumerate(offsets):
+        h += codes[at + o, j]
     return h, at
 
 
@@ -59,6 +68,7 @@ class SeedIndex:
     rare: list[np.ndarray]
 
     def __post_init__(self):
+        self.codes = _codes(len(self.vocabulary))
         self.keys, self.firsts, self.counts = np.unique(self.hashes, return_index=True, return_counts=True)
         self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
         self.wide = int(self.lengths.max(initial=0)) + 8
@@ -71,10 +81,10 @@ class SeedIndex:
         """Index texts; those without a word are in no seed."""
         voc: dict[str, int] = {}
         items = [np.array([voc.setdefault(w, len(voc)) for w in words(t)], dtype=np.int64) for t in texts]
-        hs, it, ps, ms = [], [], [], []
+        hs, it, ps, ms, codes = [], [], [], [], _codes(len(voc))
         for i, ids in enumerate(items):
             for m, off in enumerate(_OFFSETS):
-                h, at = _mix(ids, off, m)
+                h, at = _mix(codes[ids], np.ones(len(ids), bool), off, m)
                 hs.append(h)
                 ps.append(at)
                 it.append(np.full(len(at), i))
@@ -91,9 +101,9 @@ class SeedIndex:
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(item, item position, text position, mask) of every shared seed."""
-        out = []
+        out, codes, known = [], self.codes[ids], ids >= 0
         for m, off in enumerate(_OFFSETS):
-            h, at = _mix(ids, off, m)
+            h, at = _mix(codes, known, off, m)
             if not len(h) or not len(self.keys):
                 continue
             k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
