@@ -69,6 +69,8 @@ class SeedIndex:
 
     def __post_init__(self):
         self.codes = _codes(len(self.vocabulary))
+        self.sieve = np.zeros(1 << 20, bool)  # top bits of the hashes: most seeds of a text end here
+        self.sieve[self.hashes >> np.uint64(44)] = True
         self.keys, self.firsts, self.counts = np.unique(self.hashes, return_index=True, return_counts=True)
         self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
         self.wide = int(self.lengths.max(initial=0)) + 8
@@ -104,7 +106,9 @@ class SeedIndex:
         out, codes, known = [], self.codes[ids], ids >= 0
         for m, off in enumerate(_OFFSETS):
             h, at = _mix(codes, known, off, m)
-            if not len(h) or not len(self.keys):
+            may = self.sieve[h >> np.uint64(44)]
+            h, at = h[may], at[may]
+            if not len(h):
                 continue
             k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[k] == h
