@@ -198,7 +198,7 @@ def merge_knowledge_bases(kb: DataFrame) -> DataFrame:
     return keep_last(by_id, ["label"], [F.asc("entity_id")])
 
 
-def number_entities(df: DataFrame, start: int, prefix: str = "PEL") -> DataFrame:
+def number_entities(df: DataFrame, start: int, prefix: str = "KB") -> DataFrame:
     """Identifiers for labels without one, numbered by label from ``start``."""
     ranked = df.where("entity_id IS NULL").groupBy("label").agg(F.lit(1)).select("label")
     numbered = ranked.withColumn("n", F.row_number().over(Window.orderBy("label")) + F.lit(start - 1))

@@ -128,7 +128,7 @@ SQL = {
     "j6_drop_entities": f"WITH {Q}, {_KBK} SELECT row_id, entity FROM q WHERE entity IS NULL OR entity NOT IN (SELECT entity FROM kk)",
     "j8_one_sample_per_combo": f"WITH {Q} SELECT row_id, model, layer, sample_idx::BIGINT AS sample_idx FROM q WHERE sample_idx = (SELECT min(sample_idx) FROM q p WHERE p.model = q.model AND p.layer = q.layer)",
     "w1_cap_per_entity": f"WITH {Q} SELECT row_id, entity FROM (SELECT row_id, entity, row_number() OVER (PARTITION BY entity ORDER BY {draw_sql('row_id', 3)}, row_id) AS r FROM q) WHERE entity IS NULL OR r <= CASE WHEN entity = '{NEG}' THEN 25 ELSE 10 END",
-    "w15_number_entities": "SELECT label, printf('PEL.%06d', 5000 + row_number() OVER (ORDER BY label)) AS entity_id FROM (SELECT DISTINCT label FROM kb_extension WHERE label IS NOT NULL)",
+    "w15_number_entities": "SELECT label, printf('KB.%06d', 5000 + row_number() OVER (ORDER BY label)) AS entity_id FROM (SELECT DISTINCT label FROM kb_extension WHERE label IS NOT NULL)",
     "o2_common_entities": f"WITH {M}, {Q} SELECT entity FROM m WHERE entity IS NOT NULL INTERSECT SELECT entity FROM q",
     "o4_merge_knowledge_bases": f"WITH {KB}, a AS (SELECT * FROM k WHERE label IS NOT NULL AND NOT contains(label, 'not for use in curation') AND NOT contains(label, 'obsolete') QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY description NULLS LAST, label, example NULLS LAST) = 1) SELECT entity_id, label, description FROM a QUALIFY row_number() OVER (PARTITION BY label ORDER BY entity_id) = 1",
     "o9_stratified_sample": f"WITH {Q} {_strat_sql(500, 5)}",

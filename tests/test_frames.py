@@ -77,7 +77,7 @@ def test_knowledge_base_helpers(spark):
     merged = op.merge_knowledge_bases(kb.withColumn("example", F.lit(None).cast("string")))
     assert {(r["entity_id"], r["label"]) for r in merged.collect()} == {("a", "B")}
     todo = spark.createDataFrame([(None, "z"), (None, "y"), ("k", "x")], "entity_id string, label string")
-    assert {tuple(r) for r in op.number_entities(todo, 7).collect()} == {("y", "PEL.000007"), ("z", "PEL.000008")}
+    assert {tuple(r) for r in op.number_entities(todo, 7).collect()} == {("y", "KB.000007"), ("z", "KB.000008")}
 
 
 def test_schema_helpers(spark):
