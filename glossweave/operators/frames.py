@@ -105,9 +105,43 @@ def cap_per_entity(df: DataFrame, most: int, negative: str, most_negative: int |
     return positives.unionByName(negatives).unionByName(df.where(F.col("entity").isNull()))
 
 
+#: Draws fall into buckets of so many values, about a thousand buckets in all.
+_DRAW_BUCKET = 1000
+#: Up to so many rows are taken by a plain ordered limit.
+_SMALL_TAKE = 10_000
+
+
 def top_by_draw(df: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """``n`` rows without replacement: those with the smallest seeded hash (TakeOrdered, no full sort)."""
-    return df.orderBy(draw(row_id, seed), row_id).limit(n)
+    """``n`` rows without replacement: those with the smallest seeded hash.
+
+    A small sample is an ordered limit. For a large one the rows of each hash bucket are counted (about a
+    thousand counts); whole buckets are taken as they are, and only the one in which the sample ends is ordered.
+    """
+    if n <= _SMALL_TAKE:
+        return df.orderBy(draw(row_id, seed), row_id).limit(n)
+    bucket = F.floor(draw(row_id, seed) / _DRAW_BUCKET)
+    taken = 0
+    for r in sorted(df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()):
+        if taken + r["k"] > n:
+            last = df.where(bucket == r["b"]).orderBy(draw(row_id, seed), row_id).limit(n - taken)
+            return df.where(bucket < r["b"]).unionByName(last)
+        taken += r["k"]
+    return df
+
+
+def rank_by_draw(df: DataFrame, by: str, seed: int, row_id: str = "row_id") -> DataFrame:
+    """The frame with ``__rank``, from 0, of every row among those of its ``by`` value in the order of a seeded hash.
+
+    Counts per (value, hash bucket) are cumulated and only buckets are ordered, so that a value with most of
+    the rows is spread over about a thousand windows.
+    """
+    keyed = df.withColumns({"__bucket": F.floor(draw(row_id, seed) / _DRAW_BUCKET), "__by": F.coalesce(F.col(by).cast("string"), F.lit("\0"))})
+    counts = keyed.groupBy("__by", "__bucket").agg(F.count(F.lit(1)).alias("__k"))
+    before = Window.partitionBy("__by").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__by", "__bucket", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__by", "__bucket").orderBy(draw(row_id, seed), row_id)) - 1
+    ranked = keyed.withColumn("__r", inside).join(starts, ["__by", "__bucket"])
+    return ranked.withColumn("__rank", F.col("__start") + F.col("__r")).drop("__by", "__bucket", "__start", "__r")
 
 
 def sample_size(n: int, rows: int) -> int:
@@ -154,8 +188,7 @@ def balanced_sample(df: DataFrame, n: int, by: str, seed: int = 0, row_id: str =
 
 def folds(df: DataFrame, by: str, k: int, seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """The frame with a stratified ``fold`` in 0..k-1 (O15); a fold is a test set, the rest its training set."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(draw(row_id, seed), row_id)) - 1
-    return df.withColumn("fold", F.pmod(rank, F.lit(k)).cast("long"))
+    return rank_by_draw(df, by, seed, row_id).withColumn("fold", F.pmod("__rank", F.lit(k)).cast("long")).drop("__rank")
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glossweave.operators import frames as op
 from glossweave.schema import conform, nan_to_null, require
@@ -63,6 +64,18 @@ def test_samples_are_seeded(spark):
     assert sorted(v for (e, _), v in sizes.items() if e == "kb") == [105] * 5
 
 
+def test_large_samples_and_ranks_match_a_plain_order(spark):
+    df = spark.range(30_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 2).alias("y"))
+    plain = df.orderBy(op.draw("row_id", 4), "row_id").limit(12_345)
+    got = op.top_by_draw(df, 12_345, 4)
+    assert got.count() == 12_345 and got.exceptAll(plain).count() == 0
+    assert op.top_by_draw(df, 99_999, 4).count() == 30_000
+    w = Window.partitionBy("y").orderBy(op.draw("row_id", 4), "row_id")
+    want = df.select("row_id", (F.row_number().over(w) - 1).cast("long").alias("r"))
+    ranked = op.rank_by_draw(df, "y", 4).select("row_id", F.col("__rank").cast("long").alias("r"))
+    assert ranked.count() == 30_000 and ranked.exceptAll(want).count() == 0
+
+
 def test_upsert_keeps_the_newest(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
