@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.functions.vectors import l2_normalise
-from glossweave.operators.skew import order_bin
+from glossweave.operators.skew import key_profile, order_bin, quantile_name
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -133,10 +133,12 @@ def binary_metrics(df: DataFrame, y: str, score: str, by: list[str], threshold:
 
 
 def quantile_table(df: DataFrame, columns: list[str], qs: list[float]) -> DataFrame:
-    """(metric, q, value): exact interpolated quantiles."""
-    aggs = [F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in columns]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("metric"), F.lit(q).alias("q"), F.element_at(c, i).alias("value")) for c in columns for i, q in enumerate(qs, 1)]
+    """(metric, q, value): exact interpolated quantiles over all rows.
+
+    Through value frequencies and order-preserving bins, as no aggregation buffer may hold all values.
+    """
+    one = key_profile(df.withColumn("__all", F.lit(0)), "__all", {c: F.col(c) for c in columns}, {}, qs)
+    rows = [F.struct(F.lit(c).alias("metric"), F.lit(q).alias("q"), F.col(quantile_name(q, c)).alias("value")) for c in columns for q in qs]
     return one.select(F.inline(F.array(*rows)))
 
 

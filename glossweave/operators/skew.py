@@ -39,6 +39,12 @@ def order_bin(v: Column) -> Column:
     return F.when(v > 0, mag + 100_000).when(v < 0, -mag - 100_000).otherwise(F.lit(0)).cast("int")
 
 
+def quantile_name(p: float, name: str) -> str:
+    """Column of a quantile: q and its percentage, with _ for the decimal point."""
+    percent = f"{round(p * 100, 6):g}".replace(".", "_")
+    return f"q{percent.zfill(2) if '_' not in percent else percent}_{name}"
+
+
 def key_profile(
     df: DataFrame,
     key: str,
@@ -133,7 +139,7 @@ def key_profile(
         )
     )
     qcols = [
-        F.sum(F.when((F.col("m") == i) & (F.col("q") == j), F.col("part"))).alias(f"q{round(p * 100):02d}_{n}")
+        F.sum(F.when((F.col("m") == i) & (F.col("q") == j), F.col("part"))).alias(quantile_name(p, n))
         for i, n in enumerate(names, 1)
         for j, p in enumerate(quantiles)
     ]

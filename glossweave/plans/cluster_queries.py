@@ -8,6 +8,7 @@ from glossweave.operators import composition as comp
 from glossweave.operators import grid as gr
 from glossweave.operators import metrics as mx
 from glossweave.operators.frames import keep_last
+from glossweave.operators.skew import key_profile
 from glossweave.plans.frames_sql import METRICS, NEG, Q, U, grid, quality, usable_mentions
 
 _r = lambda c, n=6: (F.round(F.col(c) + 3e-11, n) + 0.0).alias(c)
@@ -83,7 +84,7 @@ QUERIES = {
     "a18_mean_cosine": lambda s, d: mx.cosine_spread(usable_mentions(s, d).where("entity IS NOT NULL"), "entity", "embed", 64).where("n > 1").select("entity", "n", _r("mean_cosine")),
     "a18_cosine_deviation": lambda s, d: mx.cosine_deviation(usable_mentions(s, d).where("entity IS NOT NULL"), "entity", "embed", "row_id", 64).select("entity", "n_pairs", _r("std")),
     "a24_metric_quantiles": lambda s, d: mx.quantile_table(quality(s, d), list(METRICS), [0.5, 0.9, 0.95, 0.99]).select("metric", "q", _r("value")),
-    "a25_medians_by_class": lambda s, d: _lab(s, d).groupBy("oov_label").agg(*[F.median(m).alias(m) for m in METRICS]).select("oov_label", *[_r(m) for m in METRICS]),
+    "a25_medians_by_class": lambda s, d: key_profile(_lab(s, d), "oov_label", {m: F.col(m) for m in METRICS}, {}, [0.5]).select("oov_label", *[(F.round(F.col(f"q50_{m}") + 3e-11, 6) + 0.0).alias(m) for m in METRICS]),
     "a26_spearman": lambda s, d: mx.spearman(quality(s, d), "pca_residual", "pca_mahalanobis").select(_r("rho")),
     "a27_ellipses": lambda s, d: mx.ellipse(_g(s, d), "dbcv", "ari", gr.COMBO).select("model", "layer", *[_r(c) for c in ("mx", "my", "covariance", "major", "minor")]),
     "w8_z_scores": lambda s, d: mx.z_scores(quality(s, d), list(METRICS), ["model", "layer"]).select("row_id", *[_r(f"z_{m}") for m in METRICS], _r("max_z")),
