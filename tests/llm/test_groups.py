@@ -150,6 +150,9 @@ def test_clusters_of_directions(spark):
         by[r["cluster_no"]].add(true[r["id"]])
     assert found.n_usable == 908 and len(found.sizes) == 3 and sorted(map(tuple, by.values())) == [(0,), (1,), (2,)]
     assert sum(found.sizes) == len(got) == 681 and min(r["cosine"] for r in got) >= 0.6
+    heap = np.vstack([np.repeat(rng.normal(size=(1, 64)), 400, axis=0), heads[0] * 5 + rng.normal(size=(400, 64)) * 0.1, rng.normal(size=(400, 64))])
+    copies = mixture_clusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(heap)], "mid long, e array<double>"), "mid", "e")
+    assert sorted(copies.sizes) == [400, 400] and {r["id"] // 400 for r in copies.members.collect()} == {0, 1}
     nothing = mixture_clusters(df.limit(0), "mid", "e")
     assert nothing.members.count() == 0 and nothing.sizes == []
     same = mixture_clusters(spark.createDataFrame([(i, [1.0] + [0.0] * 63) for i in range(50)], "mid long, e array<double>"), "mid", "e")
