@@ -86,7 +86,7 @@ class Linker:
         scored = self.screener.score(self.pca.transform(mentions, "embed").drop("p"), "embed", "projection_score")
         scored = z_scores(scored.withColumn("__batch", F.lit(0)), METRICS, batch or ["__batch"]).drop("__batch")
         heads = self.heads.select(F.col("cluster").cast("long").alias("id"), "embed")
-        return _to_heads(scored, heads, self.config.dim)
+        return to_heads(scored, heads, self.config.dim)
 
     def predict(self, mentions: DataFrame) -> DataFrame:
         """Linked mentions: gates, overlap resolution, then the threshold (Q11, Q16, traps X24, X25)."""
@@ -113,7 +113,7 @@ class Linker:
         return Linker(config, PcaModel(*map(np.array, s["pca"])), LinearScreener(np.array(w), b, kind), spark.read.parquet(f"{folder}/assignments"), spark.read.parquet(f"{folder}/heads"), s["chosen_size"])
 
 
-def _to_heads(df: DataFrame, heads: DataFrame, dim: int) -> DataFrame:
+def to_heads(df: DataFrame, heads: DataFrame, dim: int) -> DataFrame:
     """``cluster`` and ``score`` (cosine) of the nearest head; heads are at most sample_rows / smallest size, so they are collected."""
     rows = sorted((r["id"], r["embed"]) for r in heads.collect())
     ids = np.array([r[0] for r in rows], dtype=np.int64)

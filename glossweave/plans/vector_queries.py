@@ -9,8 +9,9 @@ from glossweave.operators import learning as ln
 from glossweave.operators import vectors as vx
 from glossweave.operators.frames import entity_means, top_by_draw
 from glossweave.plans.frames_sql import NEG, U, quality, usable_mentions
+from glossweave.plans.pipeline import to_heads
 from glossweave.plans.text_queries import _simplicity
-from glossweave.tables import table
+from glossweave.tables import materialise, table
 
 _r = lambda c, n=6: (F.round(F.col(c) + 3e-11, n) + 0.0).alias(c)
 
@@ -95,14 +96,14 @@ def _projection(s, d):
 
 
 def _approximate(s, d):
-    """Cluster of the nearest training mention for every usable mention, a block of the bounded sample at a time."""
+    """Cluster of the nearest head for every usable mention, one row each; -1 where the bounded sample has no cluster (README: the rest by nearest head)."""
     sample = top_by_draw(_named(s, d), 1500, 11)
-    fitted = ln.cluster_sample(vx.reduce_dimensions(sample, "embed", 64, 8), "row_id", "u", 15)
+    fitted = materialise(ln.cluster_sample(vx.reduce_dimensions(sample, "embed", 64, 8), "row_id", "u", 15), "fitted")
     trained = fitted.where("cluster >= 0").join(sample.select("row_id", "embed"), "row_id")
     heads = trained.groupBy("cluster").agg(F.min("row_id").alias("head"))
-    means = vf.mean_vectors(trained.withColumn("cluster", F.col("cluster").cast("long")), ["cluster"], "embed").withColumnRenamed("cluster", "id")
-    near = vx.nearest_exact(means, _base(s, d), 200, 64)
-    return near.join(heads.withColumn("query", F.col("cluster").cast("long")), "query").select(F.col("other").alias("row_id"), "cluster", "head", F.round("cosine", 6).alias("cosine"))
+    means = vf.mean_vectors(trained, ["cluster"], "embed").select(F.col("cluster").cast("long").alias("id"), "embed")
+    near = to_heads(usable_mentions(s, d).select("row_id", "embed"), means, 64)
+    return near.join(F.broadcast(heads), "cluster", "left").select("row_id", "cluster", "head", F.round("score", 6).alias("cosine"))
 
 
 def _rs(c, n=6):

@@ -187,3 +187,14 @@ def test_core_imports_without_the_subpackage(tmp_path):
     for p in (root / "glossweave").rglob("*.py"):
         if "llm" not in p.parts:
             assert "glossweave.llm" not in p.read_text(), p
+
+
+def test_nearest_head_for_every_usable_mention(spark):
+    import __spark_entry__ as e
+    from glossweave.plans.frames_sql import usable_mentions
+
+    d = "/root/testdata/sf0.01"
+    got = e.queries()["e5_approximate_predict"](spark, d).collect()
+    want = sorted(r["row_id"] for r in usable_mentions(spark, d).select("row_id").collect())
+    assert sorted(r["row_id"] for r in got) == want and len(want) > 3000
+    assert len({r["cluster"] for r in got}) > 1 and all(r["head"] is not None for r in got)
