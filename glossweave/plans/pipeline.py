@@ -23,6 +23,7 @@ from glossweave.operators.metrics import z_scores
 from glossweave.operators.vectors import HashingEncoder, PcaModel, reduce_dimensions
 from glossweave.sources.readers import load_json
 from glossweave.sources.writers import write_json
+from glossweave.tables import drop_materialised, materialise
 
 METRICS = ["pca_residual", "pca_mahalanobis", "pca_spectral_entropy"]
 
@@ -62,13 +63,14 @@ class Linker:
         """From a mention frame (row_id, entity, mention, embed) and a knowledge base (entity_id, entity) (Q3, Q10).
 
         Projection and screener see all rows; density clustering sees ``sample_rows`` of them, the rest is
-        labelled by the nearest cluster head.
+        labelled by the nearest cluster head. Entities get their clusters from the labels of all rows.
         """
-        rows = drop_rare(mentions.where("entity IS NOT NULL"), config.min_mentions, config.negative)
+        named = mentions.where("entity IS NOT NULL").select("row_id", "entity", "embed")
+        rows = materialise(drop_rare(named, config.min_mentions, config.negative), "named")
         known = rows.where(F.col("entity") != config.negative)
         pca = PcaModel.fit(known, "embed", config.dim, config.pca)
         screener = fit_lda(rows.withColumn("y", (F.col("entity") == config.negative).cast("int")), "embed", "y", config.dim)
-        sample = reduce_dimensions(top_by_draw(known, config.sample_rows, config.seed), "embed", config.dim, config.reduced)
+        sample = materialise(reduce_dimensions(top_by_draw(known, config.sample_rows, config.seed), "embed", config.dim, config.reduced), "sample")
         grid = size_grid(sample, "row_id", "u", "entity", list(config.sizes))
         agg = grid.select(
             "min_cluster_size", F.when(~F.isnan("dbcv"), F.col("dbcv")).alias("dbcv_mean"), F.lit(0.0).alias("dbcv_std"), F.lit(1).alias("dbcv_count"),
@@ -76,9 +78,13 @@ class Linker:
         )
         solved = solve_sizes(agg, []).first()
         size = int(solved["chosen"]) if solved and solved["chosen"] else min(config.sizes)
-        fitted = cluster_sample(sample, "row_id", "u", size).where("cluster >= 0").join(sample.select("row_id", "entity", "embed"), "row_id")
-        heads = mean_vectors(fitted, ["cluster"], "embed")
-        assigned = comp.provisional_assignments(kb.select("entity_id", "entity"), fitted).withColumn("ord", F.col("entity_id"))
+        fitted = materialise(cluster_sample(sample, "row_id", "u", size), "fitted")
+        clustered = fitted.where("cluster >= 0").join(sample.select("row_id", "embed"), "row_id")
+        heads = materialise(mean_vectors(clustered, ["cluster"], "embed"), "heads")
+        near = to_heads(known, heads.select(F.col("cluster").cast("long").alias("id"), "embed"), config.dim)
+        labelled = lk.override_labels(near, fitted, "row_id")
+        assigned = materialise(comp.provisional_assignments(kb.select("entity_id", "entity"), labelled).withColumn("ord", F.col("entity_id")), "assigned")
+        drop_materialised(rows)
         return Linker(config, pca, screener, assigned, heads, size)
 
     def score(self, mentions: DataFrame, batch: list[str] | None = None) -> DataFrame:

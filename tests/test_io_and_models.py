@@ -173,6 +173,18 @@ def test_linker_round_trip(spark, tmp_path):
     assert a == b and a
 
 
+def test_entities_outside_the_sample_are_assigned(spark):
+    x, t = blobs(60)
+    rows = [(i, ("a", "b", "negative")[c], v.tolist()) for i, (v, c) in enumerate(zip(x + 1, t))]
+    out = {r["row_id"] for r in pl.top_by_draw(spark.createDataFrame([(i,) for i, e, _ in rows if e != "negative"], "row_id long"), 60, pl.LinkerConfig().seed).collect()}
+    late = [i for i, e, _ in rows if e == "a" and i not in out][:6]
+    df = spark.createDataFrame([(i, "late" if i in late else e, v) for i, e, v in rows], "row_id long, entity string, embed array<double>")
+    kb = spark.createDataFrame([("A", "a"), ("B", "b"), ("L", "late")], "entity_id string, entity string")
+    linker = pl.Linker.fit(df, kb, pl.LinkerConfig(dim=3, pca=2, reduced=2, sizes=(8, 12), sample_rows=60))
+    assigned = {r["entity_id"]: r["cluster"] for r in linker.assignments.collect()}
+    assert len(late) == 6 and assigned.keys() == {"A", "B", "L"} and assigned["L"] == assigned["A"] != assigned["B"]
+
+
 def test_registry():
     import __spark_entry__ as e
 
