@@ -7,6 +7,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,13 @@ MASKS = ("1111", "11011", "110101", "1010011")
 INDEX_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+")
 _MATCH, _MISMATCH, _GAP = 1.0, -1.5, -1.2
+#: Cost of a changed, left-out or added word where half of an item's words, scattered, must still carry an alignment.
+_LENIENT = -0.4
 _LEAST_SCORE = 4.0
 #: Of an item's rare words at least this part of the required share must be among the words found.
 _RARE_SHARE = 0.6
+#: Of the words, and of the rare words, that a leak needs at least this part must be inside shared seeds; scattered left-out words break most seeds.
+_SEEDED = 0.2
 
 
 def words(text: str) -> list[str]:
@@ -66,6 +71,7 @@ class SeedIndex:
     seed_pos: np.ndarray
     seed_mask: np.ndarray
     rare: list[np.ndarray]
+    own: list[np.ndarray]
 
     def __post_init__(self):
         self.codes = _codes(len(self.vocabulary))
@@ -99,7 +105,7 @@ class SeedIndex:
         for ids in items:
             used[np.unique(ids)] += 1
         rare = [used[ids] <= max(2, len(items) // 50) for ids in items]
-        return SeedIndex(list(item_ids), items, voc, h[order], cat(it), cat(ps), cat(ms), rare)
+        return SeedIndex(list(item_ids), items, voc, h[order], cat(it), cat(ps), cat(ms), rare, [used[ids] == 1 for ids in items])
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(item, item position, text position, mask) of every shared seed."""
@@ -125,14 +131,14 @@ _OFFSETS = tuple(tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS)
 _OFFSET_TABLE = np.array(_OFFSETS)
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[int], int, int, int, int]:
+def align(item: np.ndarray, text: np.ndarray, mismatch: float = _MISMATCH, gap: float = _GAP) -> tuple[float, list[int], int, int, int, int]:
     """Best local alignment: score, matched item positions, and the half-open ranges in item and text."""
     n, m = len(item), len(text)
     if not n or not m:
         return 0.0, [], 0, 0, 0, 0
     # rows are kept with the text gaps' cost added back, which makes the best gap a running maximum
-    ramp = np.arange(m + 1, dtype=np.float32) * np.float32(-_GAP)
-    sub = np.where(item[:, None] == text[None, :], np.float32(_MATCH - _GAP), np.float32(_MISMATCH - _GAP))
+    ramp = np.arange(m + 1, dtype=np.float32) * np.float32(-gap)
+    sub = np.where(item[:, None] == text[None, :], np.float32(_MATCH - gap), np.float32(mismatch - gap))
     s = np.empty((n + 1, m + 1), np.float32)
     s[0] = ramp
     t = np.empty(m, np.float32)
@@ -140,7 +146,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[int], int, in
         row = s[i + 1]
         row[0] = 0
         np.add(s[i, :-1], sub[i], out=row[1:])
-        np.add(s[i, 1:], np.float32(_GAP), out=t)
+        np.add(s[i, 1:], np.float32(gap), out=t)
         np.maximum(row[1:], t, out=row[1:])
         np.maximum(row, ramp, out=row)
         np.maximum.accumulate(row, out=row)
@@ -149,23 +155,23 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[int], int, in
     best, i1, j1, matched = float(s[i, j]), int(i), int(j), []
     while i > 0 and j > 0 and s[i, j] > 1e-3:
         eq = text[j - 1] == item[i - 1]
-        if abs(s[i - 1, j - 1] + (_MATCH if eq else _MISMATCH) - s[i, j]) < 1e-2:
+        if abs(s[i - 1, j - 1] + (_MATCH if eq else mismatch) - s[i, j]) < 1e-2:
             i, j = i - 1, j - 1
             if eq:
                 matched.append(int(i))
-        elif abs(s[i - 1, j] + _GAP - s[i, j]) < 1e-2:
+        elif abs(s[i - 1, j] + gap - s[i, j]) < 1e-2:
             i -= 1
         else:
             j -= 1
     return best, matched, int(i), i1, int(j), j1
 
 
-def overlap(item: np.ndarray, text: np.ndarray, reach: int, need: float) -> tuple[list[int], int, int]:
+def overlap(item: np.ndarray, text: np.ndarray, reach: int, need: float, mismatch: float = _MISMATCH, gap: float = _GAP) -> tuple[list[int], int, int]:
     """Item positions found in order in one or two passages at most ``reach`` words apart; the text range.
 
     Nothing when the larger passage has less than half of the ``need`` words, as two can't make them up then.
     """
-    score, matched, i0, i1, j0, j1 = align(item, text)
+    score, matched, i0, i1, j0, j1 = align(item, text, mismatch, gap)
     if score < _LEAST_SCORE or 2 * len(matched) < need:
         return [], 0, 0
     best = (matched, j0, j1)
@@ -174,7 +180,7 @@ def overlap(item: np.ndarray, text: np.ndarray, reach: int, need: float) -> tupl
     for side, x, y, at, shift in sides:
         if len(x) < _LEAST_SCORE or len(y) < _LEAST_SCORE:
             continue
-        s2, m2, _, _, a, b = align(x, y)
+        s2, m2, _, _, a, b = align(x, y, mismatch, gap)
         near = (j0 - (at + b)) if side == "before" else a
         if s2 >= _LEAST_SCORE and near <= reach and len(matched) + len(m2) > len(best[0]):
             best = (matched + [p + shift for p in m2], min(j0, at + a), max(j1, at + b))
@@ -201,13 +207,23 @@ def text_leaks(index: SeedIndex, text: str, least_share: float, reach: int) -> l
         for s in np.unique(np.concatenate([slot, slot - 1])):
             inside = (slot == s) | (slot == s + 1)
             c, c_rare = cover.size(i, pos[own][inside], mask[own][inside])
-            if c >= need / 2 and c_rare >= _RARE_SHARE * least_share * index.n_rare[i] / 2:
+            if c >= _SEEDED * need and c_rare >= _SEEDED * _RARE_SHARE * least_share * index.n_rare[i]:
                 tried.append((-c, int(s)))
         best = (0, 0, 0)
+        rare, least_rare = index.rare[i], _RARE_SHARE * least_share * index.rare[i].sum()
+        own, least_own = index.own[i], _RARE_SHARE * least_share * index.own[i].sum()
+        windows = []
         for _, s in sorted(tried):
             lo = max(0, s * step - 8)
-            m, j0, j1 = overlap(words_of, ids[lo : (s + 2) * step + 8], reach, need)
-            if len(m) > best[0] and index.rare[i][m].sum() >= _RARE_SHARE * least_share * index.rare[i].sum():
+            window = ids[lo : (s + 2) * step + 8]
+            there = np.isin(words_of, window)  # no order finds more than these
+            if there.sum() >= need and (there & rare).sum() >= least_rare:
+                windows.append((lo, window))
+        # every window at strict costs; where that finds too few words, again at costs that scattered changes bear, if
+        # words of no other item are there too: sentences of one pattern with other names and numbers are no leak
+        for (mismatch, gap, least), (lo, window) in product(((_MISMATCH, _GAP, 0), (_LENIENT, _LENIENT, least_own)), windows):
+            m, j0, j1 = overlap(words_of, window, reach, need, mismatch, gap)
+            if len(m) > best[0] and rare[m].sum() >= least_rare and own[m].sum() >= least:
                 best = (len(m), lo + j0, lo + j1)
             if best[0] >= need:
                 break
@@ -226,11 +242,11 @@ class _Cover:
         self.of, self.at = cells // self.wide, cells % self.wide
 
     def worth(self, least_share: float) -> list[int]:
-        """Items with half of the words, and of the rare words, that a leak needs inside shared seeds."""
+        """Items with ``_SEEDED`` of the words, and of the rare words, that a leak needs inside shared seeds."""
         n_items = len(self.index.items)
         covered = np.bincount(self.of, minlength=n_items)
         rare = np.bincount(self.of, weights=self.index.rare_flat[self.index.starts[self.of] + self.at], minlength=n_items)
-        on = (covered >= least_share * self.index.lengths / 2) & (rare >= _RARE_SHARE * least_share * self.index.n_rare / 2) & (covered > 0)
+        on = (covered >= _SEEDED * least_share * self.index.lengths) & (rare >= _SEEDED * _RARE_SHARE * least_share * self.index.n_rare) & (covered > 0)
         return np.nonzero(on)[0].tolist()
 
     def size(self, i: int, pos: np.ndarray, mask: np.ndarray) -> tuple[int, int]:

@@ -171,6 +171,23 @@ def test_leaks():
     assert leaked(ITEM, " ".join(reversed(w))) == [] and leaked(ITEM, "") == [] and leaked("", ITEM) == []
 
 
+def test_leaks_with_many_scattered_changes():
+    noise = " ".join(f"noise{i}" for i in range(200))
+    w = [f"word{i}" for i in range(72)]
+    item = " ".join(w)
+    r = random.Random(11)
+    for share, least in ((0.6, 18), (0.55, 16)):
+        changed = left_out = 0
+        for _ in range(20):
+            on = set(r.sample(range(72), round(share * 72)))
+            changed += leaked(item, f"{noise} {' '.join(x if i in on else 'zzz' for i, x in enumerate(w))} {noise}") == [0]
+            left_out += leaked(item, f"{noise} {' '.join(w[i] for i in sorted(on))} {noise}") == [0]
+        assert changed >= least and left_out >= least
+    for share in (0.33, 0.45):
+        on = set(r.sample(range(72), round(share * 72)))
+        assert leaked(item, f"{noise} {' '.join(x if i in on else 'zzz' for i, x in enumerate(w))} {noise}") == []
+
+
 def test_alignment():
     s, matched, i0, i1, j0, j1 = align(np.arange(10), np.array([50, 0, 1, 2, 99, 4, 5, 6, 60]))
     assert matched[::-1] == [0, 1, 2, 4, 5, 6] and (i0, i1, j0, j1) == (0, 7, 1, 8) and s == pytest.approx(4.5)
