@@ -8,7 +8,7 @@ from glossweave.functions import vectors as vf
 from glossweave.operators import learning as ln
 from glossweave.operators import vectors as vx
 from glossweave.operators.frames import entity_means, top_by_draw
-from glossweave.plans.frames_sql import NEG, U, quality, usable_mentions
+from glossweave.plans.frames_sql import NEG, U, mentions, quality, usable_mentions
 from glossweave.plans.pipeline import to_heads
 from glossweave.plans.text_queries import _simplicity
 from glossweave.tables import materialise, table
@@ -72,6 +72,8 @@ QUERIES = {
     "m17_centroid_cosine_by_entity": lambda s, d: vx.centroid_cosines(_named(s, d), "entity", "embed").groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.avg("to_centroid").alias("mean_cosine")).select("entity", "n", _r("mean_cosine")),
     "a30_text_embeddings": lambda s, d: vx.text_embeddings(usable_mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc"), "embed"), s.range(400).select(F.col("id").alias("doc")), 64)
     .select("doc", F.posexplode("embed").alias("pos", "val")).select("doc", F.col("pos").cast("long").alias("pos"), _r("val", 9)),
+    "a30_all_text_embeddings": lambda s, d: vx.text_embeddings(usable_mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc"), "embed"), mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc")).distinct(), 64)
+    .select("doc", F.posexplode("embed").alias("pos", "val")).select("doc", F.col("pos").cast("long").alias("pos"), _r("val", 9)),
     "m2_pca_metrics": lambda s, d: vx.PcaModel.fit(_base(s, d), "embed", 64, 24).transform(_base(s, d), "embed").select("id", *[_r(c) for c in ("pca_residual", "pca_mahalanobis", "pca_spectral_entropy")]),
     "m7_wide_coordinates": lambda s, d: vx.wide_coordinates(vx.reduce_dimensions(_base(s, d), "embed", 64, 4), "u", "u", 4).drop("embed"),
     "m10_hashing_encoder": lambda s, d: _kb_vectors(s, d).select("entity_id", F.size("embed").cast("long").alias("dim"), vf.norm("embed").alias("length")),
@@ -125,4 +127,5 @@ SQL = {
     "m15_near_duplicate_edges": f"WITH {_PAIRS}, q AS (SELECT a, b, round(cosine, 9) AS cosine FROM pp WHERE a < b) SELECT a, b, {_rs('cosine')} FROM q WHERE q.cosine >= (SELECT min(cosine) FROM (SELECT cosine FROM q ORDER BY cosine DESC LIMIT 20))",
     "m16_nearest_gap": f"WITH {_PAIRS} SELECT a AS entity_no, round(1 - max(cosine) + 3e-11, 6) + 0.0 AS gap FROM pp GROUP BY 1",
     "a30_text_embeddings": f"WITH {U}, {_CELLS}, t AS (SELECT unnest(range(400)) AS doc), m2 AS (SELECT itext, pos, avg(val) AS val FROM c WHERE itext IS NOT NULL GROUP BY ALL), g AS (SELECT doc, unnest(range(64)) AS pos FROM t) SELECT doc, g.pos, round(coalesce(val, 0) + 3e-11, 9) + 0.0 AS val FROM g LEFT JOIN m2 ON m2.itext = g.doc AND m2.pos = g.pos",
+    "a30_all_text_embeddings": f"WITH {U}, {_CELLS}, t AS (SELECT DISTINCT itext AS doc FROM m WHERE itext IS NOT NULL), m2 AS (SELECT itext, pos, avg(val) AS val FROM c WHERE itext IS NOT NULL GROUP BY ALL), g AS (SELECT doc, unnest(range(64)) AS pos FROM t) SELECT doc, g.pos, round(coalesce(val, 0) + 3e-11, 9) + 0.0 AS val FROM g LEFT JOIN m2 ON m2.itext = g.doc AND m2.pos = g.pos",
 }

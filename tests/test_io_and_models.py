@@ -210,3 +210,12 @@ def test_nearest_head_for_every_usable_mention(spark):
     want = sorted(r["row_id"] for r in usable_mentions(spark, d).select("row_id").collect())
     assert sorted(r["row_id"] for r in got) == want and len(want) > 3000
     assert len({r["cluster"] for r in got}) > 1 and all(r["head"] is not None for r in got)
+
+
+def test_vectors_of_all_texts(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.01"
+    got = {r["doc"] for r in e.queries()["a30_all_text_embeddings"](spark, d).select("doc").distinct().collect()}
+    want = {r["itext"] for r in spark.read.parquet(f"{d}/mention_frame.parquet").where("itext IS NOT NULL").select("itext").distinct().collect()}
+    assert got == want and max(got) >= 400
