@@ -13,11 +13,17 @@ from pyspark.sql.window import Window
 #: Target tables are collected to plan the quotas; more strata than this are refused.
 MAX_STRATA = 20_000
 _BUCKETS = 4096
-_FLOOR, _EXCESS, _MARGIN, _SLACK, _STEPS = -1000, 10, 20, 100, 20
+#: Prices of a unit. A record sent is worth more than any path costs, a need met is worth more than a missing
+#: record costs, a missing record costs more than any margin or excess can save, and one missing to a floor most.
+_SENT, _NEED, _NO_FLOOR, _NO_TARGET, _OVER_MARGIN, _EXCESS, _STEPS = -100_000, -10_000, 5_000, 1_000, 20, 10, 10
 
 
 class MinCostFlow:
-    """Successive shortest paths with integer capacities; meant for graphs of some thousand arcs."""
+    """Cheapest flow by the primal-dual method, with integer capacities and prices.
+
+    Each phase finds the cheapest paths and then fills all of them at once, so there are as many phases as
+    there are different path prices and not as many as there are arcs.
+    """
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
@@ -35,35 +41,66 @@ class MinCostFlow:
             self.cost.append(w)
         return k
 
-    def send(self, s: int, t: int, amount: int) -> int:
-        """Send up to ``amount`` units along cheapest paths; the units sent."""
-        sent = 0
-        while sent < amount:
-            dist, via = [None] * len(self.out), [-1] * len(self.out)
-            dist[s] = 0
-            queue, inside = deque([s]), [False] * len(self.out)
-            while queue:
-                x = queue.popleft()
-                inside[x] = False
-                for k in self.out[x]:
-                    y = self.to[k]
-                    if self.cap[k] > 0 and (dist[y] is None or dist[x] + self.cost[k] < dist[y]):
-                        dist[y], via[y] = dist[x] + self.cost[k], k
-                        if not inside[y]:
-                            inside[y] = True
-                            queue.append(y)
-            if dist[t] is None:
-                break
-            push, y = amount - sent, t
-            while y != s:
-                push, y = min(push, self.cap[via[y]]), self.to[via[y] ^ 1]
-            y = t
-            while y != s:
-                self.cap[via[y]] -= push
-                self.cap[via[y] ^ 1] += push
-                y = self.to[via[y] ^ 1]
-            sent += push
-        return sent
+    def _prices(self, s: int) -> list[int | None]:
+        """The cheapest price of every node from ``s`` (label correcting, as prices may be negative)."""
+        dist: list[int | None] = [None] * len(self.out)
+        dist[s] = 0
+        queue, inside = deque([s]), [False] * len(self.out)
+        while queue:
+            x = queue.popleft()
+            inside[x] = False
+            for k in self.out[x]:
+                y = self.to[k]
+                if self.cap[k] > 0 and (dist[y] is None or dist[x] + self.cost[k] < dist[y]):
+                    dist[y] = dist[x] + self.cost[k]
+                    if not inside[y]:
+                        inside[y] = True
+                        queue.append(y)
+        return dist
+
+    def _fill(self, s: int, t: int, dist: list[int | None]) -> None:
+        """Saturate the cheapest paths from ``s`` to ``t``."""
+        at, path, on = [0] * len(self.out), [], [False] * len(self.out)
+        x = s
+        on[s] = True
+        while True:
+            if x == t:
+                push = min(self.cap[k] for k in path)
+                for k in path:
+                    self.cap[k] -= push
+                    self.cap[k ^ 1] += push
+                for i, k in enumerate(path):
+                    if not self.cap[k]:  # back to the first arc that is full now
+                        for j in path[i:]:
+                            on[self.to[j]] = False
+                        x = self.to[k ^ 1]
+                        del path[i:]
+                        break
+                continue
+            while at[x] < len(self.out[x]):
+                k = self.out[x][at[x]]
+                y = self.to[k]
+                if self.cap[k] > 0 and not on[y] and dist[y] is not None and dist[y] == dist[x] + self.cost[k]:
+                    path.append(k)
+                    on[y] = True
+                    x = y
+                    break
+                at[x] += 1
+            else:
+                if x == s:
+                    return
+                on[x] = False
+                k = path.pop()
+                x = self.to[k ^ 1]
+                at[x] += 1
+
+    def settle(self, s: int, t: int) -> None:
+        """Send flow from ``s`` to ``t`` for as long as a unit pays, that is, while its path has a negative price."""
+        while True:
+            dist = self._prices(s)
+            if dist[t] is None or dist[t] >= 0:
+                return
+            self._fill(s, t, dist)
 
     def flow(self, k: int) -> int:
         """Units on arc ``k``."""
@@ -89,51 +126,61 @@ def half_up(share: float, n: int) -> int:
 def plan_quotas(cells: list[Cell], n: int) -> list[dict]:
     """Integer quotas for each cell, at most what it holds, n in all where possible.
 
-    Flow runs from a source over row margins to cells and over column margins to a sink. A cell has an
-    arc for its floor (cheapest), one up to its target and one for rows beyond it; margins may be
-    exceeded at a price; and a slack arc from source to sink takes what no cell can give, at the highest
-    price. Where a cell falls short, its rows are therefore made up first within its own row and column.
-    ``need`` is the larger of floor and share * n (half up); ``shortfall`` is need less what is available.
+    Records flow from a source of n through row margins to the cells, in each through an arc of its
+    availability, and on through column margins to a sink. The arc out of a cell is worth most up to its
+    ``need``, the larger of floor and share * n (half up), and dearer with every tenth of the need beyond it,
+    so that what other cells lack is made up evenly, within the same row and column first. Slack arcs bring to
+    a cell what records can't, at a price above any excess: units on them are the ``shortfall``. A need that
+    records could fill is therefore never left open in favour of another cell's excess; where the needs
+    together exceed n, shares give way to floors, evenly.
     """
     rows, cols = sorted({c.row for c in cells}), sorted({c.col for c in cells})
-    at = {("r", r): 1 + i for i, r in enumerate(rows)} | {("c", c): 1 + len(rows) + i for i, c in enumerate(cols)}
-    sink = 1 + len(at)
+    at = {("r", r): 2 + i for i, r in enumerate(rows)} | {("c", c): 2 + len(rows) + i for i, c in enumerate(cols)}
+    first_cell = 2 + len(at)
+    sink = first_cell + len(cells)
     g = MinCostFlow(sink + 1)
     target = [half_up(c.share, n) for c in cells]
     need = [max(c.floor, t) for c, t in zip(cells, target)]
+    source, records, all_units = 0, 1, n + sum(need)
+    g.arc(source, records, n, _SENT)
     for kind, names in (("r", rows), ("c", cols)):
-        for name in names:
-            margin = sum(x for c, x in zip(cells, need) if (c.row if kind == "r" else c.col) == name)
-            ends = (0, at[kind, name]) if kind == "r" else (at[kind, name], sink)
+        margins = dict.fromkeys(names, 0)
+        for c, x in zip(cells, need):
+            margins[c.row if kind == "r" else c.col] += x
+        for name, margin in margins.items():
+            ends = (records, at[kind, name]) if kind == "r" else (at[kind, name], sink)
             g.arc(*ends, margin, 0)
-            g.arc(*ends, n, _MARGIN)
-    arcs = []
-    for c, x in zip(cells, need):
-        a, b = at["r", c.row], at["c", c.col]
-        low = min(c.floor, c.available)
-        mid = max(0, min(x, c.available) - low)
-        ks, left, step = [g.arc(a, b, low, _FLOOR), g.arc(a, b, mid, 0)], max(0, c.available - low - mid), max(1, x // 10)
-        for i in range(_STEPS):  # dearer with every tenth of the need, so that excess spreads over the cells
-            take = min(step, left) if i < _STEPS - 1 else left
-            ks.append(g.arc(a, b, take, _EXCESS + i))
+            g.arc(*ends, all_units, _OVER_MARGIN)
+    held, slack = [], []
+    for i, (c, x) in enumerate(zip(cells, need)):
+        cell, col = first_cell + i, at["c", c.col]
+        held.append(g.arc(at["r", c.row], cell, c.available, 0))
+        low = min(c.floor, x)
+        shares = [(x - low) * (j + 1) // _STEPS - (x - low) * j // _STEPS for j in range(_STEPS)]
+        slack.append([g.arc(source, cell, m, _NO_TARGET + j) for j, m in enumerate(shares) if m] + [g.arc(source, cell, low, _NO_FLOOR)])
+        g.arc(cell, col, x, _NEED)
+        left, step = max(0, c.available - x), max(1, x // 10)
+        for j in range(_STEPS):
+            take = min(step, left) if j < _STEPS - 1 else left
+            if take:
+                g.arc(cell, col, take, _EXCESS + j)
             left -= take
-        arcs.append(ks)
-    g.arc(0, sink, n, _SLACK)
-    g.send(0, sink, n)
+    g.settle(source, sink)
     return [
-        {"row": c.row, "col": c.col, "target": t, "need": x, "available": c.available, "quota": sum(map(g.flow, ks)), "shortfall": max(0, x - c.available)}
-        for c, t, x, ks in zip(cells, target, need, arcs)
+        {"row": c.row, "col": c.col, "target": t, "need": x, "available": c.available, "quota": g.flow(h), "shortfall": sum(map(g.flow, ks))}
+        for c, t, x, h, ks in zip(cells, target, need, held, slack)
     ]
 
 
-def stratum_report(records: DataFrame, targets: DataFrame, row: str, col: str, n: int) -> DataFrame:
+def stratum_report(counts: DataFrame, targets: DataFrame, row: str, col: str, n: int) -> DataFrame:
     """One row for each target stratum: target, need, available, quota, shortfall.
 
-    ``records`` are counted by (row, col); rows with a null in either are in no stratum. ``targets`` has
-    the same two columns, ``target_share`` and ``min_rows``; its rows are collected, and refused beyond
-    ``MAX_STRATA``. Null shares and floors count as 0; a stratum that is named twice is refused.
+    ``counts`` has ``row``, ``col`` (null in either: no stratum) and ``k``, the number of records; several rows
+    of one stratum add up. ``targets`` has the same two columns, ``target_share`` and ``min_rows``; its rows
+    are collected, and refused beyond ``MAX_STRATA``. Null shares and floors count as 0; a stratum that is
+    named twice is refused.
     """
-    spark = records.sparkSession
+    spark = counts.sparkSession
     strata = targets.select(
         F.col(row).cast("string").alias("row"), F.col(col).cast("string").alias("col"),
         F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("min_rows", F.lit(0)).cast("int").alias("floor"),
@@ -142,8 +189,8 @@ def stratum_report(records: DataFrame, targets: DataFrame, row: str, col: str, n
     if len(strata_rows) > MAX_STRATA or len({(r["row"], r["col"]) for r in strata_rows}) < len(strata_rows):
         raise ValueError("too many strata, or a stratum twice")
     local = spark.createDataFrame([(r["row"], r["col"]) for r in strata_rows], "row string, col string")
-    counted = records.select(F.col(row).cast("string").alias("row"), F.col(col).cast("string").alias("col")).join(F.broadcast(local), ["row", "col"])
-    have = {(r["row"], r["col"]): r["k"] for r in counted.groupBy("row", "col").agg(F.count(F.lit(1)).alias("k")).collect()}
+    counted = counts.select(F.col(row).cast("string").alias("row"), F.col(col).cast("string").alias("col"), "k").join(F.broadcast(local), ["row", "col"])
+    have = {(r["row"], r["col"]): r["k"] for r in counted.groupBy("row", "col").agg(F.sum("k").alias("k")).collect()}
     plan = plan_quotas([Cell(r["row"], r["col"], r["share"], r["floor"], have.get((r["row"], r["col"]), 0)) for r in strata_rows], n)
     schema = "row string, col string, target long, need long, available long, quota long, shortfall long"
     return spark.createDataFrame([tuple(p.values()) for p in plan], schema)

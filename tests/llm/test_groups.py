@@ -103,11 +103,36 @@ def test_quota_plan():
     assert plan_quotas([], 10) == [] and plan_quotas([Cell("a", "0", 1.0, 0, 0)], 5)[0]["quota"] == 0
 
 
+def test_no_need_stays_open_while_another_cell_has_more_than_its_own():
+    r = random.Random(5)
+    for trial in range(40):
+        k = r.randrange(1, 30)
+        parts = [r.random() for _ in range(k)]
+        cells = [Cell(f"e{i // 2}", str(i % 2), round(x / sum(parts), 6), r.choice([0, 3, 40]), r.choice([0, 2, 50, 500])) for i, x in enumerate(parts)]
+        n = r.choice([20, 200, 900])
+        plan = plan_quotas(cells, n)
+        assert sum(p["quota"] for p in plan) == min(n, sum(c.available for c in cells)), trial
+        below = [p for p in plan if p["quota"] < min(p["need"], p["available"])]
+        above = [p for p in plan if p["quota"] > p["need"]]
+        assert not (below and above)
+        assert all(0 <= p["quota"] <= p["available"] and p["quota"] + p["shortfall"] >= p["need"] for p in plan)
+        # slack is what no record can give, or what floors and shares together ask beyond n
+        assert all(p["shortfall"] >= p["need"] - p["available"] for p in plan)
+        if sum(min(p["need"], p["available"]) for p in plan) <= n:
+            assert all(p["shortfall"] == max(0, p["need"] - p["available"]) for p in plan)
+        # floors come before shares
+        for c, p in zip(cells, plan):
+            low = min(c.floor, c.available)
+            if p["quota"] < low:
+                assert all(q["quota"] <= max(d.floor, 0) for d, q in zip(cells, plan))
+
+
 def test_draw(spark):
     rows = [(i, "a" if i % 3 else None, i % 2 if i % 7 else None, "x") for i in range(900)]
     df = spark.createDataFrame(rows, "id long, ent string, lab long, row string").withColumns({"k": F.lit(1), "quota": F.lit(2)})
     targets = spark.createDataFrame([("a", 0, 0.6, 3), ("a", 1, 0.4, 3), ("b", 0, None, 4)], "ent string, lab long, target_share double, min_rows int")
-    report = stratum_report(df, targets, "ent", "lab", 50)
+    counts = df.groupBy("ent", "lab").agg(F.count(F.lit(1)).alias("k"))
+    report = stratum_report(counts, targets, "ent", "lab", 50)
     got = {(r["row"], r["col"]): r for r in report.collect()}
     assert got["b", "0"]["shortfall"] == 4 and got["a", "0"]["quota"] == 30 and got["a", "1"]["quota"] == 20
     sample = draw_quotas(df, report, "ent", "lab", ["id"])
@@ -115,10 +140,10 @@ def test_draw(spark):
     out = sample.collect()
     assert Counter((r["ent"], r["lab"]) for r in out) == {("a", 0): 30, ("a", 1): 20} and len({r["id"] for r in out}) == 50
     assert {r["id"] for r in draw_quotas(df, report, "ent", "lab", ["id"]).collect()} == {r["id"] for r in out}
-    empty = stratum_report(df.limit(0), targets, "ent", "lab", 0)
+    empty = stratum_report(counts.limit(0), targets, "ent", "lab", 0)
     assert draw_quotas(df.limit(0), empty, "ent", "lab", ["id"]).count() == 0
     with pytest.raises(ValueError):
-        stratum_report(df, targets.unionByName(targets), "ent", "lab", 10)
+        stratum_report(counts, targets.unionByName(targets), "ent", "lab", 10)
 
 
 def test_em_raises_the_likelihood():
