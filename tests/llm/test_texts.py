@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glossweave.llm import permutation as pm
-from glossweave.llm.chunks import cut_kind, pack_spans, split_texts
+from glossweave.llm.chunks import Tree, cut_kind, pack_spans, split_texts
 from glossweave.llm.leaks import SeedIndex, align, find_leaks, text_leaks, words
 from glossweave.llm.packing import pack_texts, plan_packing, token_count
 from glossweave.llm.pii import candidates, decode, find_spans, gradient, mask, mask_pii, pii_spans, trained
@@ -34,6 +34,57 @@ def test_cut_kinds():
         pack_spans("x" * 30, 5, 5)
 
 
+def plain_kind(text, limit):
+    """The rule as TESTDATA states it, over the flat text."""
+    last = longest = 0
+    for m in re.finditer(r"(?<=[.!?])(?=\s)|\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", text):
+        longest, last = max(longest, m.start() - last), m.end()
+    if max(longest, len(text) - last) <= limit:
+        return "sentence"
+    return "word" if all(len(w) <= limit for w in text.split()) else "inside"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["aaaa", "b.", "c! ", " ", "\n", "\r\n", "<p>", "</p>", "- ", "# ", "ddddddddd", "\x85"]), max_size=60).map("".join), st.integers(4, 30))
+def test_kind_is_the_level_that_packing_without_overlap_needs(text, limit):
+    assert cut_kind(text, limit) == (plain_kind(text, limit) if len(text) > limit else None)
+    if len(text) > limit and not re.search(r"[<\r#\x85-]|\s\s|^\s|\s$", text):  # white space beside a cut counts to a piece
+        levels = {level for *_, level in pack_spans(text, limit + 1, 0)}
+        kind = cut_kind(text, limit + 1)
+        assert kind is None or ("inside" in levels) <= (kind == "inside") and (kind == "sentence") <= (not levels & {"word", "inside"})
+
+
+def test_kind_and_pieces_of_long_sentences():
+    sentence = ("word " * 190).strip()[:949] + "."  # fits the limit, but not beside an overlap of 100
+    text = " ".join([sentence] * 3)
+    assert len(sentence) == 950 and cut_kind(text, 1000) == "sentence"
+    assert {level for *_, level in pack_spans(text, 1000, 0)} == {"sentence"}
+    assert {level for *_, level in pack_spans(text, 1000, 100)} == {"sentence", "word"}  # said in the docstring of split_texts
+    short = " ".join([sentence[51:]] * 3)
+    assert {level for *_, level in pack_spans(short, 1000, 100)} == {"sentence"}
+
+
+def test_tree():
+    text = "# A\nintro text\n## A1\n" + "one. " * 10 + "\n## A2\n- x\n  - x1\n  - x2\n- y\n# B\n<ul><li>p<li>q</ul> tail"
+    tree = Tree(text)
+    sections, level = tree.children(0, len(text), 0)
+    assert level == 0 and [text[a:b][:3] for a, b in sections] == ["# A", "# B"]
+    inner, level = tree.children(*sections[0], 0)
+    assert level == 0 and [text[a:b][:4] for a, b in inner] == ["# A\n", "## A", "## A"]
+    items, level = tree.children(*inner[2], 0)
+    assert level == 3 and [text[a:b] for a, b in items] == ["## A2\n", "- x\n  - x1\n  - x2\n", "- y\n"]
+    nested, level = tree.children(*items[1], 3)
+    assert level == 3 and [text[a:b] for a, b in nested] == ["- x\n", "  - x1\n", "  - x2\n"]
+    elements, level = tree.children(*sections[1], 0)
+    assert level == 1 and [text[a:b] for a, b in elements] == ["# B\n", "<ul><li>p<li>q</ul> ", "tail"]
+    assert [text[a:b] for a, b in tree.children(*elements[1], 1)[0]] == ["<ul>", "<li>p", "<li>q", "</ul> "]
+    # the tail of an opened section does not join the head of the next one
+    two = "# A\n" + "aa bb. " * 12 + "\n# B\n" + "cc dd. " * 12
+    cut = two.index("# B")
+    assert all(b <= cut or a >= cut for a, b, _ in pack_spans(two, 60, 0))
+    assert len(pack_spans("<div>" * 3000 + "x" * 50 + "</div>" * 3000, 100, 10)) > 300
+
+
 def test_pieces(spark):
     long = "A sentence of some words. " * 100
     df = spark.createDataFrame([(1, long), (1, long), (2, None), (3, ""), (4, " \n"), (5, "é" * 2500), (6, "x" * 1000)], "id long, text string").withColumns({"piece": F.lit(0), "a": F.lit(1)})
