@@ -182,3 +182,28 @@ def test_clusters_of_directions(spark):
     assert nothing.members.count() == 0 and nothing.sizes == []
     same = mixture_clusters(spark.createDataFrame([(i, [1.0] + [0.0] * 63) for i in range(50)], "mid long, e array<double>"), "mid", "e")
     assert same.members.count() == 50 and same.sizes == [50]
+
+
+@pytest.mark.parametrize(("n_groups", "share", "cosine"), [(12, 0.05, 0.66), (5, 0.2, 0.64), (5, 0.15, 0.75), (40, 0.02, 0.68)])
+def test_loose_groups(spark, n_groups, share, cosine):
+    """Groups whose members are near the mean and not near each other."""
+    rng = np.random.default_rng(9)
+    heads = rng.normal(size=(n_groups, 64))
+    heads /= np.linalg.norm(heads, axis=1)[:, None]
+    rows, true, n = [], {}, 100 * n_groups if n_groups > 30 else 3000
+    for g in range(n_groups):
+        for _ in range(int(n * share)):
+            x = rng.normal(size=64)
+            x -= (x @ heads[g]) * heads[g]
+            c = min(0.97, max(0.615, rng.normal(cosine, 0.02)))
+            rows.append((c * heads[g] + np.sqrt(1 - c * c) * x / np.linalg.norm(x)).tolist())
+            true[len(rows) - 1] = g
+    while len(rows) < n:
+        rows.append(rng.normal(size=64).tolist())
+    found = mixture_clusters(spark.createDataFrame(list(enumerate(rows)), "mid long, e array<double>"), "mid", "e")
+    got = found.members.collect()
+    pairs = Counter((r["cluster_no"], true.get(r["id"])) for r in got)
+    assert len(found.sizes) == n_groups
+    best = {c: max((k, t) for (d, t), k in pairs.items() if d == c) for c in range(n_groups)}
+    assert len({t for _, t in best.values()}) == n_groups
+    assert sum(k for k, _ in best.values()) >= 0.97 * len(true)
