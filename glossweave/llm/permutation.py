@@ -2,12 +2,12 @@
 
 Every vector is represented by the order of its nearest pivots. Inverted files are keyed by pairs of the
 nearest pivots; within a file, candidates are ranked by the footrule distance of their permutations, and the
-best are reranked by cosine. Vectors travel as unit directions of 12 bits an element.
+best are reranked by cosine. Vectors travel as unit directions of 16 bits an element, which keeps cosines to
+about 1e-5.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -18,47 +18,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.functions.vectors import unit_rows
+from glossweave.llm.sampling import sampled
 from glossweave.operators.skew import heavy_light_lookup
 from glossweave.tables import materialise
 
 #: Length of the stored permutation prefix.
 PREFIX = 8
-#: Candidates of a vector in one inverted file that are reranked, best footrule first.
-CANDIDATES = 64
 #: A vector is also posted with its fourth pivot when that one is nearly as close as the third.
 NEARLY = 0.015
 #: Pivots come from a sample of so many times their number, which is collected.
 PIVOT_SAMPLE = 2
-_TILE = 1024
-_BLOB_BYTES = 8_000_000
+#: A pivot that is to own more records than this has them posted by pair of pivots, each pair on its own.
+SPLIT_OVER = 65_536
+_SPLIT_SAMPLE = 4096
+_BLOB_BYTES = 1_000_000
 _FLUSH_BYTES = 16_000_000
 
 
 def n_pivots(n: int) -> int:
-    """About 1.6 times the root of the number of vectors, so that inverted files keep their length as data grow."""
-    return 2 ** int(np.clip(round(math.log2(max(1.0, 1.6 * math.sqrt(max(1, n))))), 4, 12))
+    """About 1.6 times the root of the number of vectors, so that files of pivot pairs keep their length as data grow."""
+    return 2 ** max(4, round(math.log2(max(1.0, 1.6 * math.sqrt(max(1, n))))))
+
+
+def _index_type(pivots: int) -> type:
+    return np.uint16 if pivots < 65_535 else np.int32
 
 
 def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows as packed 12-bit integers (n, dim * 3 / 2), and a 64-bit identity of each direction."""
-    q = np.round(u / np.abs(u).max(axis=1, keepdims=True) * 2047).astype(np.int16)
-    w = (q + 2048).astype(np.uint16)
-    a, b = w[:, 0::2], w[:, 1::2]
-    packed = np.empty((len(u), a.shape[1], 3), np.uint8)
-    packed[:, :, 0], packed[:, :, 1], packed[:, :, 2] = a & 255, (a >> 8) | ((b & 15) << 4), b >> 4
-    packed = packed.reshape(len(u), -1)
-    h = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in packed), dtype=np.int64)
-    return packed, h
-
-
-def unpack(packed: np.ndarray) -> np.ndarray:
-    """Unit rows from ``quantise``'s bytes, in single precision."""
-    x = packed.reshape(len(packed), -1, 3).astype(np.int16)
-    out = np.empty((len(packed), x.shape[1] * 2), np.float32)
-    out[:, 0::2] = x[:, :, 0] | ((x[:, :, 1] & 15) << 8)
-    out[:, 1::2] = (x[:, :, 1] >> 4) | (x[:, :, 2] << 4)
-    out -= 2048
-    return out / np.sqrt((out * out).sum(axis=1, dtype=np.float64)).astype(np.float32)[:, None]
+    """Unit rows as 16-bit integers, and a 64-bit identity of each direction."""
+    q = np.round(u / np.abs(u).max(axis=1, keepdims=True) * 32767).astype(np.int16)
+    wide = np.pad(q, ((0, 0), (0, -q.shape[1] % 4))).view(np.uint64)
+    h = np.zeros(len(q), np.uint64)
+    for i in range(wide.shape[1]):
+        h = (h ^ wide[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return q, h.view(np.int64)
+
+
+def unpack(q: np.ndarray) -> np.ndarray:
+    """Unit rows from ``quantise``'s integers, in single precision."""
+    x = q.astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, dtype=np.float64)).astype(np.float32)[:, None]
 
 
 def permutations(u: np.ndarray, pivots: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,34 +69,34 @@ def permutations(u: np.ndarray, pivots: np.ndarray, length: int) -> tuple[np.nda
     top = np.argpartition(-s, min(length, s.shape[1] - 1), axis=1)[:, :length]
     v = np.take_along_axis(s, top, 1)
     order = np.lexsort((top, -v), axis=1)
-    return np.take_along_axis(top, order, 1).astype(np.int16), np.take_along_axis(v, order, 1)
+    return np.take_along_axis(top, order, 1).astype(_index_type(len(pivots))), np.take_along_axis(v, order, 1)
 
 
-def footrule(rows: np.ndarray, others: np.ndarray, pivots: int) -> np.ndarray:
+def footrule(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Induced footrule distances of permutation prefixes; a pivot outside the other's prefix counts as just behind it."""
     m = rows.shape[1]
-    place = np.full((len(others), pivots), m, np.int16)
-    np.put_along_axis(place, others.astype(np.int64), np.arange(m, dtype=np.int16)[None, :], axis=1)
+    # pivots by their number in this file, so that the table of places does not grow with all pivots
+    names, local = np.unique(np.vstack([rows, others]), return_inverse=True)
+    local = local.reshape(-1, m)
+    place = np.full((len(others), len(names)), m, np.int16)
+    np.put_along_axis(place, local[len(rows) :], np.arange(m, dtype=np.int16)[None, :], axis=1)
     out = np.zeros((len(rows), len(others)), np.int16)
     for i in range(m):
-        out += np.abs(place[:, rows[:, i]] - np.int16(i)).T
+        out += np.abs(place[:, local[: len(rows), i]] - np.int16(i)).T
     return out
 
 
-def _pivots(source: DataFrame, dim: int, count: int) -> np.ndarray:
-    """Distinct usable directions of the rows with the smallest id hashes."""
-    rows = source.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE * count).select("v").collect()
-    x = np.array([r["v"] for r in rows], dtype=object).reshape(len(rows), -1) if rows else np.zeros((0, dim))
-    if not len(x):
-        return np.zeros((0, dim), np.float32)
-    u = unit_rows(pa.array(list(map(list, x)), pa.list_(pa.float64())), dim)[1]
+def _pivots(source: DataFrame, dim: int, n: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct usable directions of a bounded sample of the ``n`` rows, and all its usable directions."""
+    rows = sampled(source.select("id", "v"), n, PIVOT_SAMPLE * count)
+    if not rows:
+        return np.zeros((0, dim), np.float32), np.zeros((0, dim), np.float32)
+    u = unit_rows(pa.array([r["v"] for r in rows], pa.list_(pa.float64())), dim)[1].astype(np.float32)
     _, first = np.unique(quantise(u)[1], return_index=True) if len(u) else (None, np.zeros(0, int))
-    return u[np.sort(first)][:count].astype(np.float32)
+    return u[np.sort(first)][:count], u
 
 
 def _select(vectors: DataFrame, vector_id: str, vector: str, dim: int) -> DataFrame:
-    if dim % 2:
-        raise ValueError("dim must be even")
     return vectors.where(F.col(vector_id).isNotNull() & (F.size(vector) == dim)).select(F.col(vector_id).cast("long").alias("id"), F.col(vector).alias("v"))
 
 
@@ -113,8 +115,8 @@ def _directions(source: DataFrame, dim: int) -> DataFrame:
 class _Blobs:
     """Posting records kept by bucket and handed out as large binary rows."""
 
-    def __init__(self, dtype: np.dtype, buckets: int):
-        self.dtype, self.buckets, self.held, self.size = dtype, buckets, [], 0
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
 
     def add(self, records: np.ndarray) -> None:
         self.held.append(records)
@@ -123,30 +125,35 @@ class _Blobs:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             r = np.concatenate(self.held)
-            to = r["key"].astype(np.int64) % self.buckets
+            # an owner's records share a bucket, unless they are posted by pair
+            mixed = (r["key"].astype(np.uint64) * np.uint64(0x9E3779B1) + r["only"].astype(np.uint64) * np.uint64(0x85EBCA77)) if "only" in r.dtype.names else r["key"].astype(np.uint64)
+            to = (mixed % np.uint64(self.buckets)).astype(np.int64)
             r, to = r[order := np.argsort(to, kind="stable")], to[order]
             at = np.searchsorted(to, np.arange(self.buckets + 1))
-            on = [k for k in range(self.buckets) if at[k + 1] > at[k]]
+            on = np.nonzero(at[1:] > at[:-1])[0].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array([r[at[k] : at[k + 1]].tobytes() for k in on], pa.binary())], ["bucket", "blob"])
         self.held, self.size = [], 0
 
 
-def _record(dim: int) -> np.dtype:
-    return np.dtype([("key", np.int16), ("posted", np.int8), ("h", np.int64), ("perm", np.int16, PREFIX), ("vec", np.uint8, dim * 3 // 2)])
-
-
-def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: float) -> DataFrame:
+def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: float, candidates: int | None, split_over: int) -> DataFrame:
     """(ha, hb, cosine): for every direction its up to ``k`` nearest others of at least ``min_cosine``, both ways round."""
-    count = n_pivots(n)
-    pivots = _pivots(source, dim, count)
-    if len(pivots) < 2:
-        count = len(pivots)
-    length = min(PREFIX, len(pivots))
-    buckets = min(max(1, len(pivots)), max(8, -(-n * 3 * _record(dim).itemsize // _BLOB_BYTES)))
-    dtype = _record(dim)
+    pivots, drawn = _pivots(source, dim, n, n_pivots(n))
+    count = len(pivots)
+    length, ix = min(PREFIX, count), _index_type(count)
+    none = np.iinfo(ix).max
+    dtype = np.dtype([("key", ix), ("only", ix), ("posted", np.int8), ("h", np.int64), ("perm", ix, PREFIX), ("vec", np.int16, dim)])
+    buckets = max(64, -(-n * 3 * dtype.itemsize // _BLOB_BYTES))
+    # pivots whose share of the sample makes them own too many records
+    owned = np.zeros(count)
+    if len(drawn):
+        few = drawn[:_SPLIT_SAMPLE]
+        for i in range(0, len(few), 512):
+            np.add.at(owned, permutations(few[i : i + 512], pivots, length)[0][:, :3].ravel().astype(np.int64), 1)
+        owned *= n / len(few)
+    split = owned > split_over
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, seen = _Blobs(dtype, buckets), set()
+        blobs, seen = _Blobs(buckets), set()
         for b in batches:
             _, u = unit_rows(b.column(1), dim)
             if not len(u):
@@ -160,87 +167,106 @@ def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: flo
             if not len(u):
                 continue
             perm, cos = permutations(u, pivots, length)
-            full = np.full((len(u), PREFIX), -1, np.int16)
+            full = np.full((len(u), PREFIX), none, ix)
             full[:, :length] = perm
             # pairs of the posted pivots are kept with their smaller pivot: one record serves all files it owns
             posted = np.full(len(u), min(3, length), np.int8)
             if length > 3:
                 posted[cos[:, 2] - cos[:, 3] < NEARLY] = 4
-            inside = np.where(np.arange(PREFIX)[None, :] < posted[:, None], full, -1)
+            inside = np.where(np.arange(PREFIX)[None, :] < posted[:, None], full.astype(np.int64), -1)
             largest = inside.max(axis=1)
+
+            def records(on: np.ndarray, key: np.ndarray, only) -> np.ndarray:
+                r = np.empty(int(on.sum()), dtype)
+                r["key"], r["only"], r["posted"], r["h"], r["perm"], r["vec"] = key[on], only if np.isscalar(only) else only[on], posted[on], h[on], full[on], packed[on]
+                return r
+
             for i in range(min(4, length)):
-                on = (inside[:, i] >= 0) & ((inside[:, i] < largest) | (length == 1))
-                r = np.empty(on.sum(), dtype)
-                r["key"], r["posted"], r["h"], r["perm"], r["vec"] = full[on, i], posted[on], h[on], full[on], packed[on]
-                blobs.add(r)
+                owns = (inside[:, i] >= 0) & ((inside[:, i] < largest) | (length == 1))
+                apart = owns & split[np.where(owns, inside[:, i], 0)] & (length > 1)
+                blobs.add(records(owns & ~apart, full[:, i], none))
+                for j in range(min(4, length)) if apart.any() else ():
+                    blobs.add(records(apart & (inside[:, j] > inside[:, i]), full[:, i], full[:, j]))
             if blobs.size > _FLUSH_BYTES:
                 yield from blobs.flush()
         yield from blobs.flush()
 
     def files(t: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(x.as_py() for x in t.column("blob")), dtype=dtype)
-        r = r[np.lexsort((r["h"], r["key"]))]
-        r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["h"][1:] != r["h"][:-1])]]
-        # the files each record is in: its key with every larger posted pivot (or alone, if there is but one pivot)
-        col = np.arange(PREFIX)[None, :]
-        larger = (col < r["posted"][:, None]) & ((r["perm"] > r["key"][:, None]) | (count < 2))
-        row, at = np.nonzero(larger)
-        file = r["key"][row].astype(np.int64) * 4096 + r["perm"][row, at]
+        r = r[np.lexsort((r["h"], r["only"], r["key"]))]
+        r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["only"][1:] != r["only"][:-1]) | (r["h"][1:] != r["h"][:-1])]]
+        # the files each record is in: its key with every larger posted pivot, or with one of them (or alone, if there is but one pivot)
+        perm, key = r["perm"].astype(np.int64), r["key"].astype(np.int64)
+        here = (np.arange(PREFIX)[None, :] < r["posted"][:, None]) & ((perm > key[:, None]) | (count < 2))
+        here &= (r["only"] == none)[:, None] | (perm == r["only"].astype(np.int64)[:, None])
+        row, at = np.nonzero(here)
+        file = key[row] * (count + 1) + perm[row, at]
         order = np.argsort(file, kind="stable")
         row, file = row[order], file[order]
         cuts = np.r_[np.nonzero(np.r_[True, file[1:] != file[:-1]])[0], len(file)]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a, b in zip(cuts, cuts[1:]):
-            if b - a > 1:
-                out += _nearest_in_file(r[row[a:b]], k, min_cosine, max(1, count))
+        out = [_nearest_in_file(r[row[a:b]], k, min_cosine, candidates, length) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
         ha, hb, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         return pa.table({"ha": pa.array(ha), "hb": pa.array(hb), "cosine": pa.array(c.astype(np.float64))})
 
-    found = source.mapInArrow(post, "bucket int, blob binary").groupBy("bucket").applyInArrow(files, "ha long, hb long, cosine double")
+    found = source.select("id", "v").mapInArrow(post, "bucket int, blob binary").groupBy("bucket").applyInArrow(files, "ha long, hb long, cosine double")
     return found.groupBy("ha", "hb").agg(F.max("cosine").alias("cosine"))
 
 
-def _nearest_in_file(r: np.ndarray, k: int, min_cosine: float, pivots: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The best ``k`` of each row of one inverted file: footrule ranking, then cosine, tile by tile."""
-    g, u = len(r), unpack(r["vec"])
-    out = []
-    for x in range(0, g, _TILE):
-        rows = slice(x, min(g, x + _TILE))
-        m = rows.stop - rows.start
-        best_c, best_h = np.full((m, 0), -2, np.float32), np.zeros((m, 0), np.int64)
-        for y in range(0, g, _TILE):
-            cols = slice(y, min(g, y + _TILE))
-            c = u[rows] @ u[cols].T
-            if x == y:
-                np.fill_diagonal(c, -2)
-            if cols.stop - cols.start > CANDIDATES + 1:
-                f = footrule(r["perm"][rows], r["perm"][cols], pivots)
-                last = np.partition(f, CANDIDATES, axis=1)[:, CANDIDATES]
-                c[f > last[:, None]] = -2
-            c[c < min_cosine] = -2
-            on = np.nonzero((c > -2).any(axis=1))[0]
-            if not len(on):
-                continue
-            take = min(k, c.shape[1])
-            part = np.argpartition(-c[on], take - 1, axis=1)[:, :take]
-            new_c, new_h = np.full((m, take), -2, np.float32), np.zeros((m, take), np.int64)
-            new_c[on], new_h[on] = np.take_along_axis(c[on], part, 1), r["h"][cols][part]
-            best_c, best_h = np.hstack([best_c, new_c]), np.hstack([best_h, new_h])
-            if best_c.shape[1] > 4 * k:
-                keep = np.argpartition(-best_c, k - 1, axis=1)[:, :k]
-                best_c, best_h = np.take_along_axis(best_c, keep, 1), np.take_along_axis(best_h, keep, 1)
-        if best_c.shape[1]:
-            if best_c.shape[1] > k:
-                keep = np.argpartition(-best_c, k - 1, axis=1)[:, :k]
-                best_c, best_h = np.take_along_axis(best_c, keep, 1), np.take_along_axis(best_h, keep, 1)
-            i, j = np.nonzero(best_c > -2)
-            out.append((r["h"][rows][i], best_h[i, j], best_c[i, j]))
-    return out
+def first_k(row: np.ndarray, name: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each row's ``k`` largest cosines, equal ones by the smaller name."""
+    order = np.lexsort((name, -c, row))
+    starts = np.nonzero(np.r_[True, row[order][1:] != row[order][:-1]])[0] if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[rank < k]
+
 
+def _nearest_in_file(r: np.ndarray, k: int, min_cosine: float, candidates: int | None, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each row of one inverted file.
 
-def nearest_above(vectors: DataFrame, vector_id: str, vector: str, dim: int = 64, k: int = 5, min_cosine: float = 0.95) -> DataFrame:
+    Candidates are ranked by footrule and reranked by cosine in blocks of ``candidates``; a row goes on to its
+    next block for as long as the last one held a vector of at least ``min_cosine``. A file of no more than one
+    block, or any file when ``candidates`` is None, is reranked whole.
+    """
+    g, u, h, perm = len(r), unpack(r["vec"]), r["h"], r["perm"][:, :length]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    whole = candidates is None or g <= candidates + 1
+    step = max(1, min(512, 4_000_000 // g))
+    for x in range(0, g, step):
+        rows = np.arange(x, min(g, x + step))
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if whole:
+            c = u[rows] @ u.T
+            c[np.arange(len(rows)), rows] = -2
+            i, j = np.nonzero(c >= min_cosine)
+            hits.append((i, j, c[i, j]))
+        else:
+            f = footrule(perm[rows], perm)
+            f[np.arange(len(rows)), rows] = np.iinfo(np.int16).max  # a row itself comes last
+            order = np.argsort(f, axis=1, kind="stable")[:, : g - 1]
+            active = np.arange(len(rows))
+            for at in range(0, g - 1, candidates):
+                best = order[active, at : at + candidates]
+                c = np.matmul(u[best], u[rows[active]][:, :, None])[:, :, 0]
+                i, j = np.nonzero(c >= min_cosine)
+                hits.append((active[i], best[i, j], c[i, j]))
+                active = active[np.unique(i)]
+                if not len(active):
+                    break
+        i, j, c = (np.concatenate(z) for z in zip(*hits))
+        top = first_k(i, h[j], c, k)
+        found.append((h[rows[i[top]]], h[j[top]], c[top]))
+    return tuple(np.concatenate(z) for z in zip(*found))
+
+
+def nearest_above(
+    vectors: DataFrame, vector_id: str, vector: str, dim: int = 64, k: int = 5, min_cosine: float = 0.95, candidates: int | None = 64, split_over: int = SPLIT_OVER
+) -> DataFrame:
     """(id, other, cosine): of every vector's ``k`` most similar others, those of at least ``min_cosine`` that the index finds.
 
+    ``candidates`` is the number of vectors of an inverted file that are reranked by cosine at a time, in the
+    order of the footrule distance (None: the whole file, exactly); a pivot that is to own more than
+    ``split_over`` records has them spread over its pairs.
+
     Equal cosines are ordered by the smaller id. Vectors of one direction (copies, or multiples of each
     other) are one entry of the index, with cosine 1 among themselves, and are taken apart again at the
     end: a group of copies adds at most k + 1 ids to any list, so nothing is emitted for all pairs of a
@@ -249,7 +275,7 @@ def nearest_above(vectors: DataFrame, vector_id: str, vector: str, dim: int = 64
     """
     source = _select(vectors, vector_id, vector, dim)
     ids = materialise(_directions(source, dim), "directions")
-    near = near_directions(source, dim, ids.count(), k + 1, min_cosine)
+    near = near_directions(source, dim, ids.count(), k + 1, min_cosine, candidates, split_over)
     # rows of one id have one rank, so that repeated rows don't displace other ids
     first = F.dense_rank().over(Window.partitionBy("h").orderBy("id"))
     heads = ids.withColumn("r", first).where(F.col("r") <= k + 1)
@@ -269,18 +295,19 @@ def nearest_of_queries(
     """(id, other, cosine): the ``k`` most similar vectors of those for which the SQL condition ``is_query`` on ``id`` holds.
 
     Every vector is posted under its ``posts`` nearest pivots, a query looks into the files of its ``probes``
-    nearest. A file is searched in blocks of vectors; of each block the ``candidates`` with the smallest
-    footrule distance to a query are reranked by cosine. Nulls, unusable vectors and copies as in
-    ``nearest_above``, except that copies are found one by one.
+    nearest. A file is searched in blocks of 4,096 vectors; of each block the ``candidates`` with the smallest
+    footrule distance to a query, and those that tie with the last of them, are reranked by cosine. Equal cosines
+    are ordered by the smaller id. Nulls, unusable vectors and copies as in ``nearest_above``, except that copies
+    are found one by one.
     """
     source = _select(vectors, vector_id, vector, dim)
-    chosen = _pivots(source, dim, pivots)
-    length = min(max(probes, PREFIX), max(1, len(chosen)))
-    dtype = np.dtype([("key", np.int32), ("h", np.int64), ("query", np.int8), ("perm", np.int16, length), ("vec", np.uint8, dim * 3 // 2)])
+    chosen, _ = _pivots(source, dim, source.count(), pivots)
+    length, ix = min(max(probes, PREFIX), max(1, len(chosen))), _index_type(len(chosen))
+    dtype = np.dtype([("key", np.int32), ("h", np.int64), ("query", np.int8), ("perm", ix, length), ("vec", np.int16, dim)])
     flagged = source.select("id", "v", F.expr(is_query).alias("q"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = _Blobs(dtype, max(1, len(chosen)))
+        blobs = _Blobs(max(1, len(chosen)))
         for b in batches:
             ok, u = unit_rows(b.column(1), dim)
             if not len(u):
@@ -308,23 +335,22 @@ def nearest_of_queries(
             ua, ud = unpack(asks["vec"]), unpack(data["vec"])
             for x in range(0, len(asks), 512):
                 rows = slice(x, x + 512)
-                best_c, best_i = [], []
+                mine, hits = asks["h"][rows], []
                 for y in range(0, len(data), 4096):
-                    cols = slice(y, y + 4096)
-                    c = ua[rows] @ ud[cols].T
-                    if c.shape[1] > candidates:
-                        f = footrule(asks["perm"][rows][:, :PREFIX], data["perm"][cols][:, :PREFIX], len(chosen))
-                        c[f > np.partition(f, candidates - 1, axis=1)[:, candidates - 1][:, None]] = -2
-                    c[asks["h"][rows][:, None] == data["h"][cols][None, :]] = -2
+                    names = data["h"][y : y + 4096]
+                    may = mine[:, None] != names[None, :]
+                    if len(names) > candidates:
+                        f = footrule(asks["perm"][rows][:, :PREFIX], data["perm"][y : y + 4096][:, :PREFIX])
+                        may &= f <= np.partition(f, candidates - 1, axis=1)[:, candidates - 1][:, None]
+                    c = np.where(may, ua[rows] @ ud[y : y + 4096].T, -2)
                     take = min(k, c.shape[1])
-                    part = np.argpartition(-c, take - 1, axis=1)[:, :take]
-                    best_c.append(np.take_along_axis(c, part, 1))
-                    best_i.append(data["h"][cols][part])
-                c, i = np.hstack(best_c), np.hstack(best_i)
-                order = np.lexsort((i, -c), axis=1)[:, :k]
-                c, i = np.take_along_axis(c, order, 1), np.take_along_axis(i, order, 1)
-                a, b = np.nonzero(c > -2)
-                out.append((asks["h"][rows][a], i[a, b], c[a, b]))
+                    # all that tie with the k-th, so that ids decide among them
+                    i, j = np.nonzero((c >= -np.partition(-c, take - 1, axis=1)[:, take - 1 : take]) & (c > -2))
+                    top = first_k(i, names[j], c[i, j], k)
+                    hits.append((i[top], names[j[top]], c[i[top], j[top]]))
+                i, o, c = (np.concatenate(z) for z in zip(*hits))
+                top = first_k(i, o, c, k)
+                out.append((mine[i[top]], o[top], c[top]))
         q, o, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         return pa.table({"id": pa.array(q), "other": pa.array(o), "cosine": pa.array(c.astype(np.float64))})
 
