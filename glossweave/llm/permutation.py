@@ -31,8 +31,9 @@ PIVOT_SAMPLE = 2
 #: A pivot that is to own more records than this has them posted by pair of pivots, each pair on its own.
 SPLIT_OVER = 65_536
 _SPLIT_SAMPLE = 4096
-_BLOB_BYTES = 1_000_000
+_BLOB_BYTES = 500_000
 _FLUSH_BYTES = 16_000_000
+_TASK_BYTES = 10_000_000
 
 
 def n_pivots(n: int) -> int:
@@ -208,7 +209,10 @@ def near_directions(source: DataFrame, dim: int, n: int, k: int, min_cosine: flo
         ha, hb, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         return pa.table({"ha": pa.array(ha), "hb": pa.array(hb), "cosine": pa.array(c.astype(np.float64))})
 
-    found = source.select("id", "v").mapInArrow(post, "bucket int, blob binary").groupBy("bucket").applyInArrow(files, "ha long, hb long, cosine double")
+    # as many tasks as the postings need, whatever the session's number of shuffle partitions
+    tasks = max(source.sparkSession.sparkContext.defaultParallelism, -(-n * 3 * dtype.itemsize // _TASK_BYTES))
+    posted = source.select("id", "v").mapInArrow(post, "bucket int, blob binary").repartition(tasks, "bucket")
+    found = posted.groupBy("bucket").applyInArrow(files, "ha long, hb long, cosine double")
     return found.groupBy("ha", "hb").agg(F.max("cosine").alias("cosine"))
 
 
