@@ -1,34 +1,47 @@
-"""Passages of held-out texts inside a corpus, found by spaced seeds and verified by alignment."""
+"""Passages of held-out texts inside a corpus, found by spaced seeds and verified by alignment.
+
+Both sides are hashed under fixed masks that ignore some word positions, and the hashes are joined. Around
+the hits an alignment counts the words of the item that the document holds in order.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.tables import spread
+from glossweave.operators.skew import heavy_light_lookup
+from glossweave.tables import materialise, spread
 
 #: Word positions that count; the others may hold any word.
 MASKS = ("1111", "11011", "110101", "1010011")
-#: Held-out words in one index. A larger set is searched in several passes over the corpus.
-INDEX_WORDS = 400_000
+_OFFSETS = tuple(tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS)
+_OFFSET_TABLE = np.array(_OFFSETS)
 _WORD = re.compile(r"[^\W_]+")
 _MATCH, _MISMATCH, _GAP = 1.0, -1.5, -1.2
 #: Cost of a changed, left-out or added word where half of an item's words, scattered, must still carry an alignment.
 _LENIENT = -0.4
 _LEAST_SCORE = 4.0
+#: Words in more than this share of the items belong to the phrases of the field (two items are always few).
+COMMON_SHARE = 0.02
+#: An item with fewer rare words than this share of its words has those rare that are no more frequent than its median word.
+_FEW_RARE = 0.2
 #: Of an item's rare words at least this part of the required share must be among the words found.
 _RARE_SHARE = 0.6
-#: Of the words, and of the rare words, that a leak needs at least this part must be inside shared seeds; scattered left-out words break most seeds.
+#: Of the rare words that a leak needs at least this part must be inside shared seeds; scattered left-out words break most seeds.
 _SEEDED = 0.2
+#: Bits of a sieve of hashes that is broadcast, at most; beyond it more seeds reach the join than need to.
+SIEVE_BITS = 27
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+_CACHE_WORDS = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -36,99 +49,47 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
 
 
-def _codes(n: int) -> np.ndarray:
-    """For each of ``n`` words four 64-bit numbers, one for each place in a mask, spread by a fixed bit mixer; a last row of zeros."""
-    x = np.arange(1, 4 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return np.vstack([(x ^ (x >> np.uint64(31))).reshape(n, 4), np.zeros((1, 4), np.uint64)])
-
-
-def _mix(codes: np.ndarray, known: np.ndarray, offsets: tuple[int, ...], mask_no: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of one mask at every position where all its words are known, and those positions."""
-    n = len(known) - offsets[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    on = known[:n].copy()
-    for o in offsets[1:]:
-        on &= known[o : o + n]
-    at = np.nonzero(on)[0]
-    h = np.full(len(at), (mask_no + 1) * 0xD1B54A32D192ED03 % 2**64, np.uint64)
-    for j, o in enumerate(offsets):
-        h += codes[at + o, j]
-    return h, at
-
-
-@dataclass
-class SeedIndex:
-    """Held-out texts as word numbers, and the sorted hashes of their seeds."""
-
-    item_ids: list
-    items: list[np.ndarray]
-    vocabulary: dict[str, int]
-    hashes: np.ndarray
-    seed_item: np.ndarray
-    seed_pos: np.ndarray
-    seed_mask: np.ndarray
-    rare: list[np.ndarray]
-    own: list[np.ndarray]
-
-    def __post_init__(self):
-        self.codes = _codes(len(self.vocabulary))
-        self.sieve = np.zeros(1 << 20, bool)  # top bits of the hashes: most seeds of a text end here
-        self.sieve[self.hashes >> np.uint64(44)] = True
-        self.keys, self.firsts, self.counts = np.unique(self.hashes, return_index=True, return_counts=True)
-        self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
-        self.wide = int(self.lengths.max(initial=0)) + 8
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.rare_flat = np.concatenate([np.zeros(0, bool), *self.rare]).astype(float)
-        self.n_rare = np.array([r.sum() for r in self.rare], dtype=np.int64)
-
-    @staticmethod
-    def build(item_ids: list, texts: list[str]) -> SeedIndex:
-        """Index texts; those without a word are in no seed."""
-        voc: dict[str, int] = {}
-        items = [np.array([voc.setdefault(w, len(voc)) for w in words(t)], dtype=np.int64) for t in texts]
-        hs, it, ps, ms, codes = [], [], [], [], _codes(len(voc))
-        for i, ids in enumerate(items):
-            for m, off in enumerate(_OFFSETS):
-                h, at = _mix(codes[ids], np.ones(len(ids), bool), off, m)
-                hs.append(h)
-                ps.append(at)
-                it.append(np.full(len(at), i))
-                ms.append(np.full(len(at), m))
-        h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        cat = lambda x: np.concatenate(x)[order] if x else np.zeros(0, np.int64)
-        # words of more than a fiftieth of the items belong to the phrases of the field
-        used = np.zeros(len(voc) + 1, np.int64)
-        for ids in items:
-            used[np.unique(ids)] += 1
-        rare = [used[ids] <= max(2, len(items) // 50) for ids in items]
-        return SeedIndex(list(item_ids), items, voc, h[order], cat(it), cat(ps), cat(ms), rare, [used[ids] == 1 for ids in items])
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(item, item position, text position, mask) of every shared seed."""
-        out, codes, known = [], self.codes[ids], ids >= 0
-        for m, off in enumerate(_OFFSETS):
-            h, at = _mix(codes, known, off, m)
-            may = self.sieve[h >> np.uint64(44)]
-            h, at = h[may], at[may]
-            if not len(h):
-                continue
-            k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[k] == h
-            if not hit.any():
-                continue
-            at, k = at[hit], k[hit]
-            a, n = self.firsts[k], self.counts[k]
-            seed = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((self.seed_item[seed], self.seed_pos[seed], np.repeat(at, n), np.full(len(seed), m)))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-
-
-_OFFSETS = tuple(tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS)
-_OFFSET_TABLE = np.array(_OFFSETS)
+def word_codes(text: str, cache: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of every word; ``cache`` keeps those of frequent words."""
+    if len(cache) > _CACHE_WORDS:
+        cache.clear()
+    out = []
+    for w in words(text):
+        c = cache.get(w)
+        if c is None:
+            c = cache[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        out.append(c)
+    return np.array(out, np.uint64)
+
+
+def seeds(codes: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, mask) of every place where all words of a mask have ``may``."""
+    hs, ats, masks = [], [], []
+    for m, offsets in enumerate(_OFFSETS):
+        n = len(codes) - offsets[-1]
+        if n <= 0:
+            continue
+        on = may[:n].copy()
+        for o in offsets[1:]:
+            on &= may[o : o + n]
+        at = np.nonzero(on)[0]
+        h = np.full(len(at), (m + 1) * 0xD1B54A32D192ED03 % 2**64, np.uint64)
+        for j, o in enumerate(offsets):
+            x = codes[at + o] * _FACTORS[j]
+            h += x ^ (x >> np.uint64(31))
+        h *= _FACTORS[1]
+        hs.append(h ^ (h >> np.uint64(29)))
+        ats.append(at)
+        masks.append(np.full(len(at), m))
+    if not hs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hs), np.concatenate(ats), np.concatenate(masks)
+
+
+def rare_words(used: np.ndarray, n_items: int) -> np.ndarray:
+    """Which words of an item are rare, from the number of items that use each."""
+    rare = used <= max(2, int(n_items * COMMON_SHARE))
+    return rare if rare.sum() >= _FEW_RARE * len(used) else used <= np.median(used)
 
 
 def align(item: np.ndarray, text: np.ndarray, mismatch: float = _MISMATCH, gap: float = _GAP) -> tuple[float, list[int], int, int, int, int]:
@@ -187,118 +148,194 @@ def overlap(item: np.ndarray, text: np.ndarray, reach: int, need: float, mismatc
     return best
 
 
-def text_leaks(index: SeedIndex, text: str, least_share: float, reach: int) -> list[tuple[int, int, int, int]]:
-    """(item number, matched words, first word, end word) of every item that ``text`` holds to at least ``least_share``."""
-    ws = words(text)
-    known = index.vocabulary.get
-    ids = np.array([known(w, -1) for w in ws], dtype=np.int64)
-    item, pos, at, mask = index.hits(ids)
-    if not len(item):
-        return []
-    cover = _Cover(index, item, pos, mask)
-    out = []
-    for i in cover.worth(least_share):
-        own = item == i
-        words_of, need = index.items[i], least_share * len(index.items[i])
-        # text windows as wide as a passage pair may be, those with most of the item seeded first
-        step = (2 * len(words_of) + reach) // 2
-        slot = at[own] // step
-        tried = []
-        for s in np.unique(np.concatenate([slot, slot - 1])):
-            inside = (slot == s) | (slot == s + 1)
-            c, c_rare = cover.size(i, pos[own][inside], mask[own][inside])
-            if c >= _SEEDED * need and c_rare >= _SEEDED * _RARE_SHARE * least_share * index.n_rare[i]:
-                tried.append((-c, int(s)))
-        best = (0, 0, 0)
-        rare, least_rare = index.rare[i], _RARE_SHARE * least_share * index.rare[i].sum()
-        own, least_own = index.own[i], _RARE_SHARE * least_share * index.own[i].sum()
-        windows = []
-        for _, s in sorted(tried):
-            lo = max(0, s * step - 8)
-            window = ids[lo : (s + 2) * step + 8]
-            there = np.isin(words_of, window)  # no order finds more than these
-            if there.sum() >= need and (there & rare).sum() >= least_rare:
-                windows.append((lo, window))
-        # every window at strict costs; where that finds too few words, again at costs that scattered changes bear, if
-        # words of no other item are there too: sentences of one pattern with other names and numbers are no leak
-        for (mismatch, gap, least), (lo, window) in product(((_MISMATCH, _GAP, 0), (_LENIENT, _LENIENT, least_own)), windows):
-            m, j0, j1 = overlap(words_of, window, reach, need, mismatch, gap)
-            if len(m) > best[0] and rare[m].sum() >= least_rare and own[m].sum() >= least:
-                best = (len(m), lo + j0, lo + j1)
-            if best[0] >= need:
-                break
+def in_order(item: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bit-parallel counting: no alignment matches more words."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        at[w] = at.get(w, 0) | (1 << i)
+    full = (1 << len(item)) - 1
+    v = full
+    for w in text.tolist():
+        m = at.get(w)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return len(item) - v.bit_count()
+
+
+def pair_leak(
+    item: np.ndarray, rare: np.ndarray, own: np.ndarray, text: np.ndarray, pos: np.ndarray, at: np.ndarray, mask: np.ndarray, least_share: float, reach: int
+) -> tuple[int, int, int] | None:
+    """(matched words, first word, end word) if ``text`` holds at least ``least_share`` of ``item``, else None.
+
+    ``pos``, ``at`` and ``mask`` are the shared seeds. Windows around them are aligned where enough of the
+    item's words, and of its rare words, are there in order.
+    """
+    need, least_rare, least_own = least_share * len(item), _RARE_SHARE * least_share * rare.sum(), _RARE_SHARE * least_share * own.sum()
+    step = (2 * len(item) + reach) // 2  # two steps are as wide as a pair of passages may be
+    slot = at // step
+    windows = []
+    for s in np.unique(np.concatenate([slot, slot - 1])):
+        inside = (slot == s) | (slot == s + 1)
+        covered = np.zeros(len(item), bool)
+        covered[(pos[inside, None] + _OFFSET_TABLE[mask[inside]]).ravel()] = True
+        if (covered & rare).sum() < _SEEDED * least_rare:
+            continue
+        lo = max(0, int(s) * step - 8)
+        window = text[lo : (int(s) + 2) * step + 8]
+        shared = window[np.isin(window, item)]
+        if len(shared) >= need and in_order(item, shared) >= need and in_order(item[rare], shared) >= least_rare:
+            windows.append((-int(covered.sum()), lo, window))
+    best = (0, 0, 0)
+    windows.sort(key=lambda w: w[:2])
+    # every window at strict costs; where that finds too few words, again at costs that scattered changes bear, if
+    # words of no other item are there too: sentences of one pattern with other names and numbers are no leak
+    for (mismatch, gap, least), (_, lo, window) in product(((_MISMATCH, _GAP, 0), (_LENIENT, _LENIENT, least_own)), windows):
+        m, j0, j1 = overlap(item, window, reach, need, mismatch, gap)
+        if len(m) > best[0] and rare[m].sum() >= least_rare and own[m].sum() >= least:
+            best = (len(m), lo + j0, lo + j1)
         if best[0] >= need:
-            out.append((int(i), *map(int, best)))
+            return best
+    return None
+
+
+def _sieve(df: DataFrame, column: str, n: int) -> np.ndarray:
+    """Which leading bits the hashes of ``column`` have: a table of 32 places for each of ``n``, of ``SIEVE_BITS`` bits at most."""
+    bits = min(SIEVE_BITS, max(16, math.ceil(math.log2(32 * max(1, n)))))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        on = np.zeros(1 << bits, bool)
+        for b in batches:
+            on[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 4], pa.int32()), pa.array([np.packbits(on).tobytes()], pa.binary())], ["k", "x"])
+
+    def add(t: pa.Table) -> pa.Table:
+        x = np.bitwise_or.reduce([np.frombuffer(v.as_py(), np.uint8) for v in t.column("x")])
+        return pa.table({"x": pa.array([x.tobytes()], pa.binary())})
+
+    rows = df.select(column).mapInArrow(mark, "k int, x binary").groupBy("k").applyInArrow(add, "x binary").collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        out |= np.frombuffer(bytes(r["x"]), np.uint8)
     return out
 
 
-class _Cover:
-    """Which positions of which items the seeds shared with one text cover."""
+def _through(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    shift = np.uint64(64 - (len(sieve) * 8).bit_length() + 1)
+    top = h >> shift
+    return (sieve[top >> np.uint64(3)] >> (np.uint64(7) - (top & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _longs(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
-    def __init__(self, index: SeedIndex, item: np.ndarray, pos: np.ndarray, mask: np.ndarray):
-        self.index = index
-        self.wide = index.wide
-        cells = np.unique((item[:, None] * self.wide + pos[:, None] + _OFFSET_TABLE[mask]).ravel())
-        self.of, self.at = cells // self.wide, cells % self.wide
 
-    def worth(self, least_share: float) -> list[int]:
-        """Items with ``_SEEDED`` of the words, and of the rare words, that a leak needs inside shared seeds."""
-        n_items = len(self.index.items)
-        covered = np.bincount(self.of, minlength=n_items)
-        rare = np.bincount(self.of, weights=self.index.rare_flat[self.index.starts[self.of] + self.at], minlength=n_items)
-        on = (covered >= _SEEDED * least_share * self.index.lengths) & (rare >= _SEEDED * _RARE_SHARE * least_share * self.index.n_rare) & (covered > 0)
-        return np.nonzero(on)[0].tolist()
+def _held_out(held: DataFrame) -> DataFrame:
+    """(i, item, codes, used, n_items): the words of every item, and how many items use each of them."""
+    kind = held.schema["item"].dataType.simpleString()
 
-    def size(self, i: int, pos: np.ndarray, mask: np.ndarray) -> tuple[int, int]:
-        """Positions of item ``i`` that the given seeds cover, and how many of them hold rare words."""
-        flags = np.zeros(self.wide, bool)
-        flags[(pos[:, None] + _OFFSET_TABLE[mask]).ravel()] = True
-        return int(flags.sum()), int(flags[: len(self.index.rare[i])][self.index.rare[i]].sum())
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([word_codes(t.as_py(), cache) for t in b.column(1)])], ["item", "codes"])
+
+    coded = held.mapInArrow(code, f"item {kind}, codes array<bigint>").where(F.size("codes") > 0)
+    items = materialise(coded.withColumn("i", F.monotonically_increasing_id()), "items")
+    n_items = items.count()
+    used = items.select(F.explode(F.array_distinct("codes")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("used"))
+    placed = heavy_light_lookup(items.select("i", F.posexplode("codes").alias("pos", "c")), used, "c", "inner")
+    flags = placed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("pos", "used"))).alias("u"))
+    return materialise(items.join(flags, "i").select("i", "item", "codes", F.col("u.used").alias("used"), F.lit(n_items).cast("long").alias("n_items")), "items")
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(h, i, pos, mask): the seeds of all items that hold a rare word."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, codes, used, n in zip(*(b.column(k).to_pylist() for k in range(4))):
+                x = np.array(codes, np.int64).view(np.uint64)
+                h, at, mask = seeds(x, np.ones(len(x), bool))
+                on = rare_words(np.array(used), n)[at[:, None] + _OFFSET_TABLE[mask]].any(axis=1) if len(h) else np.zeros(0, bool)
+                out.append((h[on], np.full(on.sum(), i, np.int64), at[on], mask[on]))
+            h, i, at, mask = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([_longs(h), _longs(i), _longs(at), _longs(mask)], ["h", "i", "pos", "mask"])
+
+    return items.select("i", "codes", "used", "n_items").mapInArrow(cut, "h long, i long, pos long, mask long")
 
 
 def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, item_id: str, item_text: str, least_share: float = 0.5, reach: int = 80) -> DataFrame:
     """(item_id, doc_id, matched_words, n_words, first_word, end_word): the held-out items each document leaks.
 
-    Spaced seeds (``MASKS``) of the held-out texts are looked up in every document; around the hits an
-    alignment that allows substituted, left-out and added words counts the item's words found in its
-    order, in one passage or in two at most ``reach`` words apart. A document leaks an item when these are
-    at least ``least_share`` of its words, and rare words of the item are among them, so that phrases
-    which many items share are not enough. Case, punctuation, markup signs and white space don't matter.
-
-    The held-out set is indexed in blocks of at most ``INDEX_WORDS`` words, which bounds what is sent to
-    the executors; each block is searched in one pass over the corpus, without a shuffle. Whole texts are
-    searched. Null, empty and blank texts and items leak nothing; repeated documents and items are
-    reported each on their own; extra columns are ignored.
+    Spaced seeds (``MASKS``) of the held-out texts that hold a rare word are joined with those of the corpus;
+    around the hits an alignment that allows substituted, left-out and added words counts the item's words
+    found in its order, in one passage or in two at most ``reach`` words apart. A document leaks an item when
+    these are at least ``least_share`` of its words, and rare words of the item are among them, so that
+    phrases which many items share are not enough. Rare is counted over all items. Case, punctuation, markup
+    signs and white space don't matter.
+
+    The corpus is read once. Seeds that no item can have are left out before the join by a sieve of the items'
+    hashes, whose size is bounded (``SIEVE_BITS``); of documents, only those with a hit are carried on, as word
+    hashes. Whole texts are searched. Null, empty and blank texts and items leak nothing; repeated documents
+    and items are reported each on their own; extra columns are ignored.
     """
-    held = held_out.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    blocks, ids, texts, size = [], [], [], 0
-    for r in held.toLocalIterator():
-        ids.append(r["id"])
-        texts.append(r["text"])
-        size += len(r["text"]) // 2 + 1
-        if size >= INDEX_WORDS:
-            blocks.append((ids, texts))
-            ids, texts, size = [], [], 0
-    blocks.append((ids, texts))
     doc_type, item_type = corpus.schema[doc_id].dataType.simpleString(), held_out.schema[item_id].dataType.simpleString()
     schema = f"item {item_type}, doc {doc_type}, matched_words long, n_words long, first_word long, end_word long"
+    held = held_out.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND length(text) > 0")
+    items = _held_out(held)
+    marks = materialise(_item_seeds(items), "seeds")
+    vocabulary = items.select(F.explode("codes").alias("c"))
+    shared = corpus.sparkSession.sparkContext.broadcast((_sieve(vocabulary, "c", vocabulary.count()), _sieve(marks, "h", marks.count())))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seeded = shared.value
+        cache: dict[str, int] = {}
+        for b in batches:
+            on, codes, hs, ats = [], [], [], []
+            for k, t in enumerate(b.column(1)):
+                x = word_codes(t.as_py(), cache)
+                h, at, _ = seeds(x, _through(known, x))
+                hit = _through(seeded, h)
+                if hit.any():
+                    on.append(k)
+                    codes.append(x)
+                    hs.append(h[hit])
+                    ats.append(at[hit])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on, pa.int64())), _lists(codes), _lists(hs), _lists(ats)], ["doc", "codes", "h", "at"])
+
     docs = corpus.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND length(text) > 0")
-    docs = spread(docs, "doc")
-    out = None
-    for ids, texts in blocks:
-        shared = corpus.sparkSession.sparkContext.broadcast(SeedIndex.build(ids, texts))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for pdf in batches:
-                found = defaultdict(list)
-                for d, t in zip(pdf["doc"], pdf["text"]):
-                    for i, m, a, b in text_leaks(index, t, least_share, reach):
-                        for name, x in zip(("item", "doc", "matched_words", "n_words", "first_word", "end_word"), (index.item_ids[i], d, m, len(index.items[i]), a, b)):
-                            found[name].append(x)
-                if found:
-                    yield pd.DataFrame(found)
-
-        part = docs.mapInPandas(search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnsRenamed({"item": item_id, "doc": doc_id})
+    seen = spread(docs, "doc").mapInArrow(look, f"doc {doc_type}, codes array<bigint>, h array<bigint>, at array<bigint>")
+    seen = materialise(seen.withColumn("d", F.monotonically_increasing_id()), "hits")
+
+    hits = seen.select("d", F.inline(F.arrays_zip("h", "at")))
+    lookup = marks.groupBy("h").agg(F.collect_list(F.struct("i", "pos", "mask")).alias("of"))
+    met = heavy_light_lookup(hits, lookup, "h", "inner").select("d", "at", F.inline("of"))
+    pairs = met.groupBy("d", "i").agg(F.collect_list(F.struct("pos", "at", "mask")).alias("m")).select("d", "i", F.col("m.pos").alias("pos"), F.col("m.at").alias("at"), F.col("m.mask").alias("mask"))
+    named = heavy_light_lookup(pairs, items.withColumnRenamed("codes", "words"), "i", "inner")
+    full = named.join(seen.select("d", "doc", "codes"), "d")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, ids, docs_ = [], [], []
+            item, doc, lists = b.column(0), b.column(1), [b.column(k) for k in range(2, 7)]
+            for k in range(b.num_rows):
+                x, used, y, pos, at = (np.asarray(c[k].values.to_numpy()) for c in lists)
+                mask, n = b.column(7)[k].values.to_numpy(), b.column(8)[k].as_py()
+                x, y = x.view(np.uint64), y.view(np.uint64)
+                if found := pair_leak(x, rare_words(used, n), used == 1, y, pos, at, mask, least_share, reach):
+                    ids.append(item[k].as_py())
+                    docs_.append(doc[k].as_py())
+                    out.append((found[0], len(x), *found[1:]))
+            cols = [pa.array(z, pa.int64()) for z in zip(*out)] if out else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(ids, item.type), pa.array(docs_, doc.type), *cols], ["item", "doc", "matched_words", "n_words", "first_word", "end_word"])
+
+    ready = full.select("item", "doc", "words", "used", "codes", "pos", "at", "mask", "n_items")
+    return ready.mapInArrow(verify, schema).withColumnsRenamed({"item": item_id, "doc": doc_id})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glossweave.llm import permutation as pm
 from glossweave.llm.chunks import Tree, cut_kind, pack_spans, split_texts
-from glossweave.llm.leaks import SeedIndex, align, find_leaks, text_leaks, words
+from glossweave.llm.leaks import align, find_leaks, in_order, pair_leak, rare_words, seeds, word_codes, words
 from glossweave.llm.packing import pack_texts, plan_packing, token_count
 from glossweave.llm.pii import candidates, decode, find_spans, gradient, mask, mask_pii, pii_spans, trained
 from glossweave.llm.pii_training import sentences
@@ -205,8 +205,19 @@ def test_footrule():
 
 
 def leaked(item, doc, share=0.5):
-    index = SeedIndex.build([1, 2, 3], [item, "some other words entirely about nothing in particular at all today", ""])
-    return [i for i, *_ in text_leaks(index, doc, share, 80)]
+    others = ["some other words entirely about nothing in particular at all today", ""]
+    cache = {}
+    texts = [word_codes(t, cache) for t in (item, *others)]
+    x, y = texts[0], word_codes(doc, cache)
+    used = np.array([sum(w in t for t in texts) for w in x])
+    places = {}
+    for h, pos, mask in zip(*(z.tolist() for z in seeds(x, np.ones(len(x), bool)))):
+        places.setdefault(h, []).append((pos, mask))
+    met = [(p, at, m) for h, at in zip(*(z.tolist() for z in seeds(y, np.ones(len(y), bool))[:2])) for p, m in places.get(h, ())]
+    if not met:
+        return []
+    pos, at, mask = map(np.array, zip(*met))
+    return [0] if pair_leak(x, rare_words(used, 3), used == 1, y, pos, at, mask, share, 80) else []
 
 
 ITEM = " ".join(f"word{i}" for i in range(40))
@@ -243,6 +254,19 @@ def test_leaks_with_many_scattered_changes():
         assert leaked(item, f"{noise} {' '.join(x if i in on else 'zzz' for i, x in enumerate(w))} {noise}") == []
 
 
+def test_words_in_order():
+    r = random.Random(3)
+    for _ in range(50):
+        x, y = [[r.randrange(6) for _ in range(r.randrange(12))] for _ in range(2)]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        assert in_order(np.array(x, np.uint64), np.array(y, np.uint64)) == best[-1][-1]
+    assert rare_words(np.array([9, 9, 1, 8]), 100).tolist() == [False, False, True, False]
+    assert rare_words(np.array([90, 9, 9, 8, 8, 80]), 100).tolist() == [False, True, True, True, True, False]  # copies of an item leave it no word of its own
+
+
 def test_alignment():
     s, matched, i0, i1, j0, j1 = align(np.arange(10), np.array([50, 0, 1, 2, 99, 4, 5, 6, 60]))
     assert matched[::-1] == [0, 1, 2, 4, 5, 6] and (i0, i1, j0, j1) == (0, 7, 1, 8) and s == pytest.approx(4.5)
@@ -255,6 +279,8 @@ def test_leaks_of_odd_tables(spark):
     held = spark.createDataFrame([(10, ITEM), (11, None), (12, ""), (13, ITEM)], "item_id long, body string").withColumn("doc", F.lit(1))
     got = sorted((r["item_id"], r["id"]) for r in find_leaks(docs, "id", "body", held, "item_id", "body").collect())
     assert got == sorted([(i, d) for i in (10, 13) for d in (1, 1, 5)])
+    many = held.limit(0).unionByName(spark.createDataFrame([(k, ITEM) for k in range(30)], "item_id long, body string").withColumn("doc", F.lit(1)))
+    assert find_leaks(docs.where("id = 5"), "id", "body", many, "item_id", "body").count() == 30
     assert find_leaks(docs.limit(0), "id", "body", held, "item_id", "body").count() == 0
     assert find_leaks(docs, "id", "body", held.limit(0), "item_id", "body").count() == 0
 
