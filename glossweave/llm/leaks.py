@@ -36,7 +36,7 @@ COMMON_SHARE = 0.02
 _FEW_RARE = 0.2
 #: Of an item's rare words at least this part of the required share must be among the words found.
 _RARE_SHARE = 0.6
-#: Of the rare words that a leak needs at least this part must be inside shared seeds; scattered left-out words break most seeds.
+#: Of the words, and of the rare words, that a leak needs at least this part must be inside shared seeds; scattered left-out words break most seeds.
 _SEEDED = 0.2
 #: Bits of a sieve of hashes that is broadcast, at most; beyond it more seeds reach the join than need to.
 SIEVE_BITS = 27
@@ -255,8 +255,8 @@ def _held_out(held: DataFrame) -> DataFrame:
     return materialise(items.join(flags, "i").select("i", "item", "codes", F.col("u.used").alias("used"), F.lit(n_items).cast("long").alias("n_items")), "items")
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
-    """(h, i, pos, mask): the seeds of all items that hold a rare word."""
+def _item_seeds(items: DataFrame, least_share: float) -> DataFrame:
+    """(h, i, pos, mask, least): the seeds of all items that hold a rare word, and how many words of the item such seeds must cover."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,11 +265,13 @@ def _item_seeds(items: DataFrame) -> DataFrame:
                 x = np.array(codes, np.int64).view(np.uint64)
                 h, at, mask = seeds(x, np.ones(len(x), bool))
                 on = rare_words(np.array(used), n)[at[:, None] + _OFFSET_TABLE[mask]].any(axis=1) if len(h) else np.zeros(0, bool)
-                out.append((h[on], np.full(on.sum(), i, np.int64), at[on], mask[on]))
-            h, i, at, mask = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([_longs(h), _longs(i), _longs(at), _longs(mask)], ["h", "i", "pos", "mask"])
+                # the fewer of its seeds hold a rare word, the less of it they can cover
+                least = math.ceil(_SEEDED * least_share * len(x) * (on.mean() if len(on) else 0))
+                out.append((h[on], np.full(on.sum(), i, np.int64), at[on], mask[on], np.full(on.sum(), least, np.int64)))
+            h, *rest = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 4
+            yield pa.RecordBatch.from_arrays([_longs(z) for z in (h, *rest)], ["h", "i", "pos", "mask", "least"])
 
-    return items.select("i", "codes", "used", "n_items").mapInArrow(cut, "h long, i long, pos long, mask long")
+    return items.select("i", "codes", "used", "n_items").mapInArrow(cut, "h long, i long, pos long, mask long, least long")
 
 
 def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, item_id: str, item_text: str, least_share: float = 0.5, reach: int = 80) -> DataFrame:
@@ -291,7 +293,7 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, i
     schema = f"item {item_type}, doc {doc_type}, matched_words long, n_words long, first_word long, end_word long"
     held = held_out.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND length(text) > 0")
     items = _held_out(held)
-    marks = materialise(_item_seeds(items), "seeds")
+    marks = materialise(_item_seeds(items, least_share), "seeds")
     vocabulary = items.select(F.explode("codes").alias("c"))
     shared = corpus.sparkSession.sparkContext.broadcast((_sieve(vocabulary, "c", vocabulary.count()), _sieve(marks, "h", marks.count())))
 
@@ -316,9 +318,14 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, i
     seen = materialise(seen.withColumn("d", F.monotonically_increasing_id()), "hits")
 
     hits = seen.select("d", F.inline(F.arrays_zip("h", "at")))
-    lookup = marks.groupBy("h").agg(F.collect_list(F.struct("i", "pos", "mask")).alias("of"))
+    lookup = marks.groupBy("h").agg(F.collect_list(F.struct("i", "pos", "mask", "least")).alias("of"))
     met = heavy_light_lookup(hits, lookup, "h", "inner").select("d", "at", F.inline("of"))
-    pairs = met.groupBy("d", "i").agg(F.collect_list(F.struct("pos", "at", "mask")).alias("m")).select("d", "i", F.col("m.pos").alias("pos"), F.col("m.at").alias("at"), F.col("m.mask").alias("mask"))
+    pairs = met.groupBy("d", "i").agg(F.collect_list(F.struct("pos", "at", "mask")).alias("m"), F.max("least").alias("least"))
+    offsets = F.array(*[F.array(*[F.lit(o).cast("long") for o in x]) for x in _OFFSETS])
+    covered = F.flatten(F.transform("m", lambda s: F.transform(F.element_at(offsets, (s["mask"] + 1).cast("int")), lambda o: s["pos"] + o)))
+    pairs = pairs.where(F.size(F.array_distinct(covered)) >= F.col("least"))
+    pairs = pairs.select("d", "i", F.col("m.pos").alias("pos"), F.col("m.at").alias("at"), F.col("m.mask").alias("mask"))
+    pairs = materialise(pairs, "pairs")
     named = heavy_light_lookup(pairs, items.withColumnRenamed("codes", "words"), "i", "inner")
     full = named.join(seen.select("d", "doc", "codes"), "d")
 
