@@ -10,6 +10,7 @@ import hashlib
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import product
 
@@ -32,12 +33,17 @@ _LENIENT = -0.4
 _LEAST_SCORE = 4.0
 #: Words in more than this share of the items belong to the phrases of the field (two items are always few).
 COMMON_SHARE = 0.02
+#: Seeds of more than this share of the items (two are always few) find nothing that others of the item don't.
+COMMON_SEEDS = 0.01
 #: An item with fewer rare words than this share of its words has those rare that are no more frequent than its median word.
 _FEW_RARE = 0.2
 #: Of an item's rare words at least this part of the required share must be among the words found.
 _RARE_SHARE = 0.6
-#: Of the words, and of the rare words, that a leak needs at least this part must be inside shared seeds; scattered left-out words break most seeds.
-_SEEDED = 0.2
+#: Of the words that a leak needs, at least this part must be covered by shared seeds in one order, and of the rare words
+#: at least this part by shared seeds; scattered left-out words break most seeds.
+_CHAINED, _SEEDED = 0.24, 0.2
+#: Up to so many documents with candidates are looked up in the corpus by a broadcast of their keys, more by a shuffle.
+BROADCAST_DOCS = 200_000
 #: Bits of a sieve of hashes that is broadcast, at most; beyond it more seeds reach the join than need to.
 SIEVE_BITS = 27
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -256,7 +262,11 @@ def _held_out(held: DataFrame) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame, least_share: float) -> DataFrame:
-    """(h, i, pos, mask, least): the seeds of all items that hold a rare word, and how many words of the item such seeds must cover."""
+    """(h, i, pos, mask, least): the seeds of all items that tell something, and how many words of the item a chain of them must cover.
+
+    Those are seeds that hold a rare word and that few items share; for an item which others copy, so that few
+    items share hardly any of its seeds, all seeds that hold a rare word.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,28 +275,53 @@ def _item_seeds(items: DataFrame, least_share: float) -> DataFrame:
                 x = np.array(codes, np.int64).view(np.uint64)
                 h, at, mask = seeds(x, np.ones(len(x), bool))
                 on = rare_words(np.array(used), n)[at[:, None] + _OFFSET_TABLE[mask]].any(axis=1) if len(h) else np.zeros(0, bool)
-                # the fewer of its seeds hold a rare word, the less of it they can cover
-                least = math.ceil(_SEEDED * least_share * len(x) * (on.mean() if len(on) else 0))
-                out.append((h[on], np.full(on.sum(), i, np.int64), at[on], mask[on], np.full(on.sum(), least, np.int64)))
-            h, *rest = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 4
-            yield pa.RecordBatch.from_arrays([_longs(z) for z in (h, *rest)], ["h", "i", "pos", "mask", "least"])
-
-    return items.select("i", "codes", "used", "n_items").mapInArrow(cut, "h long, i long, pos long, mask long, least long")
+                same = lambda v, m=int(on.sum()): np.full(m, v, np.int64)
+                out.append((h[on], same(i), at[on], mask[on], same(len(x)), same(len(h)), same(max(2, int(n * COMMON_SEEDS)))))
+            h, *rest = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 6
+            yield pa.RecordBatch.from_arrays([_longs(z) for z in (h, *rest)], ["h", "i", "pos", "mask", "n", "n_seeds", "few"])
+
+    made = materialise(items.select("i", "codes", "used", "n_items").mapInArrow(cut, "h long, i long, pos long, mask long, n long, n_seeds long, few long"), "seeds")
+    shared = heavy_light_lookup(made, made.groupBy("h").agg(F.count_distinct("i").alias("by")), "h", "inner").withColumn("own", F.col("by") <= F.col("few"))
+    # seeds of one item come from one text, so this window holds no more than that
+    per = shared.groupBy("i").agg(F.count_if("own").alias("k"), F.count(F.lit(1)).alias("m"))
+    kept = shared.join(per, "i").withColumn("kept", F.when(F.col("k") >= _FEW_RARE * F.col("m"), F.col("k")).otherwise(F.col("m"))).where("own OR kept = m")
+    # the fewer of its seeds are used, the less of an item they can cover
+    return kept.select("h", "i", "pos", "mask", F.ceil(_CHAINED * least_share * F.col("n") * F.col("kept") / F.col("n_seeds")).alias("least"))
+
+
+def chained(pos: np.ndarray, at: np.ndarray, mask: np.ndarray) -> int:
+    """Item words covered by a longest chain of shared seeds that follow each other in the item and in the text."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = [-1] * len(pos)
+    ps = pos.tolist()
+    for k in np.lexsort((-pos, at)).tolist():
+        j = bisect_left(tails, ps[k])
+        if j == len(tails):
+            tails.append(ps[k])
+            ends.append(k)
+        else:
+            tails[j], ends[j] = ps[k], k
+        before[k] = ends[j - 1] if j else -1
+    k, cover = (ends[-1] if ends else -1), set()
+    while k >= 0:
+        cover.update(ps[k] + o for o in _OFFSETS[mask[k]])
+        k = before[k]
+    return len(cover)
 
 
 def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, item_id: str, item_text: str, least_share: float = 0.5, reach: int = 80) -> DataFrame:
     """(item_id, doc_id, matched_words, n_words, first_word, end_word): the held-out items each document leaks.
 
-    Spaced seeds (``MASKS``) of the held-out texts that hold a rare word are joined with those of the corpus;
-    around the hits an alignment that allows substituted, left-out and added words counts the item's words
-    found in its order, in one passage or in two at most ``reach`` words apart. A document leaks an item when
+    Spaced seeds (``MASKS``) of the held-out texts that hold a rare word, and that few items share, are joined
+    with those of the corpus; where a chain of hits covers enough of an item, an alignment that allows substituted, left-out and added words
+    counts the item's words found in its order, in one passage or in two at most ``reach`` words apart. A document leaks an item when
     these are at least ``least_share`` of its words, and rare words of the item are among them, so that
     phrases which many items share are not enough. Rare is counted over all items. Case, punctuation, markup
     signs and white space don't matter.
 
-    The corpus is read once. Seeds that no item can have are left out before the join by a sieve of the items'
-    hashes, whose size is bounded (``SIEVE_BITS``); of documents, only those with a hit are carried on, as word
-    hashes. Whole texts are searched. Null, empty and blank texts and items leak nothing; repeated documents
+    Seeds that no item can have are left out before the join by a sieve of the items' hashes, whose size is
+    bounded (``SIEVE_BITS``); only hits are shuffled, and only documents with a candidate are read again. Whole texts are searched. Null, empty and blank texts and items leak nothing; repeated documents
     and items are reported each on their own; extra columns are ignored.
     """
     doc_type, item_type = corpus.schema[doc_id].dataType.simpleString(), held_out.schema[item_id].dataType.simpleString()
@@ -301,42 +336,50 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, i
         known, seeded = shared.value
         cache: dict[str, int] = {}
         for b in batches:
-            on, codes, hs, ats = [], [], [], []
-            for k, t in enumerate(b.column(1)):
+            on, hs, ats = [], [], []
+            for k, t in enumerate(b.column(2)):
                 x = word_codes(t.as_py(), cache)
                 h, at, _ = seeds(x, _through(known, x))
                 hit = _through(seeded, h)
                 if hit.any():
                     on.append(k)
-                    codes.append(x)
                     hs.append(h[hit])
                     ats.append(at[hit])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on, pa.int64())), _lists(codes), _lists(hs), _lists(ats)], ["doc", "codes", "h", "at"])
+            there = pa.array(on, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(there), b.column(1).take(there), _lists(hs), _lists(ats)], ["doc", "t", "h", "at"])
 
-    docs = corpus.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND length(text) > 0")
-    seen = spread(docs, "doc").mapInArrow(look, f"doc {doc_type}, codes array<bigint>, h array<bigint>, at array<bigint>")
-    seen = materialise(seen.withColumn("d", F.monotonically_increasing_id()), "hits")
+    def in_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, least = [b.column(k) for k in (3, 4, 5)], b.column(6).to_pylist()
+            yield b.filter(pa.array([chained(*(c[k].values.to_numpy() for c in lists)) >= least[k] for k in range(b.num_rows)], pa.bool_()))
 
-    hits = seen.select("d", F.inline(F.arrays_zip("h", "at")))
+    # a document is told by its id and its text, so that rows which share an id are told apart and copies meet again below
+    docs = corpus.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where("doc IS NOT NULL AND length(text) > 0")
+    seen = spread(docs, "doc").mapInArrow(look, f"doc {doc_type}, t long, h array<bigint>, at array<bigint>")
+    hits = materialise(seen.select("doc", "t", F.inline(F.arrays_zip("h", "at"))), "hits")
     lookup = marks.groupBy("h").agg(F.collect_list(F.struct("i", "pos", "mask", "least")).alias("of"))
-    met = heavy_light_lookup(hits, lookup, "h", "inner").select("d", "at", F.inline("of"))
-    pairs = met.groupBy("d", "i").agg(F.collect_list(F.struct("pos", "at", "mask")).alias("m"), F.max("least").alias("least"))
-    offsets = F.array(*[F.array(*[F.lit(o).cast("long") for o in x]) for x in _OFFSETS])
-    covered = F.flatten(F.transform("m", lambda s: F.transform(F.element_at(offsets, (s["mask"] + 1).cast("int")), lambda o: s["pos"] + o)))
-    pairs = pairs.where(F.size(F.array_distinct(covered)) >= F.col("least"))
-    pairs = pairs.select("d", "i", F.col("m.pos").alias("pos"), F.col("m.at").alias("at"), F.col("m.mask").alias("mask"))
-    pairs = materialise(pairs, "pairs")
+    met = heavy_light_lookup(hits, lookup, "h", "inner").select("doc", "t", "at", F.inline("of"))
+    pairs = met.groupBy("doc", "t", "i").agg(F.collect_set(F.struct("pos", "at", "mask")).alias("m"), F.max("least").alias("least"))
+    # a seed covers four words
+    pairs = pairs.where(F.size("m") * 4 >= F.col("least")).select("doc", "t", "i", F.col("m.pos").alias("pos"), F.col("m.at").alias("at"), F.col("m.mask").alias("mask"), "least")
+    pairs = materialise(pairs.mapInArrow(in_chain, pairs.schema), "pairs")
     named = heavy_light_lookup(pairs, items.withColumnRenamed("codes", "words"), "i", "inner")
-    full = named.join(seen.select("d", "doc", "codes"), "d")
+    # documents with a candidate, by a broadcast of their keys where these are few
+    keys = pairs.select("doc", "t").distinct()
+    again = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_DOCS else keys, ["doc", "t"], "left_semi")
+    full = again.join(named, ["doc", "t"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
         for b in batches:
             out, ids, docs_ = [], [], []
-            item, doc, lists = b.column(0), b.column(1), [b.column(k) for k in range(2, 7)]
+            item, doc, text_, lists = b.column(0), b.column(1), b.column(2), [b.column(k) for k in range(3, 8)]
+            last, y = None, np.zeros(0, np.uint64)
             for k in range(b.num_rows):
-                x, used, y, pos, at = (np.asarray(c[k].values.to_numpy()) for c in lists)
-                mask, n = b.column(7)[k].values.to_numpy(), b.column(8)[k].as_py()
-                x, y = x.view(np.uint64), y.view(np.uint64)
+                x, used, pos, at, mask = (c[k].values.to_numpy() for c in lists)
+                x, n = x.view(np.uint64), b.column(8)[k].as_py()
+                if last is None or text_[k] != text_[last]:
+                    last, y = k, word_codes(text_[k].as_py(), cache)
                 if found := pair_leak(x, rare_words(used, n), used == 1, y, pos, at, mask, least_share, reach):
                     ids.append(item[k].as_py())
                     docs_.append(doc[k].as_py())
@@ -344,5 +387,5 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, i
             cols = [pa.array(z, pa.int64()) for z in zip(*out)] if out else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([pa.array(ids, item.type), pa.array(docs_, doc.type), *cols], ["item", "doc", "matched_words", "n_words", "first_word", "end_word"])
 
-    ready = full.select("item", "doc", "words", "used", "codes", "pos", "at", "mask", "n_items")
+    ready = full.select("item", "doc", "text", "words", "used", "pos", "at", "mask", "n_items")
     return ready.mapInArrow(verify, schema).withColumnsRenamed({"item": item_id, "doc": doc_id})
