@@ -60,6 +60,7 @@ _NAMES = [
     ("initial last", re.compile(rf"(?<![\w\-@.])(?=({_INI}[ \t]{{0,3}}(?:{_INI}[ \t]{{0,3}}){{0,2}}{_SUR})(?![\w@]))")),
     ("last, first", re.compile(rf"(?<![\w\-@.])(?=({_SUR},{_SP}(?:{_FIRST}(?:{_SP}{_INI})?|{_INI}))(?![\w@]))")),
 ]
+_CAPITAL_BEFORE = re.compile(rf"(?<!\w)[{_UP}][\w'’\-]*{_SP}\Z")
 _CUE_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 
 #: Frequent given names of several languages, without accents, in lower case.
@@ -108,9 +109,14 @@ def _features(text: str, a: int, b: int, kind: str, form: str) -> list[str]:
         ws = re.findall(rf"[{_UP}{_LO}'’]+", span)
         plain = [w.lower().translate(_PLAIN) for w in ws]
         lead = plain[-1] if form == "last, first" else plain[0]
-        known, upper = lead in FIRST_NAMES, all(w.isupper() for w in ws)
+        # an initial says nothing of the list
+        known, upper = None if form == "initial last" else lead in FIRST_NAMES, all(w.isupper() for w in ws)
         f += [f"name|known={known}", f"name|{form} known={known}", f"name|upper={upper} known={known}", f"name|words={len(ws)}"]
-        if any(w in _NOT_NAMES for w in plain):
+        if _CAPITAL_BEFORE.search(text, max(0, a - 30), a):
+            f.append(f"name|{form} after a capital word")
+        if span[0].islower():
+            f.append(f"name|{form} from {span.split()[0]}")
+        if any(len(w) > 1 and w in _NOT_NAMES for w in plain):
             f.append("name|stop")
         if plain[0] in FIRST_NAMES and form == "last, first":
             f.append("name|reversed")
@@ -253,7 +259,7 @@ def train(sentences: list[tuple[str, set[tuple[int, int, str]]]], epochs: int =
 
 
 @lru_cache(maxsize=4)
-def trained(n_sentences: int = 3000, seed: int = 7) -> dict[str, float]:
+def trained(n_sentences: int = 4000, seed: int = 7) -> dict[str, float]:
     """The weights of ``n_sentences`` generated sentences."""
     from glossweave.llm.pii_training import sentences
 

@@ -1,7 +1,8 @@
 """Generated sentences with labelled personal information, from which the random field learns its weights.
 
-All names, numbers and places are made up from syllables; the frames are everyday uses of such data, and
-look-alikes that are none, in English, German, French and Spanish.
+All names, numbers and places are made up from syllables. What stands before and after them is put together
+from everyday phrases in English, German, French and Spanish, as are look-alikes that are none; no sentence of
+the corpora was taken.
 """
 
 from __future__ import annotations
@@ -16,28 +17,39 @@ _VOWEL = "a e i o u ei ö ü é ø".split()
 _CODA = "l m n nd r rs s sk t th v x".split()
 _TAIL = "berg son sen ini ez ov ova man dal vik well er ard ong elli etti ieux ault ier".split()
 
-_FRAMES = """
-Correspondence: {name}, {email}.|Corresponding author: {name} ({email}).|Contact: {name}, phone {phone}.|Contact {name} at {email} or call {phone}.
-Auteur correspondant : {name}, {address}.|Ansprechpartner: {name}, Tel.: {phone}.|Ansprechpartnerin: {name}, {email}.|Persona de contacto: {name}, {phone}.
-Requests for materials should be sent to {name} ({email}).|Please write to {email} or call {phone}.|Write to {email} or call {phone}.|Data are available from {email} on request.
-Contact the office on {phone} before the visit.|Contact the study desk on {phone} before coming.|Tel. {phone}; mail {email}.|Tel. {phone}; mail {email}|* {email}, {phone} (weekdays only)|raw data: {email}.
-Sent from my phone, {name}\\n{phone}\\n{email}|Kind regards, {name}\\n{phone}\\n{email}|Sent from my desk, {name}\\n{phone}|Best wishes, {name}\\n{email}
-According to {name}, the log was incomplete.|(personal communication, {name}).|as reported earlier (personal communication, {name}).|We thank Dr. {name} for the samples.|We thank Prof. {name} for comments.|Dr. {name} kindly gave the plasmids.
-{name} took the samples and labelled the tubes.|{name} drew the blood and labelled the vials.|{name} and {name} contributed equally.|{name} and {name} shared the work equally.|a result first seen by {name} in a trial.|first described by {name} in a pilot study.
-Patient record: {name}, born in spring, reachable at {phone}.|Patient: {name}, date of birth unknown, reachable on {phone}.|The patient ({name}, {cue} {id}) withdrew consent.|The participant ({name}, {cue} {id}) withdrew.|The proband ({name}, {cue}: {id}) agreed.
-Mother of the proband: {name} ({cue} {id}), {address}.|Father of the child: {name} ({cue} {id}), {address}|El tubo de {name} ({cue} {id}) llegó tarde.|La muestra de {name} ({cue} {id}) se perdió.|Die Probe von {name} ({cue} {id}) fehlt.|Le tube de {name} ({cue} {id}) manque.
-The form lists {cue} {id} and residence at {address}.|Intake form lists {cue} {id} and residence at {address}.|The coded key maps {id} to vial 3.|The code list maps {id} to tube 9.|was seen in the subject holding {id}.|in the person holding {id}.|in the patient with {cue} {id}.
-Consent was taken at {address} by {name}.|Consent was signed at {address} by {name}.|Samples were shipped to {address}, on dry ice.|The kit was sent to {address}, by courier.|Domicilio del paciente: {address}.|Domicilio: {address}|Anschrift: {address}.|Adresse du patient : {address}.|The patient lives at {address}.
-""".strip().split("\n")
+#: Parts from which sentences are put together at random: what may stand before a value of a type, and after it.
+_BEFORE = {
+    "name": """Author: |Written by |Prepared by |Reviewed by |Approved by |Investigator: |Head of the unit: |Principal investigator: |Regards, |Yours sincerely, |Best, \\n|Many thanks,\\n|Greetings from |
+        Thanks go to |We are indebted to |with help from |The idea came from |Questions? Ask |please ask |Please address queries to |interviewed by |as told by |as |and |said |notes by |(courtesy of |(unpublished data of |
+        Dr. |Prof. |Dr |Professor |Mr. |Mrs. |Ms |Frau |Herr |Señora |Señor |Mme |Verfasser: |Verantwortlich: |Leitung: |Es dankt |nach Angaben von |im Namen von |laut |
+        Responsable: |Contacto: |Firmado por |según |agradecemos a |la sangre de |los datos de |el suero de |la orina de |el nombre de |la firma de |la voz de |les notes de |Auteur : |Rédigé par |d'après |selon |le dossier de |l'échantillon de |Befund von |Blutbild von |
+        The donor, |The volunteer |The child |Name: |Surname and name: |Patient's name: |Proband: |Donor: |Case 4: |Participant |Next of kin: |The nurse |Guardian: |Sister of the patient: |Uncle of the index case: |Spouse: |Signed |""",
+    "email": """E-mail: |e-mail |Email |mail to |Mail: |or by mail at |reach us at |please use |send files to |send a note to |Address mail to |contact |Contact: |code: |files: |Questions: |queries to |available via |on demand from |
+        Courriel : |Correo: |escriba a |écrire à |Anfragen an |bitte an |<|(|[|; |, |\\n|* |- |or |und |y |et |""",
+    "phone": """Phone: |phone |Phone |Tel: |Tel |T: |Telephone |Fax |Mobile: |Cell |ring |dial |calls to |call us on |call |Call |or |on |at |under |hotline |Hotline: |Telefon: |Telefon |Tel.: |Tel. |Tél. : |Tél. |tél. |
+        Teléfono: |Teléfono |llame al |appeler le |Rückruf unter |erreichbar unter |Durchwahl |by phone (|(phone |; |, |\\n|* |""",
+    "address": """Address: |Home address: |Postal address: |lives at |lived at |resident at |living at |at |of |from |to |sent to |posted to |delivered to |visited at |Office: |our office, |The practice moved to |wohnhaft |wohnt in der |Anschrift: |Wohnort: |
+        Adresse : |domicilié au |demeurant au |habite au |Dirección: |vive en |domiciliada en |residente en |entregado en |, |; |\\n|(|""",
+    "id": """{cue} |{cue}: |{cue} |{cue} is |{cue}, |({cue} |({cue}: |, {cue} |with {cue} |has {cue} |under {cue} |gave {cue} |{cue} number |no. |number |labelled |the person behind |the holder of |holds |linked to |stands for |replaced |under |by |""",
+}
+_AFTER = {
+    "name": """.|.|,| |;|)|) | wrote the first draft.| kept the records.| read all slides.| did the imaging.| ran the assays.| collected saliva.| joined late.| signed the form.| agreed to be named.| was seen twice.| was born at term.| and colleagues| and others went home.| and the nurse came.| and | (| (female, 44)|, who |, aged 61,| et al.| hat alles geprüft.| war dabei.| a signé.| tomó la muestra.| llegó antes.| est venu.| came to the ward.|\\n|\\n""",
+    "email": """.|.|;|,|)|)|>|]| for the code.| for details.| if needed.| (monitored daily).|\\n| or |, subject "data".""",
+    "phone": """.|.|;|,|)|) | after nine.| between 8 and 16 h.| (mornings).| (ward desk).|\\n| or | if late.| for an appointment.| in an emergency.| before coming.""",
+    "address": """.|.|,|;|)| by post.| until spring.| on that day.| with the parents.| in a cold box.|, by noon.|, second floor.|\\n|: """,
+    "id": """.|.|,|;|)|) |) is missing.| is on file.| was removed.| was copied.| was read out.| to the sample.| to bag 7.|\\n|: """,
+}
+_PLAIN_TEXT = "the samples were kept cold|no change was seen|see the notes|data were lost|all agreed|die Proben blieben kalt|keine Änderung|rien n'a changé|les données manquent|sin cambios|los datos faltan|the rest is unknown|more follows|as planned|in spring".split("|")
 
 _DECOYS = """
-Grant {y}-{d4}-{d2} supported the work.|Catalogue {L2}-{d3}-{d4} replaced the previous stock.|Accession {L3}{d7} and lot {d2}-{d4}-{d2} were used.|Coordinates chr{d1}:{d8}-{d8} define the interval.|Counts were {d3} {d3} and {d2} {d3} per field, build {d2}.{d1}.0.{d1}.
-Plate {d2}, Row B, {d5} wells passed; record {d8} did not.|Primers 5'-GGACCATTAC-3' cover exon {d1}; kit {L2}-{d6}.|approved protocol {d4}/{d2}.|The {T} General Hospital and {T} University approved protocol {d4}/{d2}.|The {T} Institute and the {T} Medical School agreed.
-Signs of {T} syndrome were scored.|Signs of the {T} test were scored.|Samples were kept in {T} buffer.|{T}'s staining and the {T} {T} equation were used.|The {T} {T} assay failed.|{T}-{T} disease was ruled out.|Handles such as @{t} or mail@ were masked.|Antibody@bead ratio was 1:{d3} at 37 degrees.
-Die {T} binden {T}, weshalb {T} und {T} abnahmen.|Dass {T} auch {T} spalten, erklärt {T} durch {L3}{d2}.|Ohne {T} und {L3}{d2} fiel die {T} aus.|Bei {d2} Proben ging {T} mit {T} einher.|Les {t} relient {T} et {L3}{d2}.|Sin {T} cesó toda {t}.|¿Cómo {T} y {T} frenan la {t}?
-How {T} meets the {L3}-{d1} {t} in {t} depends on {t} and on {T}.|Both {T} and {L3}{d2} compete for {t} before {t} begins.|The {T} {t} clamps through {t}; {L3}{d2} does not.|Time-Lapse {T} Revealed An {T} {T} After {d3} Min Of {T} With {T}.|Flow {T} Showed {T} {T} In {T} {T}.|By Mass {T}, {T} {T} Drops.
-RESULTS IN {U} {U} WERE {U}.|{U} {U} AND {U} DID NOT DIFFER|Background: {T} {t} {t} at {d3} h.|Methods: {T} {T} was scored.|Turnover of {L3}{d2} ({d2}.{d1} µM; n = {d2}) tracked {t}.|version {d1}.{d1}.{d2} of the tool, seed {d6}.|The yield was {d3} {d3} cells at {d2} °C.|isotopes ({T} and {T}) {t} {d3} h
-We used {L2}{d6} from {T} Biotech.|Freezer {d2}, shelf {d1}, box {d4}.|in {y}, {d5} patients and {d4} controls|ISBN 978-{d1}-{d4}-{d4}-{d1}|doi 10.{d4}/{t}.{y}.{d6}|Invoice {d6} of {d2}.{d2}.{y}|see Suppl. Table {d1}|{T}, {T} and {L3}{d2} form a {t} {t} that {t}.|{T}, {L3}-{d1} and {T} form a {t} {t}.|{T}, {T} und {T} bilden {T}.|{L3}{d2}, {T} and {T} form a {t} {t}.|{U} TIE {U} TO {U} {U} AND {U} THAT {U}|{T} And {T} {T} Contributed To {T}.|{T} and {T} {t} equally.|{T} {T} {T} At {d3} H, As {T} By {T} {T}. Notably, {T} {T}|AS {U} BY {U} {U}. NO {U} {U}|The {T} {T} Was {T} By {T} {T} And {T} {T}.|{T} Lacking {T} Kept {T}-{T} {T} For {d2} % And {T}.|{d2} % Of Exposure To {T}-{T} {T}. Across {T} {T}, The {L2}{d1} {T}|Results Tie {T} To {T}-{T} {T} And Hint That {T}|the {T} centrosome and the {T} {t} responded|room temperature for {d3} to {d3} min
+Grant {y}-{d4}-{d2} paid for this.|Order {L2}-{d3}-{d4} arrived late.|Lot {d2}-{d4}-{d2} and sequence {L3}{d7} were checked.|the window {d8}-{d8} on arm {d1}|{d3} {d3} and {d2} {d3} objects in each view, release {d2}.{d1}.0.{d1}.|Deposited as {L2}{d6}, {L3}{d7} and {L1}{d5}.
+Tray {d2}, line C: {d5} spots; entry {d8} failed.|Oligos {L3}GGACCATT, exon {d1}, box {L2}-{d6}.|ethics vote {d4}/{d2}.|The {T} Hospital and {T} College gave ethics vote {d4}/{d2}.|The {T} Institute of {T} and the {T} Foundation|Department of {T} {T}, {T} University|{T} General Clinic, {T} Center
+The {T} sign was absent.|{T} disease and {T} syndrome|the {T} test|in {T} medium|{T}'s method, the {T} {T} score and the {T} {T} equation|A {T} {T} plot|{T}-{T} fever|Accounts like @{t} and {t}@ stay.|beads@{t} at {d1}:{d3}|A {T}@{t} mix of {d3} was used.
+Die {T} hemmen {T}, so dass {T} und {T} sinken.|Ob {T} auch {T} bindet, zeigt {T} mit {L3}{d2}.|Mit {T} und {L3}{d2} stieg die {T}.|In {d2} Fällen trat {T} neben {T} auf.|Les {t} portent {T} et {L3}{d2}.|Con {T} subió la {t}.|¿Por qué {T} y {T} suben la {t}?|Ohne {T} sank {T} um {d2} %.|Wegen {T} fiel {T}.|{T} und {T} wirken.|{T} et {T} agissent|{T} y {T} suben
+Why {T} needs {L3}-{d1} {t} in {t} depends on {t} and {T}.|Neither {T} nor {L3}{d2} binds {t}.|The {T} {t} holds {t}; {L3}{d2} lets go.|{T} {T} Shows An {T} {T} In {d3} Min Of {T} With {T}.|{T} {T} Of {T} {T} In {T} {T}.|With {T} {T}, {T} {T} Rises.|{T} {T} {T} And {T} {T}, A {T} Study.|{T} And {T} Are {T} In {T}.|An {T} View Of {T} {T}
+DATA ON {U} {U} ARE {U}.|{U} {U} OR {U} ROSE|{U} {U} AND {U} {U} DO {U} TO {U}|THE {U} OF {U} {U}|{U} IS {U} BY {U} {U}. NO {U}|Aim: {T} {t} {t} in {d3} h.|Results: {T} {T} fell.|Decay of {L3}{d2} ({d2}.{d1} nM; N = {d2}) fits {t}.|build {d1}.{d1}.{d2}, key {d6}.|We had {d3} {d3} cells at {d2} °C.|labels ({T} or {T}) {t} {d3} s
+From {T} Labs came {L2}{d6}.|Rack {d2}, drawer {d1}, tube {d4}.|since {y}, {d5} cases and {d4} others|ISBN 978-{d1}-{d4}-{d4}-{d1}|doi 10.{d4}/{t}.{y}.{d6}|Bill {d6} dated {d2}.{d2}.{y}|cf. Suppl. Fig. {d1}|{T}, {T} and {L3}{d2} make a {t} {t} which {t}.|{T}, {L3}-{d1} and {T} make {t}.|{T}, {T} und {T} formen {T}.|{L3}{d2}, {T} and {T} make a {t}.
+{T} And {T} {T} Help {T}.|{T} and {T} {t} alike.|{T} or {T} {t} more.|{T} {T} {T} In {d3} H, By {T} {T}. Oddly, {T} {T}|A {T} {T} Is {T} For {T} {T} And {T} {T}.|{T} Without {T} Held {T}-{T} {T} In {d2} % Of {T}.|{d2} % From {T}-{T} {T}. In {T} {T}, The {L2}{d1} {T}|This Links {T} To {T}-{T} {T} And {T}|the {T} vesicle and the {T} {t} moved|kept at {d3} to {d3} K|{U} {U} AND {U} {U} FELL {U} {U}.|{L3}{d1}, {L3}{d2}{L1} AND {U} {U} A {U} {U} THAT {U}|{U} AND {U} {U}, CF. {U} {d1}, {U} {U}|{U} {U} BY {d2} % WHEN {U} AND {U} {U} WAS {U}|So {T} Than {T} {T} Over {T} And {T}-{T} {T}. {T} {T}|{T} {T} By {d2}.{d1} As Long As {T} {T} Was {T} From {T}|By {T}-{T} {T}, {T} {T} {T} To {T}|{t} {t} and {T}, {T} and {L2}-{d1} make a {t}|{T}, {T} and {L2}{d2}{L1} {t} {t}|{T} {t} {T} {t}, {L3}{d2} {t} {T}.|{t} {T}, {t} {T}; {t} {L3}-{d1}
 """.strip().split("\n")
 
 
@@ -65,12 +77,13 @@ def _name(r: random.Random) -> str:
         last = r.choice(("van ", "von ", "de ", "del ")) + last
     form = r.random()
     if form < 0.12:
-        return f"{last}, {first}"
-    if form < 0.24:
+        # in a list by surname, a Romance particle goes to the end
+        return f"{last.removeprefix('del ').removeprefix('de ')}, {first}"
+    if form < 0.3:
         return f"{first[0]}. {last}"
-    if form < 0.36:
+    if form < 0.4:
         return f"{first} {r.choice('ABCDEFGHIJKLMNOPRSTVZ')}. {last}"
-    return f"{first} {last}".upper() if form < 0.46 else f"{first} {last}"
+    return f"{first} {last}".upper() if form < 0.5 else f"{first} {last}"
 
 
 _GIVEN = sorted(FIRST_NAMES)
@@ -146,10 +159,19 @@ def _fill_decoy(r: random.Random, frame: str) -> str:
     return re.sub(r"\{(\w+)\}", one, frame)
 
 
+def _choices(parts: str) -> list[str]:
+    return [x.lstrip("\n ") if x.startswith("\n ") else x for x in parts.replace("\\n", "\r").split("|")]
+
+
 def sentences(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, str]]]]:
-    """``n`` texts of a few sentences each with the spans in them."""
+    """``n`` texts of a few sentences each with the spans in them.
+
+    A sentence strings one to four values together, each between what may stand before and after its type.
+    """
     r, out = random.Random(seed), []
-    frames, decoys = [f.replace("\\n", "\n") for line in _FRAMES for f in line.split("|")], [f for line in _DECOYS for f in line.split("|")]
+    before, after = ({k: [x.replace("\r", "\n") for x in _choices(v)] for k, v in parts.items()} for parts in (_BEFORE, _AFTER))
+    decoys = [f for line in _DECOYS for f in line.split("|")]
+    make = {"name": _name, "email": _email, "phone": _phone, "address": _address}
     for _ in range(n):
         text, gold = "", set()
         for _ in range(r.choice((1, 2, 2, 3))):
@@ -158,15 +180,19 @@ def sentences(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, str]]]]:
             if r.random() < 0.45:
                 text += _fill_decoy(r, r.choice(decoys))
                 continue
-            frame, cue_id = r.choice(frames), _id(r)
-            for part in re.split(r"(\{\w+\})", frame):
-                kind = part[1:-1] if part.startswith("{") else None
-                if kind is None:
-                    text += part
-                    continue
-                value = {"name": lambda: _name(r), "email": lambda: _email(r), "phone": lambda: _phone(r), "address": lambda: _address(r), "id": lambda: cue_id[1], "cue": lambda: cue_id[0]}[kind]()
-                if kind != "cue":
-                    gold.add((len(text), len(text) + len(value), {"id": "id_number"}.get(kind, kind)))
-                text += value
+            kinds = r.choice((("name",), ("name", "email"), ("name", "phone"), ("name", "name"), ("name", "name"), ("name", "name"), ("name", "id"), ("name", "id", "address"), ("name", "address"), ("email",), ("phone",), ("email", "phone"), ("phone", "email"), ("id",), ("address",), ("id", "address"), ("address", "name"), ("name", "phone", "email")))
+            if r.random() < 0.25:
+                text += r.choice(_PLAIN_TEXT) + " "
+            for kind in kinds:
+                cue, value = _id(r) if kind == "id" else ("", make[kind](r))
+                if kind == "name" and text.endswith(" and "):
+                    lead = ""
+                else:
+                    lead = "" if kind == "name" and r.random() < 0.2 else r.choice(before[kind]).replace("{cue}", cue)
+                if text and (not lead or lead[0].isalnum()) and not text[-1].isspace() and text[-1] not in "([<":
+                    text += " "
+                text += lead
+                gold.add((len(text), len(text) + len(value), {"id": "id_number"}.get(kind, kind)))
+                text += value + (" and " if kinds == ("name", "name") and not text.endswith(" and ") and r.random() < 0.6 else r.choice(after[kind]))
         out.append((text, gold))
     return out
