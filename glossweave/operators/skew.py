@@ -12,20 +12,26 @@ from glossweave.tables import materialise
 
 #: A key is heavy when it holds at least 1/HEAVY_PARTS of the rows, so there are at most that many.
 HEAVY_PARTS = 256
+_STEPS = 1024
 
 
-def heavy_light_lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+#: Below so many rows even a single key's share fits one task; the plan is the ordinary join then, with the same rows.
+LIGHT_ROWS = 100_000
+
+
+def heavy_light_lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", total: int | None = None) -> DataFrame:
     """Join ``facts`` to a lookup that is unique in ``key`` without sending a hot key to one task.
 
     At most ``HEAVY_PARTS`` keys can hold 1/HEAVY_PARTS of the rows each; their lookup rows are
     broadcast, which that number bounds, and every other key goes through an ordinary join.
-    Null keys match nothing and are kept by ``how='left'``.
+    ``total`` is the number of rows of ``facts`` where the caller knows it. Null keys match nothing and are
+    kept by ``how='left'``.
     """
     if how not in ("left", "inner"):
         raise ValueError(how)
     counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = facts.count()
-    heavy = [r[0] for r in counts.where(F.col("__n") * HEAVY_PARTS >= total).limit(HEAVY_PARTS + 1).select(key).collect()] if total > 100_000 else []
+    total = facts.count() if total is None else total
+    heavy = [r[0] for r in counts.where(F.col("__n") * HEAVY_PARTS >= total).limit(HEAVY_PARTS + 1).select(key).collect()] if total > LIGHT_ROWS else []
     if not heavy:
         return facts.join(lookup, key, how)
     is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
@@ -51,6 +57,7 @@ def key_profile(
     numbers: Mapping[str, Column],
     distinct: Mapping[str, Column],
     quantiles: Sequence[float] = (0.25, 0.5, 0.75),
+    bin_values: int = 200_000,
 ) -> DataFrame:
     """Exact per-key counts, distinct counts, means, modes and quantiles by value-frequency compression.
 
@@ -58,8 +65,9 @@ def key_profile(
     spread over all tasks there, and copies of a value collapse on the map side. Everything else is
     derived from the weighted values: sums over bins of an order-preserving value hash give counts,
     means, modes and distinct counts; the bins in which a quantile's ranks fall are found from the
-    bins' cumulated weights, and only their values are ordered, in one window per bin. No window or
-    task ever holds all values of a key.
+    bins' cumulated weights, and only their values are ordered, in one window per bin. A wanted bin of
+    more than ``bin_values`` different values is divided again, so that a window's size does not grow with
+    a key, however narrow the range of its values is.
 
     Columns: key, ``n_rows``, ``n_<name>`` for each of ``distinct``; ``n_``, ``mean_``, ``mode_`` and
     ``q<percent>_`` for each of ``numbers``. Nulls and NaN are skipped; a key all of whose values are
@@ -86,6 +94,8 @@ def key_profile(
         F.sum(F.col("w") * F.col("v")).alias("wv"),
         F.count(F.lit(1)).alias("nd"),
         F.max(F.struct(F.col("w").alias("w"), (-F.col("v")).alias("nv"))).alias("mode"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
     )
     over = lambda i, c: F.when(F.col("m") == i, F.col(c))
     aggs = [F.coalesce(F.sum(over(0, "w")), F.lit(0)).alias("n_rows")]
@@ -100,38 +110,51 @@ def key_profile(
     if not names or not quantiles:
         return base.withColumnRenamed("__k", key)
 
-    # the ranks each quantile needs, and the bins that hold them
+    # the ranks each quantile needs, and the bins that hold them; a null key is told by a mark of its own
+    kk = F.coalesce(F.col("__k").cast("string"), F.lit("\0")).alias("kk")
+    before = Window.unboundedPreceding
     per = Window.partitionBy("__k", "m")
-    ranked = (
-        bins.where(F.col("m").between(1, len(names)))
-        .select(
-            "__k", "m", "bin", "w",
-            F.sum("w").over(per.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-            F.sum("w").over(per).alias("n"),
-        )
-        .withColumn("before", F.coalesce("before", F.lit(0)))
+    ranked = bins.where(F.col("m").between(1, len(names))).select(
+        kk, "m", "bin", "w", "lo", "hi", "nd",
+        F.coalesce(F.sum("w").over(per.orderBy("bin").rowsBetween(before, -1)), F.lit(0)).alias("before"),
+        F.sum("w").over(per).alias("n"),
     )
     wanted = F.array(*[F.struct(F.lit(j).alias("q"), F.lit(float(q)).alias("p")) for j, q in enumerate(quantiles)])
+    inside = lambda x: (F.ceil(x["pos"]) >= F.col("before")) & (F.floor(x["pos"]) < F.col("before") + F.col("w"))
+    cells = ["kk", "m", "bin", "lo", "hi", "nd", "before", "qs"]
     needs = (
-        ranked.withColumn("qs", F.transform(wanted, lambda x: F.struct(x["q"].alias("q"), (x["p"] * (F.col("n") - 1)).alias("pos"))))
-        .withColumn(
-            "qs",
-            F.filter("qs", lambda x: (F.ceil(x["pos"]) >= F.col("before")) & (F.floor(x["pos"]) < F.col("before") + F.col("w"))),
-        )
+        ranked.withColumn("qs", F.filter(F.transform(wanted, lambda x: F.struct(x["q"].alias("q"), (x["p"] * (F.col("n") - 1)).alias("pos"))), inside))
         .where(F.size("qs") > 0)
-        .select("__k", "m", "bin", "before", "qs")
+        .select(*cells)
     )
-    inside = Window.partitionBy("__k", "m", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    numbers_only = freq.where(F.col("s").isNull() & F.col("m").between(1, len(names))).select(kk, "m", "bin", "v", "w")
+    if needs.where((F.col("nd") > bin_values) & (F.col("lo") < F.col("hi"))).isEmpty():
+        rounds = 0
+    else:
+        needs, rounds = materialise(needs, "ranks"), 8
+    for _ in range(rounds):
+        wide = (F.col("nd") > bin_values) & (F.col("lo") < F.col("hi"))
+        # equal steps from the least to the greatest value: the bins' rows meet again by step, not by bin
+        step = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _STEPS), F.lit(_STEPS - 1)).cast("int")
+        again = numbers_only.join(needs.where(wide), ["kk", "m", "bin"]).where("v BETWEEN lo AND hi").withColumn("step", step)
+        steps = again.groupBy("kk", "m", "bin", F.col("lo").alias("from"), "step").agg(
+            F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("nd"), F.first("before").alias("base"), F.first("qs").alias("qs")
+        )
+        run = F.sum("w").over(Window.partitionBy("kk", "m", "bin", "from").orderBy("step").rowsBetween(before, -1))
+        finer = steps.withColumn("before", F.col("base") + F.coalesce(run, F.lit(0))).withColumn("qs", F.filter("qs", inside)).where(F.size("qs") > 0)
+        needs = materialise(needs.where(~wide).unionByName(finer.select(*cells)), "ranks")
+        if needs.where(wide).isEmpty():
+            break
+    here = Window.partitionBy("kk", "m", "bin", "least").orderBy("v").rowsBetween(before, -1)
     picked = (
-        freq.where(F.col("s").isNull() & F.col("m").between(1, len(names)))
-        .withColumn("kk", F.coalesce(F.col("__k").cast("string"), F.lit("\0")))
-        .join(needs.withColumn("kk", F.coalesce(F.col("__k").cast("string"), F.lit("\0"))).drop("__k"), ["kk", "m", "bin"])
-        .withColumn("lo", F.col("before") + F.coalesce(F.sum("w").over(inside), F.lit(0)))
+        numbers_only.join(needs.withColumnsRenamed({"lo": "least", "hi": "most"}), ["kk", "m", "bin"])
+        .where("v BETWEEN least AND most")
+        .withColumn("lo", F.col("before") + F.coalesce(F.sum("w").over(here), F.lit(0)))
     )
     parts = (
-        picked.select("__k", "m", "v", "w", "lo", F.inline("qs"))
+        picked.select("kk", "m", "v", "w", "lo", F.inline("qs"))
         .select(
-            "__k", "m", "q",
+            "kk", "m", "q",
             (
                 F.when((F.floor("pos") >= F.col("lo")) & (F.floor("pos") < F.col("lo") + F.col("w")), F.col("v") * (1 - (F.col("pos") - F.floor("pos")))).otherwise(0.0)
                 + F.when((F.ceil("pos") >= F.col("lo")) & (F.ceil("pos") < F.col("lo") + F.col("w")), F.col("v") * (F.col("pos") - F.floor("pos"))).otherwise(0.0)
@@ -143,6 +166,6 @@ def key_profile(
         for i, n in enumerate(names, 1)
         for j, p in enumerate(quantiles)
     ]
-    tops = parts.groupBy("__k").agg(*qcols).withColumn("kk", F.coalesce(F.col("__k").cast("string"), F.lit("\0"))).drop("__k")
-    out = base.withColumn("kk", F.coalesce(F.col("__k").cast("string"), F.lit("\0"))).join(tops, "kk", "left").drop("kk")
+    tops = parts.groupBy("kk").agg(*qcols)
+    out = base.select("*", kk).join(tops, "kk", "left").drop("kk")
     return out.withColumnRenamed("__k", key)

@@ -12,16 +12,16 @@ from glossweave.tables import table
 METRICS = ("pca_residual", "pca_mahalanobis", "pca_spectral_entropy")
 
 
-def entity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row count, number of articles, mean, mode and quartiles of the pca columns for every entity key."""
+def entity_profile(spark: SparkSession, sf_dir: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Row count, number of articles, mean, mode and quantiles of the pca columns for every entity key."""
     frame = table(spark, sf_dir, "mention_quality_frame").select(entity_key("entity").alias("ekey"), article_key("pmid").alias("pmid"), *METRICS)
-    return key_profile(frame, "ekey", {m: F.col(m) for m in METRICS}, {"articles": F.col("pmid")})
+    return key_profile(frame, "ekey", {m: F.col(m) for m in METRICS}, {"articles": F.col("pmid")}, quantiles)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities with at least 2 % of all rows, in proper form."""
     total = table(spark, sf_dir, "mention_quality_frame").count()
-    large = entity_profile(spark, sf_dir).where(F.col("ekey").isNotNull() & (F.col("n_rows") * 50 >= F.lit(total)))
+    large = entity_profile(spark, sf_dir, ()).where(F.col("ekey").isNotNull() & (F.col("n_rows") * 50 >= F.lit(total)))
     names = proper_entities(table(spark, sf_dir, "kb"), table(spark, sf_dir, "kb_extension"))
     # at most 50 keys can hold a fiftieth of the rows each
     return names.join(F.broadcast(large.select("ekey")), "ekey").select("entity")

@@ -54,6 +54,16 @@ def test_profile_against_brute_force(spark):
             assert a == b or a == pytest.approx(b, rel=1e-9)
 
 
+def test_profile_of_a_narrow_range(spark):
+    """All values of the hot key share a bin, which is divided until windows are small."""
+    r = random.Random(8)
+    rows = [("hot" if i % 3 else "cold", 1.0 + r.randrange(5000) * 1e-9, None) for i in range(3000)] + [("hot", 1.0 + 7e-9, None)] * 400
+    df = spark.createDataFrame(rows, "key string, v double, s string")
+    got = {x["key"]: x for x in key_profile(df, "key", {"v": F.col("v")}, {"s": F.col("s")}, bin_values=3).collect()}
+    for k, (*_, mean, mode, q25, q50, q75) in brute(rows).items():
+        assert [got[k][f"{c}_v"] for c in ("mode", "q25", "q50", "q75")] == pytest.approx([mode, q25, q50, q75], abs=1e-15)
+
+
 def test_profile_of_nothing_and_of_nulls(spark):
     empty = spark.createDataFrame([], "key string, v double, s string")
     assert key_profile(empty, "key", {"v": F.col("v")}, {"s": F.col("s")}).collect() == []
