@@ -6,7 +6,9 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -187,16 +189,27 @@ def pack_texts(docs: DataFrame, doc_id: str, text: str, capacity: int = 1024) ->
     over many tasks. Null and empty texts give no row; repeated rows are packed each on their own.
     """
     items = materialise(token_pieces(docs, doc_id, text, capacity), "items")
-    spark = docs.sparkSession
     histogram = {r["n_tokens"]: r["k"] for r in items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("k")).collect()}
     plan, _ = plan_packing(histogram, capacity)
-    places = spark.createDataFrame(plan, "n_tokens long, lo long, hi long, first long")
+    # runs in the order of size and rank; the plan has as many as there are runs of equal containers, whatever the number of texts
+    runs = np.array(sorted((size, lo, first) for size, lo, _, first in plan), np.int64).reshape(-1, 3)
+    ends = np.searchsorted(runs[:, 0], np.arange(capacity + 2))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, rank = (b.column(k).to_numpy() for k in (2, 5))
+            at = np.empty(len(size), np.int64)
+            for s in np.unique(size):
+                on = size == s
+                at[on] = ends[s] + np.searchsorted(runs[ends[s] : ends[s + 1], 1], rank[on], "right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(runs[at, 2] + rank - runs[at, 1])], ["id", "piece_no", "n_tokens", "a", "b", "container"])
+
     keyed = items.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), F.lit(_BUCKETS)).cast("int"))
     counts = keyed.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("k"))
     before = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("n_tokens", "bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
     rank = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("id", "piece_no")) - 1
     ranked = keyed.withColumn("r", rank).join(starts, ["n_tokens", "bucket"]).withColumn("rank", F.col("start") + F.col("r"))
-    # the plan has as many rows as there are runs of equal containers, whatever the number of texts
-    at = ranked.join(F.broadcast(places), "n_tokens").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return at.select(F.col("id").alias(doc_id), "piece_no", "n_tokens", "a", "b", (F.col("first") + F.col("rank") - F.col("lo")).alias("container"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    held = ranked.select("id", "piece_no", "n_tokens", "a", "b", "rank").mapInArrow(place, f"id {kind}, piece_no long, n_tokens long, a long, b long, container long")
+    return held.withColumnRenamed("id", doc_id)

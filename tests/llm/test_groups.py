@@ -87,10 +87,22 @@ def test_shares_of_many_small_groups(spark):
     assert all(abs(got[k] / total - p) < 0.01 for k, p in SHARES.items())
     one = group_splits(spark.createDataFrame([("g", 10)], "gid string, n long"), SHARES).collect()
     assert [x["split"] for x in one] == ["train"]
+    # some large groups among small ones, and only large ones
+    for sizes, off in (([9000, 4000, 1000, 900, 800] + [1 + i % 7 for i in range(3000)], 0.01), ([50] * 10, 1e-9), ([3000, 300, 290, 280, 20, 10], 0.08)):
+        got, df = Counter(), spark.createDataFrame([(f"g{i}", n) for i, n in enumerate(sizes)], "gid string, n long")
+        for x in group_splits(df, SHARES).collect():
+            got[x["split"]] += x["n"]
+        assert sum(got.values()) == sum(sizes) and all(abs(got[k] / sum(sizes) - p) <= off for k, p in SHARES.items())
     with pytest.raises(ValueError):
         group_splits(groups, {"a": 0.5})
 
 
+def test_forest_that_outlives_the_session(spark, tmp_path):
+    df = spark.createDataFrame([("e1", 5), ("e1", 3), ("e2", 3), ("e2", 9)], "ekey string, article long")
+    tie_groups(df, keep=f"{tmp_path}/forest")
+    assert sorted(sorted(x) for x in spark.read.parquet(f"{tmp_path}/forest").collect()) == [[3, 5], [3, 9]]
+
+
 def test_quota_plan():
     assert [half_up(0.0005, n) for n in (1000, 999, 3000)] == [1, 0, 2]
     cells = [Cell("a", "0", 0.5, 5, 1000), Cell("a", "1", 0.1, 0, 3), Cell("b", "0", 0.4, 10, 20), Cell("c", "0", 0.0, 30, 10)]
