@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 STOP_WORDS = ("a", "an", "the", "of", "to", "in", "is", "for", "or", "has", "and", "with", "on", "at", "by", "from", "as", "that", "this", "it", "be", "are", "was", "were")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _RUN = re.compile(r"\S+")
+_WORDS, _REST, _SPACE, _GAP = re.compile(r"\w+"), re.compile(r"\w*"), re.compile(r"\s*"), re.compile(r"[\w\s-]*")
 _BETWEEN = re.compile(r"[^\s!-/:-@\[-`{-~]+")
 _SPAN = T.ArrayType(T.StructType([T.StructField("s", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
 
@@ -118,7 +120,9 @@ def sentences(text: Column | str) -> Column:
     """Sentences of a text with collapsed white space, split after . ! ? between a lower-case sign and a capital."""
     text = F.col(text) if isinstance(text, str) else text
     flat = F.regexp_replace(text, r"\s+", " ")
-    return F.filter(F.transform(F.split(flat, r"(?<=[^A-Z][.!?])\s*(?=[A-Z])"), lambda s: F.regexp_replace(s, r"^[\s+]+|[\s+]+$", "")), lambda s: s != "")
+    # fixed values: the boundary, and the signs taken off both ends (white space and plus signs)
+    boundary, ends = r"(?<=[^A-Z][.!?])\s*(?=[A-Z])", r"^[\s+]+|[\s+]+$"
+    return F.filter(F.transform(F.split(flat, boundary), lambda s: F.regexp_replace(s, ends, "")), lambda s: s != "")
 
 
 def chunks(text: Column | str, most: int) -> Column:
@@ -127,16 +131,48 @@ def chunks(text: Column | str, most: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(.{{1,{most - 1}}}(?:\s|$)|.{{1,{most}}})"), F.lit(1))
 
 
-def phrase_pattern(phrase: str, suffix: int = 1, buffer: int = 10) -> str:
-    """A regex for the words of a phrase in order: words of more than 5 letters may end differently, a few signs may lie between (S1, trap X34)."""
-    stems = [w[:-suffix] if len(w) > 5 and suffix > 0 else w for w in phrase.split()]
-    return (rf"\s+[\w\s-]{{0,{buffer - 1}}}").join(rf"\b{re.escape(s)}\w*" for s in stems) + r"\b"
+def phrase_matches(text: Column | str, phrase: str, suffix: int = 1, buffer: int = 10) -> Column:
+    """array<struct<s, a, b>>: where the words of a phrase follow each other in a text (S1, traps X31, X34).
 
+    Words are looked at one by one. Each phrase word of more than 5 letters loses its last ``suffix`` letters;
+    a text word fits when it begins with what is left. White space and fewer than ``buffer`` further characters,
+    letters, digits, white space and hyphens only, may lie between two. Case counts. Matches don't overlap; of
+    several continuations the longest gap is taken.
+    """
+    stems = [w[: len(w) - suffix] if suffix > 0 and len(w) > 5 else w for w in phrase.split()]
+
+    def one(t: str) -> list[tuple[str, int, int]]:
+        starts = [m.start() for m in _WORDS.finditer(t)]
+        out, free = [], 0
+
+        def follow(k: int, a: int) -> int | None:
+            """Where stems[k:] end if the first of them stands at ``a``."""
+            if not t.startswith(stems[k], a):
+                return None
+            end = _REST.match(t, a + len(stems[k])).end()
+            if k + 1 == len(stems):
+                return end
+            lead = _SPACE.match(t, end).end()
+            for nxt in reversed(starts[bisect_left(starts, lead) : bisect_left(starts, lead + buffer)] if lead > end else ()):
+                if _GAP.fullmatch(t, lead, nxt) and (last := follow(k + 1, nxt)) is not None:
+                    return last
+            return None
+
+        for a in starts if stems else ():
+            if a >= free and (end := follow(0, a)) is not None:
+                out.append((t[a:end], a, end))
+                free = end
+        return out
+
+    def find(texts: pa.Array) -> pa.Array:
+        found = [one(x.as_py() or "") for x in texts]
+        s, a, b = zip(*[m for ms in found for m in ms]) if any(found) else ((), (), ())
+        ends = [0]
+        for ms in found:
+            ends.append(ends[-1] + len(ms))
+        return _lists(texts, ends, pa.StructArray.from_arrays([pa.array(s, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["s", "a", "b"]))
 
-def phrase_matches(text: Column | str, phrase: str, suffix: int = 1, buffer: int = 10) -> Column:
-    """The matched strings of ``phrase_pattern`` in Unicode mode (S1, trap X31)."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(text, F.lit("(?U)(" + phrase_pattern(phrase, suffix, buffer) + ")"), F.lit(1))
+    return F.arrow_udf(find, _SPAN)(text)
 
 
 def overlapping(spans: Column, a: Column, b: Column) -> Column:
@@ -144,19 +180,34 @@ def overlapping(spans: Column, a: Column, b: Column) -> Column:
     return F.filter(spans, lambda t: (t["a"] < b) & (t["b"] > a) & (t["b"] > t["a"]))
 
 
-def context_window(text: Column | str, a: Column, b: Column, before: int = 5, after: int = 5) -> Column:
-    """The mention in « » between up to ``before`` and ``after`` words."""
-    text = F.col(text) if isinstance(text, str) else text
-    spans = word_spans(text)
-    left = F.filter(spans, lambda s: s["b"] <= a)
-    right = F.filter(spans, lambda s: s["a"] >= b)
-    inside = F.transform(overlapping(spans, a, b), lambda s: s["s"])
-    words = F.concat(
-        F.transform(F.slice(left, F.greatest(F.size(left) - before + 1, F.lit(1)), before), lambda s: s["s"]),
-        F.array(F.concat(F.lit("«"), F.array_join(inside, " "), F.lit("»"))),
-        F.transform(F.slice(right, 1, after), lambda s: s["s"]),
-    )
-    return F.when(text.isNotNull(), F.array_join(words, " ")).otherwise("")
+def contexts(text: Column | str, marks: Column | str, before: int = 5, after: int = 5) -> Column:
+    """array<string>: for each of ``marks`` (structs that begin with a and b) the mention in « » between up to ``before`` and ``after`` words.
+
+    The text is split into words once for all of its mentions. Empty strings where the text is null.
+    """
+
+    def around(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        out, ends = [], [0]
+        flat = marks.flatten()
+        starts, stops, at = flat.field(0).to_pylist(), flat.field(1).to_pylist(), 0
+        for t, n in zip(texts, marks.value_lengths().fill_null(0).to_pylist()):
+            body = t.as_py()
+            spans = [m.span() for m in _RUN.finditer(body or "")]
+            firsts, lasts = [x for x, _ in spans], [y for _, y in spans]
+            word = lambda k: body[firsts[k] : lasts[k]]  # noqa: E731, B023
+            for a, b in zip(starts[at : at + n], stops[at : at + n]):
+                if body is None or a is None or b is None:
+                    out.append("")
+                    continue
+                # words that end by a, words that begin from b on, and those that overlap [a, b) between them
+                left, right = bisect_right(lasts, a), bisect_left(firsts, b)
+                inside = " ".join(map(word, range(left, right)))
+                out.append(" ".join([*map(word, range(max(0, left - before), left)), f"«{inside}»", *map(word, range(right, min(len(spans), right + after)))]))
+            at += n
+            ends.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()))
+
+    return F.arrow_udf(around, "array<string>")(text, marks)
 
 
 def simplicity(label: Column, frequency: Column, least: float = 1e-8, multiword: float = 0.2, stopword: float = 0.3) -> Column:
@@ -164,6 +215,7 @@ def simplicity(label: Column, frequency: Column, least: float = 1e-8, multiword:
 
     ``frequency`` is a map from word to frequency.
     """
+    # fixed values: these words and the three numbers above decide results
     stops = ("is", "of", "the", "a", "an", "to", "for", "or", "in", "has")
     words = F.filter(F.split(F.lower(F.trim(label)), r"\s+"), lambda w: w != "")
     content = F.filter(words, lambda w: ~w.isin(*stops))

@@ -59,11 +59,21 @@ def unit_rows(vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "embed") -> DataFrame:
-    """Element-wise mean of ``vector`` per key, as partial sums per (key, position). Null keys are dropped."""
+def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "embed", dim: int | None = None) -> DataFrame:
+    """Element-wise mean of ``vector`` per key. Null keys are dropped.
+
+    With ``dim``, vectors of that length without nulls are added up whole, on the map side first, and others
+    are left out. Without it lengths may differ and elements be null: partial sums are kept per (key, position).
+    """
     rows = df
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
+    if dim is not None:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        whole = rows.where((F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull()))
+        return whole.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).alias(out))
     cells = rows.select(*keys, F.posexplode(vector).alias("pos", "val")).groupBy(*keys, "pos").agg(F.avg("val").alias("val"))
     packed = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("cells"))
     return packed.select(*keys, F.transform("cells", lambda c: c["val"]).alias(out))

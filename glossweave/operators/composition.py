@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.operators.skew import heavy_light_lookup
+
 NOISE = -1
 
 
@@ -22,7 +24,7 @@ def count_emergent(df: DataFrame) -> DataFrame:
 def with_entity_weights(df: DataFrame) -> DataFrame:
     """The frame with ``weight`` = 1 / sqrt(rows of its entity) (A9). The counts are aggregated first, so no window holds a hot entity."""
     counts = df.groupBy("entity").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("weight"))
-    return df.join(counts, "entity")
+    return heavy_light_lookup(df, counts, "entity", "inner")
 
 
 def entity_mass(df: DataFrame, weighted: bool = True, exclude_noise: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from glossweave.functions.vectors import mean_vectors
 from glossweave.schema import KEYS, provenance_in, require
+from glossweave.tables import numbered_rows
 
 
 def draw(row_id: str, seed: int) -> Column:
@@ -22,11 +23,11 @@ def first_non_null(column: str, order: str) -> Column:
     return F.min(F.when(F.col(column).isNotNull(), F.struct(F.col(order), F.col(column))))[column]
 
 
-def mean_by_keys(df: DataFrame, keys: list[str] | None = None, order: str = "row_id") -> DataFrame:
+def mean_by_keys(df: DataFrame, keys: list[str] | None = None, order: str = "row_id", dim: int | None = None) -> DataFrame:
     """One row per key: mean vector and first non-null provenance (A1). Rows with a null key are dropped."""
     keys = keys or KEYS
     require(df, [*keys, "embed", order])
-    means = mean_vectors(df, keys, "embed")
+    means = mean_vectors(df, keys, "embed", dim=dim)
     prov = provenance_in(df)
     if not prov:
         return means
@@ -36,7 +37,7 @@ def mean_by_keys(df: DataFrame, keys: list[str] | None = None, order: str = "row
     return means.join(kept.groupBy(*keys).agg(*[first_non_null(c, order).alias(c) for c in prov]), keys)
 
 
-def fuse(frames: list[DataFrame], order: str = "row_id") -> DataFrame:
+def fuse(frames: list[DataFrame], order: str = "row_id", dim: int | None = None) -> DataFrame:
     """Inner join of mean frames on the mention keys, vectors concatenated in source order.
 
     Concatenated vectors are single precision when there is more than one source (trap X7); provenance
@@ -44,7 +45,7 @@ def fuse(frames: list[DataFrame], order: str = "row_id") -> DataFrame:
     """
     if not frames:
         raise ValueError("no source")
-    means = [mean_by_keys(f, order=order) for f in frames]
+    means = [mean_by_keys(f, order=order, dim=dim) for f in frames]
     if len(means) == 1:
         return means[0]
     right = [m.select(*KEYS, F.col("embed").alias(f"__e{i}")) for i, m in enumerate(means[1:], 1)]
@@ -53,15 +54,15 @@ def fuse(frames: list[DataFrame], order: str = "row_id") -> DataFrame:
     return joined.withColumn("embed", vec).drop(*[f"__e{i}" for i in range(1, len(means))])
 
 
-def entity_means(df: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def entity_means(df: DataFrame, labels: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """Mean vector per entity, of the given labels only if there are any (A2, A3, A4, P5)."""
     rows = df if labels is None else df.join(labels.select("entity").distinct(), "entity", "left_semi")
-    return mean_vectors(rows, ["entity"], "embed")
+    return mean_vectors(rows, ["entity"], "embed", dim=dim)
 
 
-def fuse_entities(frames: list[DataFrame], labels: DataFrame | None = None) -> DataFrame:
+def fuse_entities(frames: list[DataFrame], labels: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """Entities of all sources with their concatenated means, in double precision."""
-    means = [entity_means(f, labels).withColumnRenamed("embed", f"__e{i}") for i, f in enumerate(frames)]
+    means = [entity_means(f, labels, dim).withColumnRenamed("embed", f"__e{i}") for i, f in enumerate(frames)]
     joined = reduce(lambda a, b: a.join(b, "entity"), means)
     return joined.select("entity", F.concat(*[f"__e{i}" for i in range(len(means))]).alias("embed"))
 
@@ -220,8 +221,11 @@ def selection_frame(
 
 def one_sample_per_combo(df: DataFrame) -> DataFrame:
     """Rows of the smallest sample_idx of each (model, layer)."""
-    least = F.min("sample_idx").over(Window.partitionBy("model", "layer"))
-    return df.withColumn("__m", least).where("sample_idx = __m").drop("__m")
+    least = df.groupBy("model", "layer").agg(F.min("sample_idx").alias("__m"))
+    same = lambda c: F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}"))
+    # one row per combination, and as large a share of the rows may belong to one: the optimiser broadcasts the small side
+    joined = df.alias("f").join(least.alias("l"), same("model") & same("layer") & (F.col("f.sample_idx") == F.col("__m")))
+    return joined.select("f.*")
 
 
 def merge_knowledge_bases(kb: DataFrame) -> DataFrame:
@@ -233,6 +237,6 @@ def merge_knowledge_bases(kb: DataFrame) -> DataFrame:
 
 def number_entities(df: DataFrame, start: int, prefix: str = "KB") -> DataFrame:
     """Identifiers for labels without one, numbered by label from ``start``."""
-    ranked = df.where("entity_id IS NULL").groupBy("label").agg(F.lit(1)).select("label")
-    numbered = ranked.withColumn("n", F.row_number().over(Window.orderBy("label")) + F.lit(start - 1))
+    ranked = df.where("entity_id IS NULL").select("label").distinct()
+    numbered = numbered_rows(ranked, ["label"], "n").withColumn("n", F.col("n") + F.lit(start))
     return numbered.select("label", F.format_string(f"{prefix}.%06d", F.col("n")).alias("entity_id"))

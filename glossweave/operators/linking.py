@@ -10,6 +10,7 @@ from glossweave.functions import text as tx
 
 #: Widths of the embedded windows (trap X22: four-word labels never match).
 WIDTHS = (1, 2, 3)
+_STRETCH = 50_000
 
 
 def text_chunks(docs: DataFrame, doc: str, text: str, most: int) -> DataFrame:
@@ -114,6 +115,13 @@ def public_view(df: DataFrame) -> DataFrame:
 
 
 def with_context(df: DataFrame, texts: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
-    """Mentions (doc, a, b) with the words around them; an empty string without a text."""
-    joined = df.join(texts.select("doc", F.col("text").alias("__text")), "doc", "left")
-    return joined.withColumn("context", tx.context_window(F.col("__text"), F.col("a"), F.col("b"), before, after)).drop("__text")
+    """Mentions (doc, a, b) with the words around them; an empty string without a text.
+
+    A text's mentions are gathered by stretches of ``_STRETCH`` characters, so each stretch splits its text once
+    however many mentions it has, and no row holds more mentions than a stretch has.
+    """
+    marks = F.struct("a", "b", *[c for c in df.columns if c not in ("doc", "a", "b")])
+    per = df.groupBy("doc", F.floor(F.coalesce("a", F.lit(0)) / _STRETCH).alias("__at")).agg(F.collect_list(marks).alias("__m"))
+    joined = per.join(texts.select("doc", F.col("text").alias("__text")), "doc", "left")
+    found = joined.withColumn("__c", tx.contexts("__text", F.transform("__m", lambda m: F.struct(m["a"].cast("int").alias("a"), m["b"].cast("int").alias("b"))), before, after))
+    return found.select("doc", F.explode(F.arrays_zip("__m", "__c")).alias("x")).select("doc", "x.__m.*", F.col("x.__c").alias("context")).select(*df.columns, "context")

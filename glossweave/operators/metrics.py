@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.functions.vectors import l2_normalise
-from glossweave.operators.skew import key_profile, order_bin, quantile_name
+from glossweave.operators.skew import heavy_light_lookup, key_profile, order_bin, quantile_name
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -48,7 +48,8 @@ def cosine_deviation(df: DataFrame, group: str, vector: str, row_id: str, dim: i
 
     kind = df.schema[group].dataType.simpleString()
     counts = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / _GROUP_ROWS).cast("int"))
-    rows = df.select(F.col(group).alias("g"), F.col(vector).alias("v"), F.xxhash64(row_id).alias("h")).join(counts, "g")
+    rows = df.select(F.col(group).alias("g"), F.col(vector).alias("v"), F.xxhash64(row_id).alias("h"))
+    rows = heavy_light_lookup(rows, counts, "g", "inner")
     rows = rows.select("g", "v", "parts", F.pmod("h", F.col("parts")).cast("int").alias("part"))
 
     def moments(key: tuple, t: pa.Table) -> pa.Table:
@@ -162,7 +163,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         g = both.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
         return sums_below(g, c, ["n"]).select(c, (F.col("below_n") + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
 
-    return both.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rho"))
+    n = both.count()
+    ranked = heavy_light_lookup(heavy_light_lookup(both, ranks(x), x, "inner", n), ranks(y), y, "inner", n)
+    return ranked.agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rho"))
 
 
 def ellipse(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.functions.vectors import dot, mean_vectors, norm, unit_rows
+from glossweave.operators.skew import heavy_light_lookup
 
 #: Tasks in which partial sums are added before the driver gets them.
 FAN_IN = 32
@@ -156,16 +157,16 @@ def near_duplicate_edges(near: DataFrame, rank: int = 20) -> DataFrame:
     return pairs.where(F.col("cosine") >= F.lit(kth[-1] if kth else 2.0))
 
 
-def centroid_cosines(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """The frame with the cosine of every row to its group's mean vector."""
-    means = mean_vectors(df, [key], vector, "__mean")
-    joined = df.join(means, key)
+def centroid_cosines(df: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
+    """The frame with the cosine of every row to its group's mean vector (M17). A hot group's mean is broadcast."""
+    means = mean_vectors(df, [key], vector, "__mean", dim)
+    joined = heavy_light_lookup(df, means, key, "inner")
     return joined.withColumn("to_centroid", F.try_divide(dot(vector, "__mean"), norm(vector) * norm("__mean"))).drop("__mean")
 
 
 def text_embeddings(chunks: DataFrame, texts: DataFrame, dim: int) -> DataFrame:
     """(doc, embed): mean of each text's chunk vectors, zeros for a text without any."""
-    means = mean_vectors(chunks, ["doc"], "embed")
+    means = mean_vectors(chunks, ["doc"], "embed", dim=dim)
     return texts.select("doc").join(means, "doc", "left").withColumn("embed", F.coalesce("embed", F.array_repeat(F.lit(0.0), dim)))
 
 
@@ -176,6 +177,22 @@ def span_vector(tokens: Column, a: Column, b: Column, dim: int) -> Column:
     return F.when(F.size(inside) > 0, F.transform(total, lambda x: x / F.size(inside)))
 
 
+def pooled_text_vector(layers: Column, dim: int, padded: Column | int) -> Column:
+    """One vector of a text from its tokens' layer vectors (M9).
+
+    ``layers`` is array<array<array<double>>>: token, layer, element. Layers are averaged, token vectors brought to
+    length one (a zero one stays), averaged over ``padded`` places (padding counts as zero vectors), and the
+    result is brought to length one. Null for no token.
+    """
+    zero, length = F.array_repeat(F.lit(0.0), dim), lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    plus = lambda s, v: F.zip_with(s, v, lambda x, y: x + y)
+    unit = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    means = F.transform(layers, lambda t: F.transform(F.aggregate(t, zero, plus), lambda x: x / F.size(t)))
+    units = F.transform(F.transform(means, lambda v: F.struct(v.alias("v"), length(v).alias("n"))), lambda s: unit(s["v"], s["n"]))
+    mean = F.transform(F.aggregate(units, zero, plus), lambda x: x / padded)
+    return F.when(F.size(layers) > 0, F.element_at(F.transform(F.array(F.struct(mean.alias("v"), length(mean).alias("n"))), lambda s: unit(s["v"], s["n"])), 1))
+
+
 class HashingEncoder:
     """A deterministic stand-in for a language model: words become sums of hashed character n-grams.
 

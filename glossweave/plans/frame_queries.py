@@ -42,13 +42,13 @@ QUERIES = {
     .agg(F.max_by("text", "link_id").alias("text")),
     "r30_labels_map": lambda s, d: op.labels_map(knowledge_base(s, d)),
     "r31_selected_labels": lambda s, d: table(s, d, "kb").select("label").where("label IS NOT NULL").distinct(),
-    "a1_mean_by_keys": lambda s, d: _long(op.mean_by_keys(usable_mentions(s, d)), KEYS),
-    "a1_first_provenance": lambda s, d: op.mean_by_keys(usable_mentions(s, d)).drop("embed"),
-    "a2_entity_means": lambda s, d: _long(op.entity_means(usable_mentions(s, d)), ["entity"]),
+    "a1_mean_by_keys": lambda s, d: _long(op.mean_by_keys(usable_mentions(s, d), dim=64), KEYS),
+    "a1_first_provenance": lambda s, d: op.mean_by_keys(usable_mentions(s, d), dim=64).drop("embed"),
+    "a2_entity_means": lambda s, d: _long(op.entity_means(usable_mentions(s, d), dim=64), ["entity"]),
     "a6_drop_rare": lambda s, d: op.drop_rare(quality(s, d), 20, NEG).select("row_id", "entity"),
-    "j1_fuse_sources": lambda s, d: _long(op.fuse(_sources(s, d)).withColumn("embed", F.transform("embed", lambda x: F.round(x.cast("double"), 4))), KEYS),
-    "j1_fused_provenance": lambda s, d: op.fuse(_sources(s, d)).drop("embed"),
-    "j3_fuse_entities": lambda s, d: _long(op.fuse_entities(_sources(s, d)), ["entity"]),
+    "j1_fuse_sources": lambda s, d: _long(op.fuse(_sources(s, d), dim=64).withColumn("embed", F.transform("embed", lambda x: F.round(x.cast("double"), 4))), KEYS),
+    "j1_fused_provenance": lambda s, d: op.fuse(_sources(s, d), dim=64).drop("embed"),
+    "j3_fuse_entities": lambda s, d: _long(op.fuse_entities(_sources(s, d), dim=64), ["entity"]),
     "j4_first_id_by_label": lambda s, d: op.first_id_by_label(knowledge_base(s, d)),
     "j5_keep_entities": lambda s, d: op.keep_entities(quality(s, d), _kb_keys(s, d)).select("row_id", "entity"),
     "j6_drop_entities": lambda s, d: op.drop_entities(quality(s, d), _kb_keys(s, d)).select("row_id", "entity"),

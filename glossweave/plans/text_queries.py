@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import text as tx
 from glossweave.operators import linking as lk
 from glossweave.plans.frames_sql import KB, NEG, M, Q, mentions, quality
-from glossweave.tables import table
+from glossweave.tables import numbered_rows, table
 
 _PHRASE = "depends on"
 
@@ -43,7 +43,7 @@ QUERIES = {
     "s2_sentences": lambda s, d: _docs(s, d).select("doc", F.posexplode(tx.sentences("text")).alias("n", "sentence")),
     "s3_chunks": lambda s, d: lk.text_chunks(_links(s, d), "doc", "text", 200),
     "s5_word_boundaries": lambda s, d: _docs(s, d).select("doc", F.inline(tx.word_boundaries("text"))).groupBy("doc").agg(_n("n"), F.sum(F.col("b") - F.col("a")).alias("chars")),
-    "s1_phrase_matches": lambda s, d: _docs(s, d).select("doc", F.explode(tx.phrase_matches("text", _PHRASE)).alias("found")),
+    "s1_phrase_matches": lambda s, d: _docs(s, d).select("doc", F.inline(tx.phrase_matches("text", _PHRASE)).alias("found", "a", "b")).groupBy("doc", "found").agg(_n("n")),
     "s12_combination_keys": lambda s, d: table(s, d, "grid_export").groupBy("model").agg(F.collect_set(F.concat_ws("/", "model", "layer")).alias("m")).select("model", tx.combination_key(F.col("m")).alias("key")),
     "s14_word_spans": lambda s, d: _docs(s, d).select("doc", F.inline(tx.word_spans("text"))).groupBy("doc").agg(_n("n"), F.max("b").cast("long").alias("last"), F.sum(F.col("b") - F.col("a")).alias("chars")),
     "s15_clean_phrases": lambda s, d: table(s, d, "kb_extension").select(F.trim("label").alias("phrase")).where("phrase <> ''").distinct(),
@@ -68,7 +68,7 @@ QUERIES = {
         lk.lemma_matches(lk.mention_windows(_docs(s, d), "doc", "text"), lk.lemma_index(_kb(s, d))).drop("label").join(F.broadcast(lk.cluster_entities(_assign(s, d))), F.pmod("a", F.lit(40)) == F.col("cluster")),
         lk.lemma_index(_kb(s, d)), _kb(s, d)).groupBy("is_kb_match").agg(_n("n")),
     "proj15_public_view": lambda s, d: lk.public_view(lk.gate(_pred(s, d), _assign(s, d), 0.3, F.lit(False))),
-    "r29_document_index": lambda s, d: table(s, d, "link").select("link_id", (F.row_number().over(_by_link()) - 1).cast("long").alias("itext")),
+    "r29_document_index": lambda s, d: numbered_rows(table(s, d, "link").select("link_id"), ["link_id"], "itext"),
     "r14_model_filenames": lambda s, d: table(s, d, "grid_export").select(F.concat(F.lit("res_"), "model", F.lit("_"), F.regexp_replace("layer", ",", ""), F.lit(".parquet")).alias("name")).distinct()
     .select("name", F.regexp_extract("name", r"^res_([^_]+)_(\d+)\.parquet", 1).alias("model"), F.regexp_extract("name", r"^res_([^_]+)_(\d+)\.parquet", 2).alias("layer")),
     "proj12_clean_kb": lambda s, d: table(s, d, "kb_extension").where(F.col("label").isNotNull() & ~F.col("label").contains(" low ") & ~F.coalesce(F.col("description"), F.lit("")).contains("inverse")).select("entity_id", "label"),
@@ -77,12 +77,6 @@ QUERIES = {
 }
 
 
-def _by_link():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("link_id")
-
-
 def _triples(s, d):
     """Properties with their labels and definitions from (subject, predicate, object) rows."""
     kb = table(s, d, "kb")
@@ -131,6 +125,7 @@ SQL = {
     "s21_corpus_mentions": f"""WITH {_DOCS}, {_TOK}, {_WIN}, {_INDEX}, ps AS (SELECT win.*, label FROM win JOIN ki USING (wg, lemma)), want AS (SELECT doc, round_even(1.0 * count(*), 0) AS k FROM ps GROUP BY 1),
        ng AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY (doc * 31 + a * 7919 + wg * 104729) % 10007, a, wg) AS r FROM win ANTI JOIN ps USING (doc, wg, a, b)), al AS (SELECT doc, label AS entity, a, b, wg FROM ps UNION ALL SELECT ng.doc, '{NEG}', a, b, wg FROM ng JOIN want USING (doc) WHERE r <= k)
        SELECT al.doc, entity, substring(text, (a + 1)::INT, (b - a)::INT) AS mention, a, b, wg FROM al JOIN docs USING (doc)""",
+    "s1_phrase_matches": rf"WITH {_DOCS}, f AS (SELECT doc, text, unnest(regexp_extract_all(text, '\bdepend[\p{{L}}\p{{N}}_]*\s+[\p{{L}}\p{{N}}_\s-]{{0,9}}\bon[\p{{L}}\p{{N}}_]*')) AS found FROM docs) SELECT doc, found, count(*) AS n FROM f GROUP BY ALL",
     "s12_combination_keys": "SELECT model, len(list(DISTINCT layer)) || ':' || array_to_string(list_sort(list(DISTINCT model || '/' || layer)), '+') AS key FROM grid_export GROUP BY model",
     "s15_clean_phrases": "SELECT DISTINCT trim(label) AS phrase FROM kb_extension WHERE trim(label) <> ''",
     "s18_simplicity": rf"""WITH {_DOCS}, n AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM docs) GROUP BY 1), f AS (SELECT word, n / (SELECT sum(n) FROM n) AS f FROM n),

@@ -25,7 +25,7 @@ def _means(s, d):
     from glossweave.functions.keys import entity_key
 
     kb = table(s, d, "kb").select(entity_key("entity_id").alias("entity"))
-    return entity_means(_named(s, d), kb).select(F.regexp_extract("entity", r"(\d+)", 1).try_cast("long").alias("id"), "embed")
+    return entity_means(_named(s, d), kb, 64).select(F.regexp_extract("entity", r"(\d+)", 1).try_cast("long").alias("id"), "embed")
 
 
 def _base(s, d):
@@ -65,14 +65,12 @@ def _diverse(s, d):
 
 QUERIES = {
     "m1_l2_normalised": lambda s, d: usable_mentions(s, d).select("row_id", F.posexplode(vf.l2_normalise("embed")).alias("pos", "val")).select("row_id", F.col("pos").cast("long").alias("pos"), _r("val", 9)),
-    "m12_cosine_to_mean": lambda s, d: vx.centroid_cosines(_named(s, d), "entity", "embed").select("row_id", _r("to_centroid")),
+    "m12_cosine_to_mean": lambda s, d: vx.centroid_cosines(_named(s, d), "entity", "embed", 64).select("row_id", _r("to_centroid")),
     "m14_nearest_mentions": lambda s, d: vx.nearest_exact(_means(s, d), _base(s, d), 5, 64).select(F.col("query").alias("entity_no"), F.col("other").alias("row_id"), F.col("rank").cast("long").alias("rank"), _r("cosine")),
     "m15_near_duplicate_edges": lambda s, d: vx.near_duplicate_edges(vx.nearest_exact(_means(s, d), _means(s, d), 20, 64)).select("a", "b", _r("cosine")),
     "m16_nearest_gap": lambda s, d: vx.nearest_exact(_means(s, d), _means(s, d), 1, 64).select(F.col("query").alias("entity_no"), (1 - F.col("cosine")).alias("gap")).select("entity_no", _r("gap")),
-    "m17_centroid_cosine_by_entity": lambda s, d: vx.centroid_cosines(_named(s, d), "entity", "embed").groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.avg("to_centroid").alias("mean_cosine")).select("entity", "n", _r("mean_cosine")),
-    "a30_text_embeddings": lambda s, d: vx.text_embeddings(usable_mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc"), "embed"), s.range(400).select(F.col("id").alias("doc")), 64)
-    .select("doc", F.posexplode("embed").alias("pos", "val")).select("doc", F.col("pos").cast("long").alias("pos"), _r("val", 9)),
-    "a30_all_text_embeddings": lambda s, d: vx.text_embeddings(usable_mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc"), "embed"), mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc")).distinct(), 64)
+    "m17_centroid_cosine_by_entity": lambda s, d: vx.centroid_cosines(_named(s, d), "entity", "embed", 64).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.avg("to_centroid").alias("mean_cosine")).select("entity", "n", _r("mean_cosine")),
+    "a30_text_embeddings": lambda s, d: vx.text_embeddings(usable_mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc"), "embed"), mentions(s, d).where("itext IS NOT NULL").select(F.col("itext").alias("doc")).distinct(), 64)
     .select("doc", F.posexplode("embed").alias("pos", "val")).select("doc", F.col("pos").cast("long").alias("pos"), _r("val", 9)),
     "m2_pca_metrics": lambda s, d: vx.PcaModel.fit(_base(s, d), "embed", 64, 24).transform(_base(s, d), "embed").select("id", *[_r(c) for c in ("pca_residual", "pca_mahalanobis", "pca_spectral_entropy")]),
     "m7_wide_coordinates": lambda s, d: vx.wide_coordinates(vx.reduce_dimensions(_base(s, d), "embed", 64, 4), "u", "u", 4).drop("embed"),
@@ -126,6 +124,5 @@ SQL = {
     "m14_nearest_mentions": f"WITH {_KBM}, x AS (SELECT km.id AS entity_no, n.row_id, list_inner_product(km.v, n.v) AS cosine FROM km CROSS JOIN n WHERE km.id <> n.row_id) SELECT entity_no, row_id, rank, {_rs('cosine')} FROM (SELECT *, row_number() OVER (PARTITION BY entity_no ORDER BY round(cosine, 9) DESC, row_id) AS rank FROM x) WHERE rank <= 5",
     "m15_near_duplicate_edges": f"WITH {_PAIRS}, q AS (SELECT a, b, round(cosine, 9) AS cosine FROM pp WHERE a < b) SELECT a, b, {_rs('cosine')} FROM q WHERE q.cosine >= (SELECT min(cosine) FROM (SELECT cosine FROM q ORDER BY cosine DESC LIMIT 20))",
     "m16_nearest_gap": f"WITH {_PAIRS} SELECT a AS entity_no, round(1 - max(cosine) + 3e-11, 6) + 0.0 AS gap FROM pp GROUP BY 1",
-    "a30_text_embeddings": f"WITH {U}, {_CELLS}, t AS (SELECT unnest(range(400)) AS doc), m2 AS (SELECT itext, pos, avg(val) AS val FROM c WHERE itext IS NOT NULL GROUP BY ALL), g AS (SELECT doc, unnest(range(64)) AS pos FROM t) SELECT doc, g.pos, round(coalesce(val, 0) + 3e-11, 9) + 0.0 AS val FROM g LEFT JOIN m2 ON m2.itext = g.doc AND m2.pos = g.pos",
-    "a30_all_text_embeddings": f"WITH {U}, {_CELLS}, t AS (SELECT DISTINCT itext AS doc FROM m WHERE itext IS NOT NULL), m2 AS (SELECT itext, pos, avg(val) AS val FROM c WHERE itext IS NOT NULL GROUP BY ALL), g AS (SELECT doc, unnest(range(64)) AS pos FROM t) SELECT doc, g.pos, round(coalesce(val, 0) + 3e-11, 9) + 0.0 AS val FROM g LEFT JOIN m2 ON m2.itext = g.doc AND m2.pos = g.pos",
+    "a30_text_embeddings": f"WITH {U}, {_CELLS}, t AS (SELECT DISTINCT itext AS doc FROM m WHERE itext IS NOT NULL), m2 AS (SELECT itext, pos, avg(val) AS val FROM c WHERE itext IS NOT NULL GROUP BY ALL), g AS (SELECT doc, unnest(range(64)) AS pos FROM t) SELECT doc, g.pos, round(coalesce(val, 0) + 3e-11, 9) + 0.0 AS val FROM g LEFT JOIN m2 ON m2.itext = g.doc AND m2.pos = g.pos",
 }

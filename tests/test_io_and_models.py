@@ -216,6 +216,6 @@ def test_vectors_of_all_texts(spark):
     import __spark_entry__ as e
 
     d = "/root/testdata/sf0.01"
-    got = {r["doc"] for r in e.queries()["a30_all_text_embeddings"](spark, d).select("doc").distinct().collect()}
+    got = {r["doc"] for r in e.queries()["a30_text_embeddings"](spark, d).select("doc").distinct().collect()}
     want = {r["itext"] for r in spark.read.parquet(f"{d}/mention_frame.parquet").where("itext IS NOT NULL").select("itext").distinct().collect()}
     assert got == want and max(got) >= 400

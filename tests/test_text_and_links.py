@@ -46,14 +46,14 @@ def test_chunks_match_the_rule(spark):
 
 
 def test_phrases(spark):
-    assert one(spark, "it depending well on x; depends on y; depends rather strongly on z", tx.phrase_matches("t", "depends on")) == ["depending well on", "depends on"]
+    assert one(spark, "it depending well on x; depends on y; depends rather strongly on z", F.transform(tx.phrase_matches("t", "depends on"), lambda m: m["s"])) == ["depending well on", "depends on"]
     assert len(one(spark, "regulates the binding", tx.phrase_matches("t", "regulate binding"))) == 1
 
 
 def test_context(spark):
     text = "one two three four five six seven"
-    assert one(spark, text, tx.context_window("t", F.lit(14), F.lit(18), 2, 1)) == "two three «four» five"
-    assert one(spark, None, tx.context_window("t", F.lit(1), F.lit(2))) == ""
+    assert one(spark, text, tx.contexts("t", F.array(F.struct(F.lit(14).alias("a"), F.lit(18).alias("b"))), 2, 1)) == ["two three «four» five"]
+    assert one(spark, None, tx.contexts("t", F.array(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b"))))) == [""]
 
 
 def test_scalars(spark):
