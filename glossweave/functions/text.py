@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -131,6 +132,36 @@ def chunks(text: Column | str, most: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(.{{1,{most - 1}}}(?:\s|$)|.{{1,{most}}})"), F.lit(1))
 
 
+def budget_pieces(text: Column | str, most: int, tokenizer: Callable[[str], list[tuple[int, int]]] | None = None) -> Column:
+    """array<string>: a text in pieces of at most ``most`` tokens that together are the text.
+
+    ``tokenizer`` gives the (start, end) of every token; words and signs without one. A piece goes as far as the
+    budget allows, then back to the last blank in it, if there is one behind its first character. Empty for an
+    empty text, null for null.
+    """
+    if most < 1:
+        raise ValueError("a piece needs at least one token")
+    spans_of = tokenizer or (lambda t: [m.span() for m in _TOKEN.finditer(t)])
+
+    def cut(texts: pa.Array) -> pa.Array:
+        out, ends = [], [0]
+        for x in texts:
+            t = x.as_py() or ""
+            starts = [a for a, _ in spans_of(t)]
+            at = 0
+            while at < len(t):
+                k = bisect_left(starts, at)  # tokens that begin in this piece; one that a blank never divides is whole
+                end = starts[k + most] if k + most < len(starts) else len(t)
+                if end < len(t) and (blank := t.rfind(" ", at + 1, end)) > at:
+                    end = blank
+                out.append(t[at:end])
+                at = end
+            ends.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()), mask=texts.is_null())
+
+    return F.arrow_udf(cut, "array<string>")(text)
+
+
 def phrase_matches(text: Column | str, phrase: str, suffix: int = 1, buffer: int = 10) -> Column:
     """array<struct<s, a, b>>: where the words of a phrase follow each other in a text (S1, traps X31, X34).
 
