@@ -303,3 +303,57 @@ def cluster_sample(df: DataFrame, row_id: str, coords: str, least: int) -> DataF
 
     rows = df.where(F.col(coords).isNotNull()).select(F.col(row_id).alias("id"), F.col(coords).alias("x")).limit(MAX_CLUSTER_ROWS + 1)
     return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, f"{row_id} {id_type}, cluster int, probability double")
+
+
+def nearest_fitted(df: DataFrame, fitted: DataFrame, row_id: str, coords: str) -> DataFrame:
+    """(row_id, cluster, is_fitted) for every row with coordinates: the label of the nearest fitted row.
+
+    ``fitted`` (row_id, coords, cluster) is the bounded frame that was clustered; its rows keep their labels, and
+    noise is the label of what is nearest to noise. It is sent to the tasks, and refused beyond
+    ``MAX_CLUSTER_ROWS`` rows.
+    """
+    rows = fitted.select(row_id, coords, "cluster").limit(MAX_CLUSTER_ROWS + 1).collect()
+    if len(rows) > MAX_CLUSTER_ROWS:
+        raise ValueError(f"more than {MAX_CLUSTER_ROWS} fitted rows")
+    rows.sort(key=lambda r: r[0])
+    x, labels = np.array([r[1] for r in rows], dtype=np.float64), np.array([r[2] for r in rows], dtype=np.int32)
+    ids = np.array([r[0] for r in rows], dtype=np.int64)
+
+    def nearest(v: pa.Array, key: pa.Array) -> pa.Array:
+        y = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+        out = np.full(len(y), -1, np.int32)
+        known = np.isin(key.to_numpy(zero_copy_only=False), ids)
+        for i in range(0, len(y) if len(x) else 0, 1024):
+            d = (x * x).sum(axis=1)[None, :] - 2 * y[i : i + 1024] @ x.T
+            out[i : i + 1024] = labels[d.argmin(axis=1)]
+        if known.any():
+            out[known] = labels[np.searchsorted(ids, key.to_numpy(zero_copy_only=False)[known])]
+        return pa.StructArray.from_arrays([pa.array(out), pa.array(known)], ["cluster", "is_fitted"])
+
+    placed = df.where(F.col(coords).isNotNull()).select(row_id, F.arrow_udf(nearest, "struct<cluster:int,is_fitted:boolean>")(coords, F.col(row_id).cast("long")).alias("__n"))
+    return placed.select(row_id, "__n.cluster", "__n.is_fitted")
+
+
+def whole_size_grid(df: DataFrame, sample: DataFrame, row_id: str, coords: str, entity: str, sizes: list[int], dim: int) -> DataFrame:
+    """(min_cluster_size, icm, n_clusters, dbcv, ari) of all rows.
+
+    For every size the bounded ``sample`` is clustered and all rows of ``df`` get the label of the nearest sampled
+    row; agreement with the entities, the number of clusters and the mean deviation of pairwise cosines are over
+    all rows, the validity is that of the fit.
+    """
+    from glossweave.operators.metrics import adjusted_rand, cosine_deviation
+    from glossweave.tables import materialise
+
+    fit = {r["min_cluster_size"]: r["dbcv"] for r in size_grid(sample, row_id, coords, entity, sizes).collect()}
+    out = None
+    for size in sorted(fit):
+        labels = cluster_sample(sample, row_id, coords, size).join(sample.select(row_id, coords), row_id)
+        rows = nearest_fitted(df, labels, row_id, coords).where("cluster >= 0").join(df.select(row_id, coords, entity), row_id)
+        rows = materialise(rows, "labelled")
+        icm = cosine_deviation(rows, "cluster", coords, row_id, dim).agg(F.avg("std").alias("icm"))
+        n = rows.agg(F.count_distinct("cluster").cast("int").alias("n_clusters"))
+        one = icm.crossJoin(n).crossJoin(adjusted_rand(rows, entity, "cluster"))  # one row each
+        one = one.select(F.lit(size).alias("min_cluster_size"), "icm", "n_clusters", F.lit(fit[size]).alias("dbcv"), "ari")
+        out = one if out is None else out.unionByName(one)
+    schema = "min_cluster_size int, icm double, n_clusters int, dbcv double, ari double"
+    return df.sparkSession.createDataFrame([], schema) if out is None else out

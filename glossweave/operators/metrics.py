@@ -58,12 +58,12 @@ def cosine_deviation(df: DataFrame, group: str, vector: str, row_id: str, dim: i
         m = u.T @ u if len(u) >= dim or not single else u @ u.T
         s1, s2 = (float((u.sum(axis=0) ** 2).sum()), float((m * m).sum())) if single else (None, None)
         blob = None if single else np.concatenate([u.sum(axis=0), m.ravel()]).tobytes()
-        return pa.table({"g": [key[0].as_py()], "n": pa.array([len(u)], pa.int64()), "s1": pa.array([s1], pa.float64()), "s2": pa.array([s2], pa.float64()), "blob": pa.array([blob], pa.binary())})
+        return pa.table({"g": pa.array([key[0].as_py()], key[0].type), "n": pa.array([len(u)], pa.int64()), "s1": pa.array([s1], pa.float64()), "s2": pa.array([s2], pa.float64()), "blob": pa.array([blob], pa.binary())})
 
     def added(key: tuple, t: pa.Table) -> pa.Table:
         n = sum(t.column("n").to_pylist())
         x = sum(np.frombuffer(v.as_py(), dtype=np.float64) for v in t.column("blob"))
-        return pa.table({"g": [key[0].as_py()], "n": pa.array([n], pa.int64()), "s1": [float((x[:dim] ** 2).sum())], "s2": [float((x[dim:] ** 2).sum())]})
+        return pa.table({"g": pa.array([key[0].as_py()], key[0].type), "n": pa.array([n], pa.int64()), "s1": [float((x[:dim] ** 2).sum())], "s2": [float((x[dim:] ** 2).sum())]})
 
     parts = rows.groupBy("g", "part").applyInArrow(moments, f"g {kind}, n long, s1 double, s2 double, blob binary")
     whole = parts.where("blob IS NULL").select("g", "n", "s1", "s2").unionByName(

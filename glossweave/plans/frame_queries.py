@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.operators import frames as op
 from glossweave.plans.frames_sql import KB, NEG, M, Q, U, draw_sql, grid, knowledge_base, mentions, quality, usable_mentions
 from glossweave.schema import KEYS
+from glossweave.sources.readers import texts_of
 from glossweave.tables import table
 
 _KEYS = ", ".join(KEYS)
@@ -35,11 +36,7 @@ def _first_sql(c):
 
 QUERIES = {
     "r3_column_pruned_scan": lambda s, d: table(s, d, "mention_frame").where("itext >= 100").select("mention_id", "mention"),
-    "r12_semi_join_texts": lambda s, d: table(s, d, "link")
-    .where("pmid IS NOT NULL")
-    .join(table(s, d, "documents").where("lang = 'de'").select("pmid").distinct(), "pmid", "left_semi")
-    .groupBy("pmid")
-    .agg(F.max_by("text", "link_id").alias("text")),
+    "r12_semi_join_texts": lambda s, d: texts_of(table(s, d, "link").where("pmid IS NOT NULL AND text IS NOT NULL"), table(s, d, "documents").where("lang = 'de'").select("pmid"), "link_id"),
     "r30_labels_map": lambda s, d: op.labels_map(knowledge_base(s, d)),
     "r31_selected_labels": lambda s, d: table(s, d, "kb").select("label").where("label IS NOT NULL").distinct(),
     "a1_mean_by_keys": lambda s, d: _long(op.mean_by_keys(usable_mentions(s, d), dim=64), KEYS),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glossweave.functions.keys import entity_key
 from glossweave.functions.text import lemma_key, tokens
+from glossweave.functions.vectors import l2_normalise
 from glossweave.operators.frames import keep_last
 from glossweave.operators.grid import PK, aggregate_grid
 from glossweave.operators.vectors import HashingEncoder
@@ -61,8 +62,8 @@ def _linker(s, d, encoder=None):
 
 def _selected(s, d):
     u = usable_mentions(s, d).where("entity IS NOT NULL")
-    frames = {("whole", "1"): u, ("half", "1"): u.where("row_id % 2 = 0")}
-    return pl.select_model(frames, pl.LinkerConfig(sample_rows=800), 2)
+    frames = {("recorded", "1"): u, ("unit", "1"): u.withColumn("embed", l2_normalise("embed"))}
+    return pl.select_model(frames, pl.LinkerConfig(), 2)
 
 
 QUERIES = {

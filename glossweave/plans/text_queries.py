@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.functions import text as tx
+from glossweave.functions.keys import entity_key
+from glossweave.operators import composition as comp
 from glossweave.operators import linking as lk
 from glossweave.plans.frames_sql import KB, NEG, M, Q, mentions, quality
 from glossweave.tables import numbered_rows, table
@@ -33,7 +35,9 @@ def _pred(s, d):
 
 
 def _assign(s, d):
-    return _kb(s, d).select(F.col("entity_id").alias("ord"), "entity_id", F.pmod(F.length("label") * 7 + F.ascii(F.substring("entity_id", 8, 1)), F.lit(40)).cast("int").alias("cluster"))
+    """Each identifier's most frequent recorded cluster."""
+    labels = _kb(s, d).select("entity_id", entity_key("entity_id").alias("entity"))
+    return comp.provisional_assignments(labels, quality(s, d).where("entity IS NOT NULL AND cluster IS NOT NULL")).withColumn("ord", F.col("entity_id"))
 
 
 _n = lambda c: F.count(F.lit(1)).alias(c)
@@ -63,9 +67,9 @@ QUERIES = {
     "j12_cluster_entities": lambda s, d: lk.cluster_entities(_assign(s, d)).select(F.col("cluster").cast("long").alias("cluster"), "entity_id"),
     "proj13_prediction_gate": lambda s, d: lk.gate(_pred(s, d), _assign(s, d), 0.3, F.col("score") < 0.1).select("row_id", "entity_id", "score"),
     "proj9_score_filter": lambda s, d: _pred(s, d).where(F.coalesce("score", F.lit(0.0)) >= 0.5).select("row_id", "score"),
-    "j13_override_labels": lambda s, d: lk.override_labels(_pred(s, d).select("row_id", "cluster"), _pred(s, d).where("row_id % 3 = 0").select("row_id", (F.col("cluster") + 100).alias("cluster")), "row_id").select("row_id", F.col("cluster").cast("long").alias("cluster")),
+    "j13_override_labels": lambda s, d: lk.override_labels(_pred(s, d).select("row_id", "cluster"), _fitted(s, d), "row_id").select("row_id", F.col("cluster").cast("long").alias("cluster")),
     "j11_kb_validation": lambda s, d: lk.validate(
-        lk.lemma_matches(lk.mention_windows(_docs(s, d), "doc", "text"), lk.lemma_index(_kb(s, d))).drop("label").join(F.broadcast(lk.cluster_entities(_assign(s, d))), F.pmod("a", F.lit(40)) == F.col("cluster")),
+        _recorded(s, d),
         lk.lemma_index(_kb(s, d)), _kb(s, d)).groupBy("is_kb_match").agg(_n("n")),
     "proj15_public_view": lambda s, d: lk.public_view(lk.gate(_pred(s, d), _assign(s, d), 0.3, F.lit(False))),
     "r29_document_index": lambda s, d: numbered_rows(table(s, d, "link").select("link_id"), ["link_id"], "itext"),
@@ -77,6 +81,19 @@ QUERIES = {
 }
 
 
+def _fitted(s, d):
+    """The cluster that the last known row of each mention says, as the labels of a fit."""
+    q = quality(s, d).where("cluster >= 0 AND oov_label = 0").groupBy("mention_id").agg(F.max(F.struct("row_id", "cluster")).alias("q"))
+    return q.select(F.col("mention_id").alias("row_id"), "q.cluster")
+
+
+def _recorded(s, d):
+    """Recorded mentions with their lemma and the entity of their cluster."""
+    lemma = tx.lemma_key(tx.tokens("mention"))
+    m = _pred(s, d).select("row_id", "mention", "cluster", lemma.alias("lemma"), tx.word_grouping("mention").alias("wg"))
+    return m.join(F.broadcast(lk.cluster_entities(_assign(s, d))), "cluster")  # as many rows as clusters
+
+
 def _triples(s, d):
     """Properties with their labels and definitions from (subject, predicate, object) rows."""
     kb = table(s, d, "kb")
@@ -115,7 +132,9 @@ _INDEX = r"""kt AS (SELECT label, len(regexp_split_to_array(trim(label), '\s+'))
  ki AS (SELECT wg, lemma, min(label) AS label FROM kt WHERE wg <= 3 AND lemma <> '' GROUP BY ALL)"""
 _PRED = Q + ", " + M + """, f AS (SELECT mention_id AS row_id, arg_min(cluster, row_id) AS cluster, arg_min(coalesce(pca_residual, 'nan'::DOUBLE), row_id) AS res FROM q WHERE cluster IS NOT NULL GROUP BY ALL),
  pr AS (SELECT m.* EXCLUDE (embed), cluster, CASE WHEN isnan(res) THEN 0.0::DOUBLE ELSE round(1 - res, 4) END AS score FROM m JOIN f USING (row_id))"""
-_AS = "asg AS (SELECT entity_id, (length(label) * 7 + ascii(substring(entity_id, 8, 1))) % 40 AS cluster FROM kb), ce AS (SELECT cluster, min(entity_id) AS entity_id FROM asg GROUP BY 1)"
+_AS = r"""vt AS (SELECT lower(regexp_replace(entity, '[^\p{L}\p{N}]+', '', 'g')) AS entity, cluster, count(*) AS n FROM mention_quality_frame WHERE cluster >= 0 AND entity IS NOT NULL GROUP BY ALL),
+ md AS (SELECT entity, cluster FROM vt QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, cluster) = 1),
+ asg AS (SELECT entity_id, cluster FROM kb JOIN md ON md.entity = lower(regexp_replace(entity_id, '[^\p{L}\p{N}]+', '', 'g'))), ce AS (SELECT cluster, min(entity_id) AS entity_id FROM asg GROUP BY 1)"""
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(28) || chr(29) || chr(30) || chr(31)"
 SQL = {
     "s7_word_groupings": r"SELECT entity_id, CASE WHEN trim(label) <> '' AND len(regexp_split_to_array(trim(label), '\s+')) BETWEEN 1 AND 4 THEN len(regexp_split_to_array(trim(label), '\s+')) END AS wg FROM kb",
@@ -145,8 +164,10 @@ SQL = {
     "j12_cluster_entities": f"WITH {_AS} SELECT cluster::BIGINT AS cluster, entity_id FROM ce",
     "proj13_prediction_gate": f"WITH {_PRED}, {_AS} SELECT row_id, entity_id, score FROM pr JOIN ce USING (cluster) WHERE NOT score < 0.1 AND cluster <> -1 AND score >= 0.3",
     "proj9_score_filter": f"WITH {_PRED} SELECT row_id, score FROM pr WHERE score >= 0.5",
-    "j13_override_labels": f"WITH {_PRED} SELECT row_id, (CASE WHEN row_id % 3 = 0 THEN cluster + 100 ELSE cluster END)::BIGINT AS cluster FROM pr",
-    "j11_kb_validation": f"WITH {_DOCS}, {_TOK}, {_WIN}, {_INDEX}, {_AS} SELECT coalesce(ki.label = kb.label, false) AS is_kb_match, count(*) AS n FROM win JOIN ki USING (wg, lemma) JOIN ce ON ce.cluster = a % 40 LEFT JOIN kb USING (entity_id) GROUP BY 1",
+    "j13_override_labels": f"WITH {_PRED}, ft AS (SELECT mention_id AS row_id, arg_max(cluster, row_id) AS fit FROM q WHERE cluster >= 0 AND oov_label = 0 GROUP BY 1) SELECT row_id, coalesce(fit, cluster)::BIGINT AS cluster FROM pr LEFT JOIN ft USING (row_id)",
+    "j11_kb_validation": f"""WITH {_PRED}, {_INDEX}, {_AS}, ml AS (SELECT row_id, cluster, CASE WHEN trim(mention) <> '' AND len(regexp_split_to_array(trim(mention), '\\s+')) BETWEEN 1 AND 4 THEN len(regexp_split_to_array(trim(mention), '\\s+')) END AS wg,
+       array_to_string([{_LEM} for w in regexp_extract_all(mention, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')], ' ') AS lemma FROM pr)
+       SELECT coalesce(ki.label = kb.label, false) AS is_kb_match, count(*) AS n FROM ml JOIN ce USING (cluster) LEFT JOIN ki USING (wg, lemma) LEFT JOIN kb USING (entity_id) GROUP BY 1""",
     "proj15_public_view": f"WITH {_PRED}, {_AS} SELECT itext, mention, coalesce(a_abs, a) AS a, coalesce(b_abs, b) AS b, entity_id, score FROM pr JOIN ce USING (cluster) WHERE cluster <> -1 AND score >= 0.3",
     "r29_document_index": "SELECT link_id, row_number() OVER (ORDER BY link_id) - 1 AS itext FROM link",
     "r14_model_filenames": r"SELECT name, regexp_extract(name, '^res_([^_]+)_(\d+)\.parquet', 1) AS model, regexp_extract(name, '^res_([^_]+)_(\d+)\.parquet', 2) AS layer FROM (SELECT DISTINCT 'res_' || model || '_' || replace(layer, ',', '') || '.parquet' AS name FROM grid_export)",

@@ -13,6 +13,8 @@ from glossweave.plans.pipeline import to_heads
 from glossweave.plans.text_queries import _simplicity
 from glossweave.tables import materialise, table
 
+#: Rows that density clustering is fitted on; all others get the label of the nearest of them.
+FITTED = 1500
 _r = lambda c, n=6: (F.round(F.col(c) + 3e-11, n) + 0.0).alias(c)
 
 
@@ -46,9 +48,21 @@ def _generality(s, d):
     return vx.generality(near, _simplicity(s, d).join(kb.select("id", "entity_id"), "entity_id").select("id", "simplicity"))
 
 
-def _sampled(s, d):
-    """A bounded sample of named mentions in reduced coordinates."""
-    return vx.reduce_dimensions(top_by_draw(_named(s, d), 1500, 11), "embed", 64, 8)
+def _reduced(s, d):
+    """All named mentions in reduced coordinates, and the bounded sample of them that density clustering is fitted on."""
+    rows = materialise(vx.reduce_dimensions(_named(s, d), "embed", 64, 8).select("row_id", "entity", "u"), "reduced")
+    return rows, materialise(top_by_draw(rows, FITTED, 11), "sample")
+
+
+def _density(s, d):
+    """The cluster of every named mention, and whether it was among the fitted ones."""
+    rows, sample = _reduced(s, d)
+    fitted = ln.cluster_sample(sample, "row_id", "u", 15).join(sample.select("row_id", "u"), "row_id")
+    return ln.nearest_fitted(rows, fitted, "row_id", "u")
+
+
+def _sizes(s, d):
+    return ln.whole_size_grid(*_reduced(s, d), "row_id", "u", "entity", [15, 25, 40], 8)
 
 
 def _diverse(s, d):
@@ -82,8 +96,9 @@ QUERIES = {
     "e8_rbf_scores": lambda s, d: ln.fit_svm(_labelled(s, d), "embed", "y", 64, rbf=128, gamma=1.0).score(_labelled(s, d), "embed").select("row_id", "y", _r("score")),
     "e9_screener_report": lambda s, d: ln.screener_report(ln.cross_validated_scores(_labelled(s, d), "embed", "y", 64, 3), "y"),
     "e14_projection_model": lambda s, d: _projection(s, d),
-    "e2_size_grid": lambda s, d: ln.size_grid(_sampled(s, d), "row_id", "u", "entity", [15, 25, 40]),
-    "e3_density_clusters": lambda s, d: ln.cluster_sample(_sampled(s, d), "row_id", "u", 15),
+    "e2_size_grid": _sizes,
+    "e3_density_clusters": _density,
+    "e3_labelled_rows": lambda s, d: _density(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), (F.max("cluster") >= 1).alias("several"), F.count_if("is_fitted").alias("n_fitted")),
     "e5_approximate_predict": lambda s, d: _approximate(s, d),
 }
 
@@ -118,6 +133,7 @@ _KBM = _V + ", " + _MEANS + r""", kk AS (SELECT DISTINCT lower(regexp_replace(en
   l AS (SELECT entity, list(val ORDER BY pos) AS e FROM em WHERE entity IN (FROM kk) GROUP BY 1), km AS (SELECT regexp_extract(entity, '(\d+)', 1)::BIGINT AS id, [x / sqrt(list_sum([y * y for y in e])) for x in e] AS v FROM l)"""
 _PAIRS = _KBM + ", pp AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS cosine FROM km a JOIN km b ON a.id <> b.id)"
 SQL = {
+    "e3_labelled_rows": f"WITH {U} SELECT count(*) AS n_rows, count(*) AS n_ids, true AS several, least(1500, count(*)) AS n_fitted FROM u WHERE entity IS NOT NULL",
     "m1_l2_normalised": f"WITH {_V} SELECT row_id, unnest(range(64)) AS pos, unnest([round(x + 3e-11, 9) + 0.0 for x in v]) AS val FROM n",
     "m12_cosine_to_mean": f"WITH {_CENT} SELECT row_id, {_rs('to_centroid')} FROM tc",
     "m17_centroid_cosine_by_entity": f"WITH {_CENT} SELECT entity, count(*) AS n, round(avg(to_centroid) + 3e-11, 6) + 0.0 AS mean_cosine FROM tc GROUP BY 1",

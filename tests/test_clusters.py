@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glossweave.operators import composition as comp
 from glossweave.operators import grid as gr
+from glossweave.operators import learning as ln
 from glossweave.operators import metrics as mx
 
 
@@ -138,3 +140,20 @@ def test_operating_points_match_brute_force(spark):
         said = [y for y, r, m in rows if 1.5 * r + b - m > 0]
         assert got[p]["precision"] == pytest.approx(sum(said) / len(said) if said else 0.0)
         assert got[p]["recall"] == pytest.approx(sum(said) / 20)
+
+
+def test_labels_of_all_rows_from_a_fitted_sample(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(60, 3)) * 0.1 + c for c in ((0, 0, 0), (5, 5, 5))])
+    rows = [(i, v.tolist(), f"e{i // 60}") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, u array<double>, entity string")
+    sample = df.where("row_id % 2 = 0")
+    fitted = ln.cluster_sample(sample, "row_id", "u", 5).join(sample.select("row_id", "u"), "row_id")
+    got = {r["row_id"]: r for r in ln.nearest_fitted(df, fitted, "row_id", "u").collect()}
+    assert len(got) == 120 and all(r["is_fitted"] == (i % 2 == 0) for i, r in got.items())
+    assert len({got[i]["cluster"] for i in range(60)}) == 1 and {got[0]["cluster"], got[60]["cluster"]} == {0, 1}
+    grid = ln.whole_size_grid(df, sample, "row_id", "u", "entity", [5, 500], 3).collect()
+    assert [(r["min_cluster_size"], r["n_clusters"], round(r["ari"], 6)) for r in grid] == [(5, 2, 1.0)]
+    assert ln.nearest_fitted(df.limit(0), fitted, "row_id", "u").count() == 0
+    nothing = ln.nearest_fitted(df, fitted.limit(0), "row_id", "u").collect()
+    assert {r["cluster"] for r in nothing} == {-1} and not any(r["is_fitted"] for r in nothing)
