@@ -63,7 +63,7 @@ QUERIES = {
     .join(mentions(s, d).where("itext IS NOT NULL AND a_abs IS NOT NULL").select("itext", F.col("row_id").alias("other"), F.col("a_abs").alias("c"), F.col("b_abs").alias("e")).alias("y"), "itext")
     .where("row_id < other AND a_abs < e AND b_abs > c AND e > c AND b_abs > a_abs").select("itext", "row_id", "other"),
     "w10_overlap_islands": lambda s, d: lk.overlap_islands(_pred(s, d), "itext", "score", "row_id").select("row_id", "itext", "mention"),
-    "w20_context_windows": lambda s, d: lk.with_context(lk.lemma_matches(lk.mention_windows(_docs(s, d), "doc", "text"), lk.lemma_index(_kb(s, d))), _docs(s, d)).select("doc", "a", "b", "context"),
+    "w20_context_windows": lambda s, d: lk.with_context(lk.lemma_matches(lk.mention_windows(_docs(s, d), "doc", "text"), lk.lemma_index(_kb(s, d))), _docs(s, d)).select("doc", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "context"),
     "j12_cluster_entities": lambda s, d: lk.cluster_entities(_assign(s, d)).select(F.col("cluster").cast("long").alias("cluster"), "entity_id"),
     "proj13_prediction_gate": lambda s, d: lk.gate(_pred(s, d), _assign(s, d), 0.3, F.col("score") < 0.1).select("row_id", "entity_id", "score"),
     "proj9_score_filter": lambda s, d: _pred(s, d).where(F.coalesce("score", F.lit(0.0)) >= 0.5).select("row_id", "score"),
@@ -135,6 +135,17 @@ _PRED = Q + ", " + M + """, f AS (SELECT mention_id AS row_id, arg_min(cluster,
 _AS = r"""vt AS (SELECT lower(regexp_replace(entity, '[^\p{L}\p{N}]+', '', 'g')) AS entity, cluster, count(*) AS n FROM mention_quality_frame WHERE cluster >= 0 AND entity IS NOT NULL GROUP BY ALL),
  md AS (SELECT entity, cluster FROM vt QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, cluster) = 1),
  asg AS (SELECT entity_id, cluster FROM kb JOIN md ON md.entity = lower(regexp_replace(entity_id, '[^\p{L}\p{N}]+', '', 'g'))), ce AS (SELECT cluster, min(entity_id) AS entity_id FROM asg GROUP BY 1)"""
+_SP = r"[ \t\n\x{0b}\f\r]"
+_DOT = r"[^\n\r\x{85}\x{2028}\x{2029}]"
+
+
+def _chunk_sql(most: int) -> str:
+    """``chunks`` of every link text with the characters before each."""
+    found = rf"regexp_extract_all(text, '{_DOT}{{1,{most - 1}}}(?:{_SP}|\z)|{_DOT}{{1,{most}}}')"
+    return f"""ck AS (SELECT link_id AS doc, unnest(range(len({found}))) AS ichunk, unnest({found}) AS chunk FROM link WHERE text IS NOT NULL),
+      c AS (SELECT *, sum(length(chunk)) OVER (PARTITION BY doc ORDER BY ichunk) - length(chunk) AS start FROM ck)"""
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(28) || chr(29) || chr(30) || chr(31)"
 SQL = {
     "s7_word_groupings": r"SELECT entity_id, CASE WHEN trim(label) <> '' AND len(regexp_split_to_array(trim(label), '\s+')) BETWEEN 1 AND 4 THEN len(regexp_split_to_array(trim(label), '\s+')) END AS wg FROM kb",
@@ -145,6 +156,18 @@ SQL = {
        ng AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY (doc * 31 + a * 7919 + wg * 104729) % 10007, a, wg) AS r FROM win ANTI JOIN ps USING (doc, wg, a, b)), al AS (SELECT doc, label AS entity, a, b, wg FROM ps UNION ALL SELECT ng.doc, '{NEG}', a, b, wg FROM ng JOIN want USING (doc) WHERE r <= k)
        SELECT al.doc, entity, substring(text, (a + 1)::INT, (b - a)::INT) AS mention, a, b, wg FROM al JOIN docs USING (doc)""",
     "s1_phrase_matches": rf"WITH {_DOCS}, f AS (SELECT doc, text, unnest(regexp_extract_all(text, '\bdepend[\p{{L}}\p{{N}}_]*\s+[\p{{L}}\p{{N}}_\s-]{{0,9}}\bon[\p{{L}}\p{{N}}_]*')) AS found FROM docs) SELECT doc, found, count(*) AS n FROM f GROUP BY ALL",
+    "s2_sentences": rf"""WITH {_DOCS}, f AS (SELECT doc, regexp_replace(text, '{_SP}+', ' ', 'g') AS t FROM docs),
+       g AS (SELECT doc, [regexp_replace(regexp_replace(x, '^[ +]+', ''), '[ +]+$', '') for x in string_split(regexp_replace(t, '([^A-Z][.!?]) ?([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))] AS x FROM f),
+       h AS (SELECT doc, [y for y in x if y <> ''] AS x FROM g) SELECT doc, unnest(range(len(x))) AS n, unnest(x) AS sentence FROM h""",
+    "s3_chunks": f"WITH {_chunk_sql(200)} SELECT doc, ichunk, chunk, start::BIGINT AS start FROM c",
+    "w13_chunk_offsets": f"WITH {_chunk_sql(500)} SELECT doc, count(*) AS n, max(start + length(chunk))::BIGINT AS \"end\" FROM c GROUP BY doc",
+    "w20_context_windows": rf"""WITH {_DOCS}, {_TOK}, {_WIN}, {_INDEX}, mt AS (SELECT win.doc, a, b FROM win JOIN ki USING (wg, lemma)),
+       pc AS (SELECT doc, unnest(regexp_extract_all(text, '[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+|[^\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+')) AS s, generate_subscripts(regexp_extract_all(text, '[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+|[^\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+'), 1) AS i FROM docs),
+       ws AS (SELECT doc, s, (sum(length(s)) OVER (PARTITION BY doc ORDER BY i) - length(s))::BIGINT AS x, (sum(length(s)) OVER (PARTITION BY doc ORDER BY i))::BIGINT AS y FROM pc),
+       w AS (SELECT * FROM ws WHERE NOT regexp_matches(s, '^[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]')),
+       j AS (SELECT mt.doc, a, b, (list(s ORDER BY x) FILTER (y <= a))[-5:] AS l, list(s ORDER BY x) FILTER (x < b AND y > a) AS m, (list(s ORDER BY x) FILTER (x >= b))[:5] AS r
+         FROM (SELECT *, row_number() OVER () AS k FROM mt) mt JOIN w USING (doc) GROUP BY mt.k, mt.doc, a, b)
+       SELECT doc, a, b, array_to_string(list_concat(list_concat(coalesce(l, []), ['«' || array_to_string(m, ' ') || '»']), coalesce(r, [])), ' ') AS context FROM j""",
     "s12_combination_keys": "SELECT model, len(list(DISTINCT layer)) || ':' || array_to_string(list_sort(list(DISTINCT model || '/' || layer)), '+') AS key FROM grid_export GROUP BY model",
     "s15_clean_phrases": "SELECT DISTINCT trim(label) AS phrase FROM kb_extension WHERE trim(label) <> ''",
     "s18_simplicity": rf"""WITH {_DOCS}, n AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM docs) GROUP BY 1), f AS (SELECT word, n / (SELECT sum(n) FROM n) AS f FROM n),
