@@ -55,14 +55,23 @@ def p3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.crossJoin(torn("article")).crossJoin(torn("ekey"))  # one row each
 
 
+def p3_tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group of several articles its number of articles and of forest edges: one less in every tree."""
+    groups, forest = tie_groups(_rows(spark, sf_dir))
+    groups = materialise(groups, "groups")
+    edges = forest.edges.join(groups.select(F.col("article").alias("a"), "group_article"), "a").groupBy("group_article").agg(F.count(F.lit(1)).alias("n_edges"))
+    return groups.groupBy("group_article").agg(F.count(F.lit(1)).alias("n_articles")).join(edges, "group_article").select(F.col("group_article").alias("group_pmid"), "n_articles", "n_edges")
+
+
 _TIES = r"""ties AS (SELECT DISTINCT ekey, article FROM (SELECT nullif(lower(regexp_replace(entity, '[^\p{L}\p{N}]+', '', 'g')), '') AS ekey,
    TRY_CAST(nullif(regexp_extract(pmid, '(?i)^\s*(?:PMID)?[\s:]*0*(\d{1,18})(?:\.0*)?\s*$', 1), '') AS BIGINT) AS article FROM mention_quality_frame)
    WHERE ekey <> 'negative' AND article IS NOT NULL),
  e AS (SELECT ekey, min(article) OVER (PARTITION BY ekey) AS a, article AS b FROM ties), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
-QUERIES = {"p3_found": p3_found, "p3_forest": p3_forest, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p3_whole": p3_whole}
+QUERIES = {"p3_found": p3_found, "p3_forest": p3_forest, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p3_whole": p3_whole, "p3_tree_sizes": p3_tree_sizes}
+_GROUPS = f"""WITH RECURSIVE {_TIES}, cc(node, label) USING KEY (node) AS (SELECT DISTINCT article, article FROM ties
+        UNION SELECT w.b, min(cc.label) FROM cc JOIN both_ways w ON w.a = cc.node JOIN recurring.cc AS r ON r.node = w.b WHERE cc.label < r.label GROUP BY w.b)"""
 SQL = {
-    "p3_found": f"""WITH RECURSIVE {_TIES}, cc(node, label) USING KEY (node) AS (SELECT DISTINCT article, article FROM ties
-        UNION SELECT w.b, min(cc.label) FROM cc JOIN both_ways w ON w.a = cc.node JOIN recurring.cc AS r ON r.node = w.b WHERE cc.label < r.label GROUP BY w.b)
-      SELECT label AS group_pmid, node AS pmid FROM cc WHERE label <> node""",
+    "p3_found": f"{_GROUPS} SELECT label AS group_pmid, node AS pmid FROM cc WHERE label <> node",
+    "p3_tree_sizes": f"{_GROUPS} SELECT label AS group_pmid, count(*) AS n_articles, count(*) - 1 AS n_edges FROM cc GROUP BY label HAVING count(*) > 1",
     "p3_whole": "SELECT count(*) AS n_rows, true AS train_in_share, true AS validation_in_share, true AS test_in_share, 0::BIGINT AS torn_articles, 0::BIGINT AS torn_ekeys FROM mention_quality_frame",
 }
