@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.functions import text as tx
+from glossweave.tables import spread
 
 #: Widths of the embedded windows (trap X22: four-word labels never match).
 WIDTHS = (1, 2, 3)
@@ -22,7 +23,7 @@ def text_chunks(docs: DataFrame, doc: str, text: str, most: int) -> DataFrame:
 
 def mention_windows(docs: DataFrame, doc: str, text: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(doc, wg, a, b, mention, lemma): token windows of every text that may be a mention."""
-    toks = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), tx.tokens(text).alias("toks"))
+    toks = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), "doc").select("doc", "text", tx.tokens("text").alias("toks"))
 
     def of_width(w: int) -> Column:
         kept = F.filter(tx.windows(F.col("toks"), w), tx.keeps)

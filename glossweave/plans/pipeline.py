@@ -95,8 +95,9 @@ class Linker:
         return to_heads(scored, heads, self.config.dim)
 
     def predict(self, mentions: DataFrame) -> DataFrame:
-        """Linked mentions: gates, overlap resolution, then the threshold (Q11, Q16, traps X24, X25)."""
-        gated = lk.gate(self.score(mentions), self.assignments, 0.0, F.col("projection_score") > 0)
+        """Linked mentions without their vectors: gates, overlap resolution, then the threshold (Q11, Q16, traps X24, X25)."""
+        # nothing after the scores needs a vector, so none goes through the shuffle of the overlaps
+        gated = lk.gate(self.score(mentions).drop("embed"), self.assignments, 0.0, F.col("projection_score") > 0)
         best = lk.overlap_islands(gated, "itext", "score", "row_id")
         return best.where(F.col("score") >= self.config.threshold)
 
@@ -137,13 +138,19 @@ def to_heads(df: DataFrame, heads: DataFrame, dim: int) -> DataFrame:
 
 
 def link_texts(linker: Linker, docs: DataFrame, encoder: HashingEncoder) -> DataFrame:
-    """Entities in texts (itext, text): windows, encoding, prediction, public columns."""
+    """Entities in texts (itext, text): windows, encoding, prediction, public columns.
+
+    A window's vector is that of its lemmas, so each distinct lemma is encoded and scored once, and only windows
+    of lemmas that pass the gates meet their text again. Every window of every text is looked at.
+    """
     win = lk.mention_windows(docs, "itext", "text")
-    rows = win.select(
-        F.xxhash64("doc", "wg", "a", "b").alias("row_id"), F.col("doc").alias("itext"), "mention", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"),
-        F.col("a").cast("long").alias("a_abs"), F.col("b").cast("long").alias("b_abs"), encoder.column("lemma").alias("embed"),
-    )
-    return lk.public_view(linker.predict(rows))
+    lemmas = win.select("lemma").distinct().withColumn("embed", encoder.column("lemma"))
+    scored = linker.score(lemmas).select("lemma", "projection_score", "cluster", "score")
+    passed = lk.gate(scored, linker.assignments, 0.0, F.col("projection_score") > 0).select("lemma", "cluster", "entity_id", "score")
+    place = {c: F.col(x).cast("long") for c, x in (("a", "a"), ("b", "b"), ("a_abs", "a"), ("b_abs", "b"))}
+    rows = win.join(passed, "lemma").select(F.xxhash64("doc", "wg", "a", "b").alias("row_id"), F.col("doc").alias("itext"), "mention", *[v.alias(c) for c, v in place.items()], "entity_id", "score")
+    best = lk.overlap_islands(rows, "itext", "score", "row_id")
+    return lk.public_view(best.where(F.col("score") >= linker.config.threshold))
 
 
 def fingerprint(config: dict) -> str:
