@@ -178,6 +178,8 @@ def pair_leak(
     item's words, and of its rare words, are there in order.
     """
     need, least_rare, least_own = least_share * len(item), _RARE_SHARE * least_share * rare.sum(), _RARE_SHARE * least_share * own.sum()
+    if in_order(item, text) < need:  # no window holds more in order than the whole text does
+        return None
     step = (2 * len(item) + reach) // 2  # two steps are as wide as a pair of passages may be
     slot = at // step
     windows = []
@@ -189,8 +191,7 @@ def pair_leak(
             continue
         lo = max(0, int(s) * step - 8)
         window = text[lo : (int(s) + 2) * step + 8]
-        shared = window[np.isin(window, item)]
-        if len(shared) >= need and in_order(item, shared) >= need and in_order(item[rare], shared) >= least_rare:
+        if in_order(item, window) >= need and in_order(item[rare], window) >= least_rare:
             windows.append((-int(covered.sum()), lo, window))
     best = (0, 0, 0)
     windows.sort(key=lambda w: w[:2])

@@ -60,7 +60,6 @@ _NAMES = [
     ("initial last", re.compile(rf"(?<![\w\-@.])(?=({_INI}[ \t]{{0,3}}(?:{_INI}[ \t]{{0,3}}){{0,2}}{_SUR})(?![\w@]))")),
     ("last, first", re.compile(rf"(?<![\w\-@.])(?=({_SUR},{_SP}(?:{_FIRST}(?:{_SP}{_INI})?|{_INI}))(?![\w@]))")),
 ]
-_CAPITAL_BEFORE = re.compile(rf"(?<!\w)[{_UP}][\w'’\-]*{_SP}\Z")
 _CUE_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 
 #: Frequent given names of several languages, without accents, in lower case.
@@ -91,6 +90,15 @@ def _context(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
     return (left + pad)[:3], (right + ["$"] * 3)[:3]
 
 
+def _follows_capital(text: str, a: int) -> bool:
+    """Whether only blanks part ``a`` from a word that begins with a capital."""
+    end = len(text[max(0, a - 5) : a].rstrip(" \t\u00a0")) + max(0, a - 5)
+    start = end
+    while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "'’-_"):
+        start -= 1
+    return start < end < a and text[start].isupper()
+
+
 def _shape(s: str) -> str:
     s = re.sub(r"\s+", " ", s)
     return re.sub(r"[a-zß-ÿ]", "x", re.sub(r"[A-ZÀ-Þ]", "X", re.sub(r"\d", "9", s)))
@@ -112,7 +120,7 @@ def _features(text: str, a: int, b: int, kind: str, form: str) -> list[str]:
         # an initial says nothing of the list
         known, upper = None if form == "initial last" else lead in FIRST_NAMES, all(w.isupper() for w in ws)
         f += [f"name|known={known}", f"name|{form} known={known}", f"name|upper={upper} known={known}", f"name|words={len(ws)}"]
-        if _CAPITAL_BEFORE.search(text, max(0, a - 30), a):
+        if _follows_capital(text, a):
             f.append(f"name|{form} after a capital word")
         if span[0].islower():
             f.append(f"name|{form} from {span.split()[0]}")
