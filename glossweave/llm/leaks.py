@@ -12,7 +12,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import product
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -169,41 +169,103 @@ def in_order(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def pair_leak(
-    item: np.ndarray, rare: np.ndarray, own: np.ndarray, text: np.ndarray, pos: np.ndarray, at: np.ndarray, mask: np.ndarray, least_share: float, reach: int
-) -> tuple[int, int, int] | None:
-    """(matched words, first word, end word) if ``text`` holds at least ``least_share`` of ``item``, else None.
+_STRICT, _SCATTERED = (_MISMATCH, _GAP), (_LENIENT, _LENIENT)
+_MARK = 1e-6
 
-    ``pos``, ``at`` and ``mask`` are the shared seeds. Windows around them are aligned where enough of the
-    item's words, and of its rare words, are there in order.
+
+def best_passages(items: list[np.ndarray], texts: list[np.ndarray], mismatch: float, gap: float) -> np.ndarray:
+    """Words matched by the best local alignment of each item with its text, many pairs at a time.
+
+    Scores are multiples of a tenth; each match adds a mark too small to change their order, and the marks of the
+    best score are the matches (the most there are among equal scores).
     """
-    need, least_rare, least_own = least_share * len(item), _RARE_SHARE * least_share * rare.sum(), _RARE_SHARE * least_share * own.sum()
-    if in_order(item, text) < need:  # no window holds more in order than the whole text does
-        return None
-    step = (2 * len(item) + reach) // 2  # two steps are as wide as a pair of passages may be
-    slot = at // step
-    windows = []
-    for s in np.unique(np.concatenate([slot, slot - 1])):
-        inside = (slot == s) | (slot == s + 1)
-        covered = np.zeros(len(item), bool)
-        covered[(pos[inside, None] + _OFFSET_TABLE[mask[inside]]).ravel()] = True
-        if (covered & rare).sum() < _SEEDED * least_rare:
-            continue
-        lo = max(0, int(s) * step - 8)
-        window = text[lo : (int(s) + 2) * step + 8]
-        if in_order(item, window) >= need and in_order(item[rare], window) >= least_rare:
-            windows.append((-int(covered.sum()), lo, window))
-    best = (0, 0, 0)
-    windows.sort(key=lambda w: w[:2])
-    # every window at strict costs; where that finds too few words, again at costs that scattered changes bear, if
-    # words of no other item are there too: sentences of one pattern with other names and numbers are no leak
-    for (mismatch, gap, least), (_, lo, window) in product(((_MISMATCH, _GAP, 0), (_LENIENT, _LENIENT, least_own)), windows):
-        m, j0, j1 = overlap(item, window, reach, need, mismatch, gap)
-        if len(m) > best[0] and rare[m].sum() >= least_rare and own[m].sum() >= least:
-            best = (len(m), lo + j0, lo + j1)
-        if best[0] >= need:
-            return best
-    return None
+    out = np.zeros(len(items), np.int64)
+    order = np.argsort([len(x) for x in items], kind="stable")
+    for at in range(0, len(order), 64):
+        some = order[at : at + 64]
+        n, m = max(len(items[k]) for k in some), max(len(texts[k]) for k in some)
+        x, y = np.zeros((len(some), n), np.uint64), np.ones((len(some), m), np.uint64)
+        real = np.zeros((len(some), n), bool)
+        for r, k in enumerate(some):
+            x[r, : len(items[k])], y[r, : len(texts[k])], real[r, : len(items[k])] = items[k], texts[k], True
+        there = np.arange(m)[None, :] < np.array([len(texts[k]) for k in some])[:, None]
+        ramp = np.arange(m + 1) * -gap
+        row, best = np.tile(ramp, (len(some), 1)), np.zeros(len(some))
+        for i in range(n):
+            same = (y == x[:, i : i + 1]) & there & real[:, i : i + 1]
+            new = np.empty_like(row)
+            new[:, 0] = 0
+            np.add(row[:, :-1], np.where(same, _MATCH + _MARK - gap, mismatch - gap), out=new[:, 1:])
+            np.maximum(new[:, 1:], row[:, 1:] + gap, out=new[:, 1:])
+            np.maximum(new, ramp, out=new)
+            np.maximum.accumulate(new, axis=1, out=new)
+            row = new
+            np.maximum(best, (row - ramp).max(axis=1), out=best)
+        out[some] = np.rint((best - np.rint(best * 10) / 10) / _MARK).astype(np.int64)
+    return out
+
+
+@dataclass
+class Candidate:
+    """An item, a text that may hold it, and their shared seeds."""
+
+    item: np.ndarray
+    rare: np.ndarray
+    own: np.ndarray
+    text: np.ndarray
+    pos: np.ndarray
+    at: np.ndarray
+    mask: np.ndarray
+
+    def windows(self, least_share: float, reach: int) -> list[tuple[int, np.ndarray]]:
+        """(first word, words) of the places where enough of the item, and of its rare words, is there in order; most seeded first."""
+        item, need, least_rare = self.item, least_share * len(self.item), _RARE_SHARE * least_share * self.rare.sum()
+        if in_order(item, self.text) < need:  # no window holds more in order than the whole text does
+            return []
+        step = (2 * len(item) + reach) // 2  # two steps are as wide as a pair of passages may be
+        slot, out = self.at // step, []
+        for s in np.unique(np.concatenate([slot, slot - 1])):
+            inside = (slot == s) | (slot == s + 1)
+            covered = np.zeros(len(item), bool)
+            covered[(self.pos[inside, None] + _OFFSET_TABLE[self.mask[inside]]).ravel()] = True
+            if (covered & self.rare).sum() < _SEEDED * least_rare:
+                continue
+            lo = max(0, int(s) * step - 8)
+            window = self.text[lo : (int(s) + 2) * step + 8]
+            if in_order(item, window) >= need and in_order(item[self.rare], window) >= least_rare:
+                out.append((-int(covered.sum()), lo, window))
+        return [(lo, w) for _, lo, w in sorted(out, key=lambda x: x[:2])]
+
+
+def leaks(candidates: list[Candidate], least_share: float, reach: int) -> list[tuple[int, int, int] | None]:
+    """(matched words, first word, end word) of every candidate whose text holds at least ``least_share`` of its item, else None.
+
+    All windows are aligned at strict costs; where that finds too few words, again at costs that scattered changes
+    bear, if words of no other item are there too: sentences of one pattern with other names and numbers are no
+    leak. Windows whose best passage has less than half of the words needed are told from ``best_passages``, in
+    batches; only the others are followed word by word.
+    """
+    out: list[tuple[int, int, int] | None] = [None] * len(candidates)
+    todo = [(k, lo, w) for k, c in enumerate(candidates) for lo, w in c.windows(least_share, reach)]
+    need = [least_share * len(c.item) for c in candidates]
+    for costs in (_STRICT, _SCATTERED):
+        todo = [t for t in todo if out[t[0]] is None]
+        if costs is _SCATTERED:
+            todo = [t for t in todo if in_order(candidates[t[0]].item[candidates[t[0]].own], t[2]) >= _least_own(candidates[t[0]], least_share)]
+        passage = best_passages([candidates[k].item for k, _, _ in todo], [w for _, _, w in todo], *costs)
+        for (k, lo, window), found in zip(todo, passage):
+            c = candidates[k]
+            if out[k] is not None or 2 * found < need[k]:
+                continue
+            m, j0, j1 = overlap(c.item, window, reach, need[k], *costs)
+            enough = len(m) >= need[k] and c.rare[m].sum() >= _RARE_SHARE * least_share * c.rare.sum()
+            if enough and (costs is _STRICT or c.own[m].sum() >= _least_own(c, least_share)):
+                out[k] = (len(m), lo + j0, lo + j1)
+    return out
+
+
+def _least_own(c: Candidate, least_share: float) -> float:
+    return _RARE_SHARE * least_share * c.own.sum()
 
 
 def _sieve(df: DataFrame, column: str, n: int) -> np.ndarray:
@@ -373,20 +435,18 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, held_out: DataFrame, i
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for b in batches:
-            out, ids, docs_ = [], [], []
-            item, doc, text_, lists = b.column(0), b.column(1), b.column(2), [b.column(k) for k in range(3, 8)]
-            last, y = None, np.zeros(0, np.uint64)
+            some, last, y = [], None, np.zeros(0, np.uint64)
+            text_, lists = b.column(2), [b.column(k) for k in range(3, 8)]
             for k in range(b.num_rows):
                 x, used, pos, at, mask = (c[k].values.to_numpy() for c in lists)
-                x, n = x.view(np.uint64), b.column(8)[k].as_py()
                 if last is None or text_[k] != text_[last]:
                     last, y = k, word_codes(text_[k].as_py(), cache)
-                if found := pair_leak(x, rare_words(used, n), used == 1, y, pos, at, mask, least_share, reach):
-                    ids.append(item[k].as_py())
-                    docs_.append(doc[k].as_py())
-                    out.append((found[0], len(x), *found[1:]))
-            cols = [pa.array(z, pa.int64()) for z in zip(*out)] if out else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(ids, item.type), pa.array(docs_, doc.type), *cols], ["item", "doc", "matched_words", "n_words", "first_word", "end_word"])
+                some.append(Candidate(x.view(np.uint64), rare_words(used, b.column(8)[k].as_py()), used == 1, y, pos, at, mask))
+            found = leaks(some, least_share, reach)
+            on = pa.array([k for k, f in enumerate(found) if f], pa.int64())
+            rows = [(f[0], len(c.item), *f[1:]) for c, f in zip(some, found) if f]
+            cols = [pa.array(z, pa.int64()) for z in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(on), b.column(1).take(on), *cols], ["item", "doc", "matched_words", "n_words", "first_word", "end_word"])
 
     ready = full.select("item", "doc", "text", "words", "used", "pos", "at", "mask", "n_items")
     return ready.mapInArrow(verify, schema).withColumnsRenamed({"item": item_id, "doc": doc_id})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glossweave.llm import permutation as pm
 from glossweave.llm.chunks import Tree, cut_kind, pack_spans, split_texts
-from glossweave.llm.leaks import align, find_leaks, in_order, pair_leak, rare_words, seeds, word_codes, words
+from glossweave.llm.leaks import Candidate, align, best_passages, find_leaks, in_order, leaks, rare_words, seeds, word_codes, words
 from glossweave.llm.packing import pack_texts, plan_packing, token_count
 from glossweave.llm.pii import candidates, decode, find_spans, gradient, mask, mask_pii, pii_spans, trained
 from glossweave.llm.pii_training import sentences
@@ -217,7 +217,7 @@ def leaked(item, doc, share=0.5):
     if not met:
         return []
     pos, at, mask = map(np.array, zip(*met))
-    return [0] if pair_leak(x, rare_words(used, 3), used == 1, y, pos, at, mask, share, 80) else []
+    return [0] if leaks([Candidate(x, rare_words(used, 3), used == 1, y, pos, at, mask)], share, 80)[0] else []
 
 
 ITEM = " ".join(f"word{i}" for i in range(40))
@@ -254,6 +254,20 @@ def test_leaks_with_many_scattered_changes():
         assert leaked(item, f"{noise} {' '.join(x if i in on else 'zzz' for i, x in enumerate(w))} {noise}") == []
 
 
+def test_best_passages_are_those_of_the_alignment():
+    r = random.Random(4)
+    pairs = []
+    for _ in range(150):
+        x = [r.randrange(1, 30) for _ in range(r.randrange(1, 25))]
+        y = [w if r.random() < 0.7 else r.randrange(1, 30) for w in x if r.random() < 0.9] + [r.randrange(1, 30) for _ in range(r.randrange(30))]
+        pairs.append((np.array(x, np.uint64), np.array(y, np.uint64)))
+    for costs in ((-1.5, -1.2), (-0.4, -0.4)):
+        got = best_passages([x for x, _ in pairs], [y for _, y in pairs], *costs)
+        for (x, y), n in zip(pairs, got):
+            assert n >= len(align(x, y, *costs)[1]) and n <= in_order(x, y)
+    assert best_passages([], [], -1, -1).tolist() == []
+
+
 def test_words_in_order():
     r = random.Random(3)
     for _ in range(50):
