@@ -220,7 +220,11 @@ class Candidate:
     def windows(self, least_share: float, reach: int) -> list[tuple[int, np.ndarray]]:
         """(first word, words) of the places where enough of the item, and of its rare words, is there in order; most seeded first."""
         item, need, least_rare = self.item, least_share * len(self.item), _RARE_SHARE * least_share * self.rare.sum()
-        if in_order(item, self.text) < need:  # no window holds more in order than the whole text does
+        names = np.sort(item)
+        met = np.nonzero(names[np.minimum(np.searchsorted(names, self.text), len(names) - 1)] == self.text)[0]
+        shared = self.text[met]
+        # no window holds more of the item's words, or more of them in order, than the whole text does
+        if len(shared) < need or in_order(item, shared) < need:
             return []
         step = (2 * len(item) + reach) // 2  # two steps are as wide as a pair of passages may be
         slot, out = self.at // step, []
@@ -231,9 +235,9 @@ class Candidate:
             if (covered & self.rare).sum() < _SEEDED * least_rare:
                 continue
             lo = max(0, int(s) * step - 8)
-            window = self.text[lo : (int(s) + 2) * step + 8]
-            if in_order(item, window) >= need and in_order(item[self.rare], window) >= least_rare:
-                out.append((-int(covered.sum()), lo, window))
+            here = shared[slice(*np.searchsorted(met, (lo, (int(s) + 2) * step + 8)))]
+            if len(here) >= need and in_order(item, here) >= need and in_order(item[self.rare], here) >= least_rare:
+                out.append((-int(covered.sum()), lo, self.text[lo : (int(s) + 2) * step + 8]))
         return [(lo, w) for _, lo, w in sorted(out, key=lambda x: x[:2])]
 
 
