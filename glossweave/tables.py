@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -71,6 +71,13 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, label: str = "t", condition: str = "true") -> tuple[DataFrame, int]:
+    """``materialise`` and the number of rows for which ``condition`` holds, counted while they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def numbered_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """The frame with ``name``, each row's place in ``order`` from 0.
 
