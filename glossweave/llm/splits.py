@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.operators.skew import heavy_light_lookup
-from glossweave.tables import drop_materialised, materialise
+from glossweave.tables import drop_materialised, materialise, materialise_counted
 
 #: Size bands in each power of two.
 BANDS = 4
@@ -47,42 +47,40 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64, keep: str | None = N
     to ``keep`` for later use if that is given. The rounds' maps are composed from the last to the first,
     so the full node set is joined only once.
     """
-    work = materialise(
+    work, n_edges = materialise_counted(
         edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct().withColumns({"oa": F.col("lo"), "ob": F.col("hi")}),
         "edges",
     )
     picked, maps = [], []
     for _ in range(max_rounds):
-        n_edges = work.count()
         if not n_edges:
             break
         edge = F.struct(F.xxhash64("lo", "hi").alias("w"), "lo", "hi", "oa", "ob")
         ends = work.select(edge.alias("e"), F.explode(F.array("lo", "hi")).alias("node"))
-        pick = materialise(ends.groupBy("node").agg(F.min("e").alias("e")).select("node", "e.lo", "e.hi", "e.oa", "e.ob"), "picks")
+        pick, n_nodes = materialise_counted(ends.groupBy("node").agg(F.min("e").alias("e")).select("node", "e.lo", "e.hi", "e.oa", "e.ob"), "picks")
         picked.append(pick.select(F.col("oa").alias("a"), F.col("ob").alias("b")))
         # a pick that both ends share makes the smaller end a root
         other = F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
         up = pick.select("node", other.alias("up"))
         back = up.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        n_nodes = up.count()
         ptr = heavy_light_lookup(up, back, "up", "inner", n_nodes).select(
             "node", F.when((F.col("up2") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up")
         )
         ptr = materialise(ptr, "up")
-        while True:
+        moved = 1
+        while moved:
             above = ptr.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-            nxt = materialise(heavy_light_lookup(ptr, above, "up", "inner", n_nodes).select("node", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved")), "up")
-            moved = not nxt.where("moved").isEmpty()
-            drop_materialised(ptr)
-            ptr = nxt.select("node", "up")
-            if not moved:
-                break
+            step = heavy_light_lookup(ptr.select("node", "up"), above, "up", "inner", n_nodes)
+            before = ptr
+            ptr, moved = materialise_counted(step.select("node", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved")), "up", "moved")
+            drop_materialised(before)
+        ptr = ptr.select("node", "up")
         maps.append(ptr)
         lo = ptr.select(F.col("node").alias("lo"), F.col("up").alias("rlo"))
         hi = ptr.select(F.col("node").alias("hi"), F.col("up").alias("rhi"))
         moved_edges = heavy_light_lookup(heavy_light_lookup(work, lo, "lo", "inner", n_edges), hi, "hi", "inner", n_edges).where("rlo <> rhi")
         pair = (F.least("rlo", "rhi").alias("lo"), F.greatest("rlo", "rhi").alias("hi"))
-        nxt = materialise(
+        nxt, n_edges = materialise_counted(
             moved_edges.select(*pair, F.struct("oa", "ob").alias("o")).groupBy("lo", "hi").agg(F.min("o").alias("o")).select("lo", "hi", "o.oa", "o.ob"), "edges"
         )
         drop_materialised(work)
@@ -115,13 +113,13 @@ def tie_groups(ties: DataFrame, keep: str | None = None) -> tuple[DataFrame, For
     which leaves a graph of articles alone. An article without ties is its own group; an empty table
     gives none. ``keep`` names a folder for the forest that outlives the session.
     """
-    ties = materialise(ties.where("ekey IS NOT NULL AND article IS NOT NULL").select("ekey", "article").distinct(), "ties")
-    star = heavy_light_lookup(ties, entity_anchors(ties), "ekey", "inner", ties.count()).select(F.col("anchor").alias("a"), F.col("article").alias("b"))
+    ties, n_ties = materialise_counted(ties.where("ekey IS NOT NULL AND article IS NOT NULL").select("ekey", "article").distinct(), "ties")
+    star = heavy_light_lookup(ties, entity_anchors(ties), "ekey", "inner", n_ties).select(F.col("anchor").alias("a"), F.col("article").alias("b"))
     forest = spanning_forest(star, keep=keep)
     nodes = ties.select(F.col("article").alias("node")).distinct()
-    roots = materialise(nodes.join(forest.labels, "node", "left").select(F.col("node").alias("article"), F.coalesce("root", "node").alias("root")), "roots")
+    roots, n_roots = materialise_counted(nodes.join(forest.labels, "node", "left").select(F.col("node").alias("article"), F.coalesce("root", "node").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("article").alias("group_article"))
-    return heavy_light_lookup(roots, least, "root", "inner").select("article", "group_article"), forest
+    return heavy_light_lookup(roots, least, "root", "inner", n_roots).select("article", "group_article"), forest
 
 
 def _plan_bands(bands: list[tuple[int, int, int]], shares: list[float]) -> list[list[int]]:
@@ -195,6 +193,6 @@ def assign_splits(rows: DataFrame, row_id: str, article: str, entity: str, share
     by_article = groups.select(F.concat(F.lit("a"), "article").alias("unit"), F.concat(F.lit("g"), "group_article").alias("gid"))
     unit = F.coalesce(F.concat(F.lit("a"), "article"), F.concat(F.lit("e"), "ekey"))
     found = heavy_light_lookup(base.withColumn("unit", unit), by_article.unionByName(by_entity), "unit", "left")
-    found = materialise(found.select("__id", F.coalesce("gid", "unit", F.concat(F.lit("r"), F.coalesce(F.col("__id").cast("string"), F.lit("")))).alias("gid")), "units")
+    found, n = materialise_counted(found.select("__id", F.coalesce("gid", "unit", F.concat(F.lit("r"), F.coalesce(F.col("__id").cast("string"), F.lit("")))).alias("gid")), "units")
     dealt = group_splits(found.groupBy("gid").agg(F.count(F.lit(1)).alias("n")), shares, seed)
-    return heavy_light_lookup(found, dealt.select("gid", "split"), "gid", "inner").select(F.col("__id").alias(row_id), "split")
+    return heavy_light_lookup(found, dealt.select("gid", "split"), "gid", "inner", n).select(F.col("__id").alias(row_id), "split")
