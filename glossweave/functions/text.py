@@ -58,7 +58,8 @@ def _lemma(word: str) -> str:
     return _ENDING.sub("", low) if len(low) > 4 else low
 
 
-def _tokens(texts: pa.Array) -> pa.Array:
+def tokens_of(texts: pa.Array) -> pa.Array:
+    """The tokens of an Arrow batch of texts, as ``tokens`` gives them."""
     ends, s, a, b = _found(texts, _TOKEN)
     stop = frozenset(STOP_WORDS)
     fields = [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(s, pa.string()), pa.array([_lemma(w) for w in s], pa.string()),
@@ -81,7 +82,7 @@ def tokens(text: Column | str) -> Column:
     Spark's regex functions give no positions, and cumulating lengths in a fold copies its array at every
     step; an Arrow function reads each text once. Null for null, empty for a text without tokens.
     """
-    return F.arrow_udf(_tokens, _TOKENS)(text)
+    return F.arrow_udf(tokens_of, _TOKENS)(text)
 
 
 def word_spans(text: Column | str) -> Column:

@@ -37,6 +37,10 @@ class LinearScreener:
         """The rows themselves, or their random Fourier features."""
         return x if self.omega is None else np.cos(x @ self.omega + self.phase) * np.sqrt(2 / len(self.phase))
 
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The decision value of every row."""
+        return self.features(x) @ self.weights + self.bias
+
     def score(self, df: DataFrame, vector: str, out: str = "score") -> DataFrame:
         """The frame with the decision value; null for a null vector."""
         model, d = self, len(self.weights) if self.omega is None else len(self.omega)
@@ -45,7 +49,7 @@ class LinearScreener:
             ok = v.is_valid()
             x = v.filter(ok).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             s = np.full(len(v), np.nan)
-            s[ok.to_numpy(zero_copy_only=False)] = model.features(x) @ model.weights + model.bias
+            s[ok.to_numpy(zero_copy_only=False)] = model.values(x)
             return pa.array(s, pa.float64(), mask=np.isnan(s))
 
         return df.withColumn(out, F.arrow_udf(run, "double")(F.col(vector)))

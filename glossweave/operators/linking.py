@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,13 +80,50 @@ def overlap_islands(df: DataFrame, doc: str, score: str, row_id: str) -> DataFra
     """
     df = interval(df)
     placed = df.where(F.col("x").isNotNull() & F.col(doc).isNotNull())
-    by = Window.partitionBy(doc).orderBy("x", "y", row_id)
-    reach = F.max("y").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = placed.withColumn("new", F.when(reach.isNull() | (F.col("x") >= reach), 1).otherwise(0))
+    return best_of_islands(placed, doc, score, row_id).unionByName(df.where(F.col("x").isNull() | F.col(doc).isNull()))
+
+
+def best_of_islands(placed: DataFrame, doc: str, score: str, row_id: str, extent: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """``overlap_islands`` of rows that all have a document, ``x`` and ``y``.
+
+    Where a row stands for a whole group that was found beforehand, ``extent`` names the columns with the group's
+    first and last position.
+    """
+    lo, hi = extent
+    by = Window.partitionBy(doc).orderBy(lo, hi, row_id)
+    reach = F.max(hi).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = placed.withColumn("new", F.when(reach.isNull() | (F.col(lo) >= reach), 1).otherwise(0))
     island = F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))
     best = F.row_number().over(Window.partitionBy(doc, "island").orderBy(F.desc(score), F.greatest(F.col("y") - F.col("x"), F.lit(0)), "mention", row_id))
-    kept = marked.withColumn("island", island).withColumn("r", best).where("r = 1").drop("new", "island", "r")
-    return kept.unionByName(df.where(F.col("x").isNull() | F.col(doc).isNull()))
+    return marked.withColumn("island", island).withColumn("r", best).where("r = 1").drop("new", "island", "r")
+
+
+def text_islands(text: np.ndarray, x: np.ndarray, y: np.ndarray, score: np.ndarray, alone: np.ndarray, mention: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the best spans of each group of transitively overlapping ones of a text, and the group's first and last position.
+
+    Spans are in the order of text, ``x``, ``y``. Best as in ``overlap_islands``, without its last rule: spans that
+    are equal up to their row ids are all given. In texts marked ``alone`` no span is in a group with another.
+    """
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = text * (int(y.max()) + 1)  # one axis on which no two texts meet
+    new = np.ones(len(x), bool)
+    new[1:] = (x + apart)[1:] >= np.maximum.accumulate(y + apart)[:-1]
+    new |= alone[text]
+    group = np.cumsum(new) - 1
+    starts = np.nonzero(new)[0]
+    lo, hi = x[starts], np.maximum.reduceat(y, starts)
+    order = np.lexsort((y - x, -score, group))
+    first = order[np.searchsorted(group[order], np.arange(len(starts)))][group]
+    tied = (score == score[first]) & (y - x == (y - x)[first])
+    for g in np.nonzero(np.bincount(group[tied]) > 1)[0]:
+        stop = starts[g + 1] if g + 1 < len(starts) else len(x)
+        rows = [r for r in range(starts[g], stop) if tied[r]]
+        names = [mention(r) for r in rows]
+        for r, m in zip(rows, names):
+            tied[r] = m == min(names)
+    keep = np.nonzero(tied)[0]
+    return keep, lo[group[keep]], hi[group[keep]]
 
 
 def cluster_entities(assignments: DataFrame) -> DataFrame:

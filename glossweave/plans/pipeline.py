@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossweave.functions.text import tokens_of
 from glossweave.functions.vectors import mean_vectors, unit_rows
 from glossweave.operators import composition as comp
 from glossweave.operators import linking as lk
@@ -23,7 +26,7 @@ from glossweave.operators.metrics import z_scores
 from glossweave.operators.vectors import HashingEncoder, PcaModel, reduce_dimensions
 from glossweave.sources.readers import load_json
 from glossweave.sources.writers import write_json
-from glossweave.tables import drop_materialised, materialise
+from glossweave.tables import drop_materialised, materialise, spread
 
 METRICS = ["pca_residual", "pca_mahalanobis", "pca_spectral_entropy"]
 
@@ -120,39 +123,138 @@ class Linker:
         return Linker(config, PcaModel(*map(np.array, s["pca"])), LinearScreener(np.array(w), b, kind), spark.read.parquet(f"{folder}/assignments"), spark.read.parquet(f"{folder}/heads"), s["chosen_size"])
 
 
-def to_heads(df: DataFrame, heads: DataFrame, dim: int) -> DataFrame:
-    """``cluster`` and ``score`` (cosine) of the nearest head; heads are at most sample_rows / smallest size, so they are collected."""
+def _nearest_head(heads: DataFrame, dim: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Cluster and cosine of the nearest head of each vector; heads are at most sample_rows / smallest size, so they are collected."""
     rows = sorted((r["id"], r["embed"]) for r in heads.collect())
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     u = unit_rows(pa.array([r[1] for r in rows], pa.list_(pa.float64())), dim)[1] if rows else np.zeros((0, dim))
 
-    def nearest(v: pa.Array) -> pa.Array:
+    def nearest(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ok, x = unit_rows(v, dim)
         cluster, score = np.full(len(v), -1), np.zeros(len(v))
         if len(u) and len(x):
             c = x @ u.T
             cluster[ok], score[ok] = ids[c.argmax(axis=1)], c.max(axis=1)
+        return cluster, score
+
+    return nearest
+
+
+def to_heads(df: DataFrame, heads: DataFrame, dim: int) -> DataFrame:
+    """``cluster`` and ``score`` (cosine) of the nearest head."""
+    find = _nearest_head(heads, dim)
+
+    def nearest(v: pa.Array) -> pa.Array:
+        cluster, score = find(v)
         return pa.StructArray.from_arrays([pa.array(cluster, pa.int32()), pa.array(score)], ["cluster", "score"])
 
     return df.where(F.size("embed") == dim).withColumn("__n", F.arrow_udf(nearest, "struct<cluster:int,score:double>")("embed")).select("*", "__n.cluster", "__n.score").drop("__n")
 
 
+#: Characters of texts whose windows are held at a time; a longer text is held alone.
+_TEXT_BLOCK = 500_000
+#: Words whose vectors a task keeps, and lemmas scored at a time.
+_WORDS_KEPT, _LEMMA_BLOCK = 100_000, 50_000
+
+
 def link_texts(linker: Linker, docs: DataFrame, encoder: HashingEncoder) -> DataFrame:
     """Entities in texts (itext, text): windows, encoding, prediction, public columns.
 
-    A window's vector is that of its lemmas, so each distinct lemma is encoded and scored once, and only windows
-    of lemmas that pass the gates meet their text again. Every window of every text is looked at.
+    Every window of every text is looked at, where its text is: windows are cut, encoded by their lemmas and gated in
+    one pass, in which each group of overlapping mentions of a text becomes its best ones (several only if score,
+    length and mention are equal) with the extent of the group. Only these are shuffled, so that texts of the same
+    id meet; groups of several texts that overlap are one.
     """
-    win = lk.mention_windows(docs, "itext", "text")
-    lemmas = win.select("lemma").distinct().withColumn("embed", encoder.column("lemma"))
-    scored = linker.score(lemmas).select("lemma", "projection_score", "cluster", "score")
-    passed = lk.gate(scored, linker.assignments, 0.0, F.col("projection_score") > 0).select("lemma", "cluster", "entity_id", "score")
+    entity = {r["cluster"]: r["entity_id"] for r in lk.cluster_entities(linker.assignments).collect()}  # no more than heads
+    mapped = np.array(sorted(c for c in entity if c is not None and c != -1), dtype=np.int64)
+    find = _nearest_head(linker.heads.select(F.col("cluster").cast("long").alias("id"), "embed"), linker.config.dim)
+    screener = linker.screener
+
+    def judge(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which vectors pass the gates, their clusters and cosines."""
+        cluster, score = find(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())))
+        return np.isin(cluster, mapped) & (score >= 0) & ~(screener.values(x) > 0), cluster, score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for b in batches:
+            size = np.cumsum(pc.utf8_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _TEXT_BLOCK, side="right")))
+                out = _best_windows(b.slice(at, end - at), encoder, known, judge, entity)
+                if out.num_rows:
+                    yield out
+                at = end
+
+    kind = docs.schema["itext"].dataType.simpleString()
+    to = f"doc {kind}, wg int, a int, b int, lo int, hi int, mention string, entity_id string, score double"
     place = {c: F.col(x).cast("long") for c, x in (("a", "a"), ("b", "b"), ("a_abs", "a"), ("b_abs", "b"))}
-    rows = win.join(passed, "lemma").select(F.xxhash64("doc", "wg", "a", "b").alias("row_id"), F.col("doc").alias("itext"), "mention", *[v.alias(c) for c, v in place.items()], "entity_id", "score")
-    best = lk.overlap_islands(rows, "itext", "score", "row_id")
+
+    def found(some: DataFrame) -> DataFrame:
+        out = some.mapInArrow(run, to).select(F.xxhash64("doc", "wg", "a", "b").alias("row_id"), F.col("doc").alias("itext"), "mention", *[v.alias(c) for c, v in place.items()], "lo", "hi", "entity_id", "score")
+        return lk.interval(out)
+
+    # told apart before the pass, so that no text goes through it twice; mentions without a text's id overlap none
+    named, unnamed = (docs.select("itext", "text").where(c) for c in ("itext IS NOT NULL", "itext IS NULL"))
+    best = lk.best_of_islands(found(spread(named, "itext")), "itext", "score", "row_id", ("lo", "hi")).unionByName(found(unnamed))
     return lk.public_view(best.where(F.col("score") >= linker.config.threshold))
 
 
+def _best_windows(texts: pa.RecordBatch, encoder: HashingEncoder, known: dict[str, np.ndarray], judge: Callable, entity: dict) -> pa.RecordBatch:
+    """The best passing windows of each group of overlapping ones of each text (itext, text), with the group's extent."""
+    if len(known) > _WORDS_KEPT:
+        known.clear()
+    lists = tokens_of(texts.column(1))
+    toks = lists.flatten()
+    a, b = (toks.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ix", "ix_end"))
+    word = np.array(pc.equal(toks.field("pos"), "WORD").to_pylist(), dtype=bool)
+    stop = np.array(toks.field("is_stop").to_pylist(), dtype=bool)
+    of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    lemmas = toks.field("lemma").dictionary_encode()
+    names, ix = lemmas.dictionary.to_pylist(), lemmas.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # windows: width, first token, and the places of its words among the names, -1 behind the last
+    wg, first, parts = [], [], []
+    for w in lk.WIDTHS:
+        i = np.arange(max(0, len(ix) - w + 1))
+        run = i[:, None] + np.arange(w)
+        i = i[(of[i] == of[i + w - 1]) & word[run].all(axis=1) & ~stop[run].all(axis=1)]
+        wg.append(np.full(len(i), w))
+        first.append(i)
+        parts.append(np.hstack([ix[i[:, None] + np.arange(w)], np.full((len(i), max(lk.WIDTHS) - w), -1)]))
+    wg, first, parts = np.concatenate(wg), np.concatenate(first), np.concatenate(parts)
+    # each distinct lemma once: it keeps the row of ``parts`` where it is first
+    order = np.lexsort(parts.T)
+    new = np.ones(len(order), bool)
+    new[1:] = (parts[order[1:]] != parts[order[:-1]]).any(axis=1)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    some = parts[order[new]]
+    passes, cluster, score = np.zeros(len(some), bool), np.full(len(some), -1), np.zeros(len(some))
+    vector = np.zeros((len(names) + 1, encoder.dim))  # the last one, of no word, stays zero
+    for k in np.unique(some[some >= 0]):
+        if names[k] not in known:
+            known[names[k]] = encoder.word(names[k])
+        vector[k] = known[names[k]]
+    for i in range(0, len(some), _LEMMA_BLOCK):
+        p = some[i : i + _LEMMA_BLOCK]
+        x = vector[p[:, 0]]
+        for j in range(1, p.shape[1]):
+            x = x + vector[p[:, j]]
+        at = slice(i, i + len(p))
+        passes[at], cluster[at], score[at] = judge(x / (p >= 0).sum(axis=1)[:, None])
+    on = np.nonzero(passes[which])[0]
+    wg, which, t, x, y = wg[on], which[on], of[first[on]], a[first[on]], b[first[on] + wg[on] - 1]
+    order = np.lexsort((y, x, t))
+    wg, which, t, x, y = wg[order], which[order], t[order], x[order], y[order]
+    keep, lo, hi = lk.text_islands(t, x, y, score[which], texts.column(0).is_null().to_numpy(zero_copy_only=False), lambda r: texts.column(1)[int(t[r])].as_py()[x[r] : y[r]])
+    wg, which, t, x, y = wg[keep], which[keep], t[keep], x[keep], y[keep]
+    bodies = {int(k): texts.column(1)[int(k)].as_py() for k in np.unique(t)}
+    cols = [texts.column(0).take(pa.array(t)), *[pa.array(c, pa.int32()) for c in (wg, x, y, lo, hi)], pa.array([bodies[int(k)][p:q] for k, p, q in zip(t, x, y)], pa.string()),
+            pa.array([entity[int(c)] for c in cluster[which]], pa.string()), pa.array(score[which], pa.float64())]
+    return pa.RecordBatch.from_arrays(cols, ["doc", "wg", "a", "b", "lo", "hi", "mention", "entity_id", "score"])
+
+
 def fingerprint(config: dict) -> str:
     """sha256 of the sorted settings (Q20)."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

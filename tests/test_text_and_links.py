@@ -96,3 +96,31 @@ def test_gate_and_view(spark):
     assert {(r["row_id"], r["entity_id"]) for r in lk.gate(preds, assign, 0.5, F.lit(None).cast("boolean")).collect()} == {(1, "A")}
     over = lk.override_labels(preds.select("row_id", "cluster"), spark.createDataFrame([(2, 7)], "row_id long, cluster int"), "row_id")
     assert {tuple(r) for r in over.collect()} == {(1, 0), (2, 7), (3, 0), (4, 5)}
+
+
+def test_links_are_the_best_windows_and_texts_are_passed_once(spark):
+    import numpy as np
+
+    from glossweave.operators.learning import LinearScreener
+    from glossweave.operators.vectors import HashingEncoder
+    from glossweave.plans import pipeline as pl
+
+    enc = HashingEncoder()
+    heads = [(c, (sum(map(enc.word, w.split())) / len(w.split())).tolist()) for c, w in enumerate(("cell growth", "binding protein", "kinase"))]
+    linker = pl.Linker(
+        pl.LinkerConfig(threshold=0.6), None, LinearScreener(np.zeros(64), 0.0, "lda"),
+        spark.createDataFrame([(0, 1, "CG"), (1, 2, "BP")], "cluster int, ord int, entity_id string"), spark.createDataFrame(heads, "cluster int, embed array<double>"), 2,
+    )
+    texts = ["cell growth cell growth needs binding proteins, cells", "the kinase of cell growth. growth, cell", "growth growth growth growth", ""]
+    docs = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (8, texts[2]), (9, texts[3]), (None, texts[0]), (8, "x " + texts[1])], "itext long, text string")
+    # brute force: all windows of all texts, gated, then resolved as one frame
+    win = lk.mention_windows(docs, "itext", "text").withColumn("embed", enc.column("lemma"))
+    seen = pl.to_heads(linker.screener.score(win, "embed", "p"), linker.heads.withColumnRenamed("cluster", "id"), 64)
+    gated = lk.gate(seen, linker.assignments, 0.0, F.col("p") > 0)
+    rows = gated.select(F.xxhash64("doc", "wg", "a", "b").alias("row_id"), F.col("doc").alias("itext"), "mention", *[F.col(x).cast("long").alias(c) for c, x in (("a", "a"), ("b", "b"), ("a_abs", "a"), ("b_abs", "b"))], "entity_id", "score")
+    want = lk.public_view(lk.overlap_islands(rows, "itext", "score", "row_id").where("score >= 0.6"))
+    got = pl.link_texts(linker, docs, enc)
+    key = lambda df: sorted(((r["itext"] is None, r["itext"] or 0, r["mention"], r["a"], r["b"], r["entity_id"], round(r["score"], 9)) for r in df.collect()))
+    assert key(got) == key(want) and len(key(want)) > 6
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 2
