@@ -24,8 +24,11 @@ def text_chunks(docs: DataFrame, doc: str, text: str, most: int) -> DataFrame:
     return parts.select("doc", F.col("ichunk").cast("long").alias("ichunk"), "chunk", F.coalesce(F.sum(F.length("chunk")).over(before), F.lit(0)).alias("start"))
 
 
-def mention_windows(docs: DataFrame, doc: str, text: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(doc, wg, a, b, mention, lemma): token windows of every text that may be a mention."""
+def mention_windows(docs: DataFrame, doc: str, text: str, widths: tuple[int, ...] = WIDTHS, with_text: bool = False) -> DataFrame:
+    """(doc, wg, a, b, mention, lemma): token windows of every text that may be a mention.
+
+    ``with_text`` adds the whole text to each window, for what is looked up in it on the spot.
+    """
     toks = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), "doc").select("doc", "text", tx.tokens("text").alias("toks"))
 
     def of_width(w: int) -> Column:
@@ -34,7 +37,17 @@ def mention_windows(docs: DataFrame, doc: str, text: str, widths: tuple[int, ...
 
     one = [of_width(w) for w in widths]
     rows = toks.select("doc", "text", F.inline(F.concat(*one)))
-    return rows.select("doc", "wg", "a", "b", F.col("text").substr(F.col("a") + 1, F.col("b") - F.col("a")).alias("mention"), "lemma")
+    return rows.select("doc", "wg", "a", "b", F.col("text").substr(F.col("a") + 1, F.col("b") - F.col("a")).alias("mention"), "lemma", *(["text"] if with_text else []))
+
+
+def mentions_in_place(win: DataFrame) -> DataFrame:
+    """(same, n): how many windows with their ``text`` have as mention what stands there from ``a`` to ``b``.
+
+    The mention is looked for from ``a`` on in its own text, so no window meets its text by a shuffle. A second
+    substring would be the mention's own expression, and the optimiser would take the comparison away.
+    """
+    same = (F.length("mention") == F.col("b") - F.col("a")) & (F.expr("locate(mention, text, a + 1)") == F.col("a") + 1)
+    return win.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def lemma_index(kb: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ QUERIES = {
     "w11_intervals": lambda s, d: lk.interval(mentions(s, d)).select("row_id", "x", "y"),
     "w14_repeated_names": lambda s, d: comp.consensus_names(comp.composition(quality(s, d).where("cluster IS NOT NULL AND entity IS NOT NULL"))).groupBy("name").agg(_n("n")).where("n > 1"),
     "p10_kept_windows": lambda s, d: _windows(s, d).groupBy("doc").agg(_n("n"), F.sum("a").cast("long").alias("starts"), F.sum("b").cast("long").alias("ends")),
-    "s10_mention_substrings": lambda s, d: _windows(s, d).join(_docs(s, d).select("doc", "text"), "doc").select((F.col("mention") == F.col("text").substr(F.col("a") + 1, F.col("b") - F.col("a"))).alias("same")).groupBy("same").agg(_n("n")),
+    "s10_mention_substrings": lambda s, d: lk.mentions_in_place(lk.mention_windows(_docs(s, d), "doc", "text", with_text=True)),
     "s8_lemma_keys": lambda s, d: table(s, d, "kb").where("label IS NOT NULL").select("entity_id", tx.lemma_key(tx.tokens("label")).alias("lemma")),
     "o5_keys_left": lambda s, d: quality(s, d).select("model", "layer", _l("sample_idx")).distinct().exceptAll(quality(s, d).where("sample_idx = 0").select("model", "layer", _l("sample_idx")).distinct()),
     "o1_union_all": lambda s, d: table(s, d, "kb").select("entity_id", "label").unionByName(table(s, d, "kb_extension").select("entity_id", "label")),

@@ -124,3 +124,18 @@ def test_links_are_the_best_windows_and_texts_are_passed_once(spark):
     assert key(got) == key(want) and len(key(want)) > 6
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_mentions_are_found_in_place_without_a_shuffle_of_windows(spark, tmp_path):
+    from glossweave.plans import assembly_queries as aq
+
+    texts = ["type of \U0001f9ec cells, na\u00efve cells", "cells cells", ""]
+    rows = [(1, texts[0], "x"), (None, texts[1], "x"), (3, texts[2], "x"), (4, None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, pmid string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = aq.QUERIES["s10_mention_substrings"](spark, str(tmp_path))
+    # 1, 2 and 3 words between signs: (2, 2, 1) without "of" alone, (2, 1); a text without an id has windows as well
+    n = lk.mention_windows(spark.read.parquet(str(tmp_path / "documents.parquet")).where("text IS NOT NULL"), "doc_id", "text").count()
+    assert [tuple(r) for r in out.collect()] == [(True, n)] and n > 8
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    wrong = spark.createDataFrame([(0, 4, "cell", "cell cell"), (1, 5, "cell", "cell cell"), (0, 5, "cell", "cell cell"), (5, 9, "cell", "cell cell")], "a int, b int, mention string, text string")
+    assert {r["same"]: r["n"] for r in lk.mentions_in_place(wrong).collect()} == {True: 2, False: 2}
