@@ -219,3 +219,16 @@ def test_loose_groups(spark, n_groups, share, cosine):
     best = {c: max((k, t) for (d, t), k in pairs.items() if d == c) for c in range(n_groups)}
     assert len({t for _, t in best.values()}) == n_groups
     assert sum(k for k, _ in best.values()) >= 0.97 * len(true)
+
+
+def test_a_group_that_the_sample_hardly_holds_is_counted_over_all_rows(spark, monkeypatch):
+    from glossweave.llm import mixture
+
+    rng = np.random.default_rng(3)
+    heads = np.eye(64)[:2]
+    rows = [(heads[int(i >= 2000)] + rng.normal(0, 0.05, 64)).tolist() for i in range(2400)]
+    # 3 of 2,003 sampled rows for a sixth of all rows
+    monkeypatch.setattr(mixture, "sampled", lambda df, n, size: sorted(df.where("id < 2003").collect(), key=lambda r: r["id"]))
+    found = mixture_clusters(spark.createDataFrame(list(enumerate(rows)), "mid long, e array<double>"), "mid", "e")
+    assert sorted(found.sizes) == [400, 2000]
+    assert mixture._judged(spark.createDataFrame([(np.float32(r).tobytes(),) for r in rows], "u binary"), 64, [heads[0], heads[1]], 0.6, 401, 0.9)[0] @ heads[0] > 0.99
