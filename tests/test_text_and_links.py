@@ -133,7 +133,7 @@ def test_mentions_are_found_in_place_without_a_shuffle_of_windows(spark, tmp_pat
     rows = [(1, texts[0], "x"), (None, texts[1], "x"), (3, texts[2], "x"), (4, None, "x")]
     spark.createDataFrame(rows, "doc_id long, text string, pmid string").write.parquet(str(tmp_path / "documents.parquet"))
     out = aq.QUERIES["s10_mention_substrings"](spark, str(tmp_path))
-    # 1, 2 and 3 words between signs: (2, 2, 1) without "of" alone, (2, 1); a text without an id has windows as well
+    # a text without an id has windows as well
     n = lk.mention_windows(spark.read.parquet(str(tmp_path / "documents.parquet")).where("text IS NOT NULL"), "doc_id", "text").count()
     assert [tuple(r) for r in out.collect()] == [(True, n)] and n > 8
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
